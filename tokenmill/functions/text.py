@@ -20,9 +20,13 @@ LINE_END = r"\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}"
 WORD = r"\p{L}\p{N}_"
 
 
-def whole_word(pattern: str) -> str:
-    """``pattern`` not touching another word character."""
-    return rf"(?<![{WORD}])(?:{pattern})(?![{WORD}])"
+def whole_words(words: list[str]) -> str:
+    """Any of ``words``, in any case, not touching another word character.
+
+    The look at the first letter is cheap and rules out most places.
+    """
+    first = "".join(sorted({w[0] for w in words})) + "ſKİı"  # letters that fold to s, k and i
+    return rf"(?iu)(?=[{first}])(?<![{WORD}])(?:{'|'.join(words)})(?![{WORD}])"
 
 
 def strip(c: Column) -> Column:
@@ -168,13 +172,15 @@ def compress_log_text(df: DataFrame, text: str, out: str) -> DataFrame:
 
 # ------------------------------------------------------------------------------- telegraphic style
 def _drop_words(c: Column, words: list[str]) -> Column:
-    return F.regexp_replace(c, "(?iu)" + whole_word("|".join(words)), "")
+    return F.regexp_replace(c, whole_words(words), "")
 
 
 def telegraphic(c: Column, intensity: str = "full") -> Column:
     """Pleasantries away (lite), then articles and auxiliaries (full), then small words (ultra)."""
+    polite = c
     for phrase in fixed.PLEASANTRIES:  # one by one: each may uncover the next
-        c = F.regexp_replace(c, "(?iu)" + whole_word(phrase) + "[!,.:;?]*", "")
+        polite = F.regexp_replace(polite, whole_words([phrase]) + "[!,.:;?]*", "")
+    c = F.when(c.rlike(whole_words(fixed.PLEASANTRIES)), polite).otherwise(c)
     c = strip(F.regexp_replace(c, " +", " "))
     c = strip(F.regexp_replace(c, "^[!,.;? ]+", ""))
     if intensity == "lite":

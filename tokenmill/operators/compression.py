@@ -94,7 +94,7 @@ def compress_budgeted(
         spread.where(~forced).select("_w", "_s", "_d").distinct()
         .groupBy("_w", "_s").count().groupBy("_w").agg(F.sum("count").alias("_df"))
     )
-    salted = frequency.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+    salted = frequency.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     weighed = spread.join(salted, ["_w", "_s"], "left")
     by_doc = Window.partitionBy("_d")
     # forced marks have no count and sort first, which takes them out of the budget

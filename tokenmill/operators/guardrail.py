@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.functions import fixed
@@ -50,13 +48,13 @@ def _phrases_by_gram(texts: DataFrame, words: DataFrame, row_id: str) -> DataFra
     sized = words.withColumn("_n", F.least(F.length("keyword"), F.lit(GRAM)))
     lengths = [r[0] for r in sized.select("_n").distinct().collect()]  # at most GRAM values
     keyed = sized.select("keyword", F.substr("keyword", F.lit(1), F.col("_n")).alias("_gram"))
-    grams = F.array_distinct(F.flatten(F.array(*[
-        F.when(
-            F.length("_low") >= n,
-            F.transform(F.sequence(F.lit(1), F.length("_low") - (n - 1)), lambda i, n=n: F.substr("_low", i, F.lit(n))),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in lengths
-    ])))
+
+    def letter_groups(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length("_low") - (n - 1))
+        groups = F.transform(starts, lambda i: F.substr("_low", i, F.lit(n)))
+        return F.when(F.length("_low") >= n, groups).otherwise(F.array().cast("array<string>"))
+
+    grams = F.array_distinct(F.flatten(F.array(*map(letter_groups, lengths))))
     near = (
         texts.select(row_id, F.explode(grams).alias("_gram")).join(keyed, "_gram").select(row_id, "keyword")
         .join(texts, row_id).where(F.col("_low").contains(F.col("keyword")))

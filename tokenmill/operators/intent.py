@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import HashingTF, IDF, IndexToString, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +45,7 @@ STARTER_SAMPLES = {
 
 def starter_samples(spark: SparkSession) -> DataFrame:
     rows = [(i, t) for i, texts in STARTER_SAMPLES.items() for t in texts]
-    return spark.createDataFrame(rows, "intent string, sample_text string")
+    return spark.createDataFrame(rows, "intent string, sample_text string").coalesce(1)
 
 
 def training_samples(spark: SparkSession, *sources: DataFrame | None) -> DataFrame:
@@ -57,9 +57,10 @@ def training_samples(spark: SparkSession, *sources: DataFrame | None) -> DataFra
 
 
 def train_intent(samples: DataFrame) -> PipelineModel:
-    """Multinomial regression over hashed words and word pairs.
+    """Multinomial naive Bayes over hashed words and word pairs.
 
-    Training runs on the executors; only the coefficients (four rows of ``BUCKETS``) meet on the driver.
+    One pass over the samples, summed per label on the executors. Only those sums, a row of
+    ``BUCKETS`` numbers per intent, meet on the driver, so the number of samples does not matter.
     """
     prepared = samples.select("intent", normalise_prompt(F.col("sample_text")).alias("clean"))
     index = StringIndexer(inputCol="intent", outputCol="label", stringOrderType="alphabetAsc")
@@ -70,7 +71,7 @@ def train_intent(samples: DataFrame) -> PipelineModel:
         SQLTransformer(statement="SELECT *, concat(words, pairs) AS grams FROM __THIS__"),
         HashingTF(numFeatures=BUCKETS, inputCol="grams", outputCol="features"),
     ]
-    learn = LogisticRegression(family="multinomial", maxIter=50, regParam=0.01, featuresCol="features")
+    learn = NaiveBayes(modelType="multinomial", smoothing=0.1, featuresCol="features")
     name = IndexToString(inputCol="prediction", outputCol="predicted", labels=fitted.labels)
     return Pipeline(stages=[fitted.setHandleInvalid("keep"), *features, learn, name]).fit(prepared)
 

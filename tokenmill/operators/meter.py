@@ -13,9 +13,9 @@ EXACT = "decimal(38,12)"
 BUDGET_SLICE_SECONDS = 3600
 
 
-def bearer_token(authorization: Column) -> Column:
+def bearer_token(header: Column) -> Column:
     """The token of a well-formed header, else null."""
-    return F.when(authorization.startswith("Bearer "), F.split_part(authorization, F.lit(" "), F.lit(2)))
+    return F.when(header.startswith("Bearer "), F.split_part(header, F.lit(" "), F.lit(2)))
 
 
 def key_auth(requests: DataFrame, keys: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def key_auth(requests: DataFrame, keys: DataFrame) -> DataFrame:
         F.col("user_id").alias("key_user"), "active", "total_budget", "remaining_budget", "budget_type",
         "allowed_rules",
     )
-    return requests.withColumn("key_hash", F.sha2(bearer_token(F.col("authorization")), 256)).join(
+    return requests.withColumn("key_hash", F.sha2(bearer_token(F.col("auth_header")), 256)).join(
         named, "key_hash", "left"
     )
 
@@ -139,7 +139,7 @@ def request_verdict(
     Refused requests are not charged. Charges are not negative, so once a key's budget is used up it
     stays so, and the sum over requests that pass the earlier rules decides the budget rule.
     """
-    token = bearer_token(F.col("authorization"))
+    token = bearer_token(F.col("auth_header"))
     # requests without a token stay apart from the counting, one group for each of them
     tagged = requests.withColumn(
         "_caller", F.coalesce(F.sha2(token, 256), F.concat(F.lit("#"), F.col(row_id).cast("string")))

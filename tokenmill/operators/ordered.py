@@ -84,7 +84,7 @@ def greedy_ttl(
     """
     ev = df.select(
         *keys, F.col(ts).alias("_ts"), F.col(row_id).alias("_id"), micros(F.col(ts)).alias("_t"),
-        (ttl_seconds * 1_000_000).cast("bigint").alias("_ttl"),
+        (ttl_seconds.cast("bigint") * 1_000_000).alias("_ttl"),
     ).withColumn("_slice", F.floor(F.col("_t") / F.col("_ttl")).cast("bigint"))
     per_slice = ev.groupBy(*keys, "_slice").agg(
         F.min("_t").alias("_lo"), F.max("_t").alias("_hi"), F.count("*").alias("_n"), F.max("_ttl").alias("_ttl")

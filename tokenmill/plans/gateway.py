@@ -18,6 +18,7 @@ from tokenmill.operators.intent import classify_intent
 from tokenmill.operators.meter import request_verdict
 from tokenmill.operators.pricing import with_cost
 from tokenmill.operators.routing import failover, route
+from tokenmill.session import stage
 
 
 def prepare_prompts(
@@ -40,15 +41,19 @@ def replay(
     outcomes: DataFrame, keywords: DataFrame, model: PipelineModel | None = None, method: str = "stacked",
     limit: int = fixed.RATE_LIMIT, width: int = fixed.RATE_WINDOW_SECONDS,
 ) -> DataFrame:
-    """Log rows of all requests that are let in and answered, cached or not."""
-    facts = prepare_prompts(prompts, keywords, model, method)
+    """Log rows of all requests that are let in and answered, cached or not.
+
+    Written in between: the facts of the prompts, the requests let in, and the cache's answers, as the
+    steps after them read them more than once. None of these tables carries a text.
+    """
+    facts = stage(prepare_prompts(prompts, keywords, model, method), "facts")
     costed = requests.join(facts, "doc_id").withColumn("cost_usd", F.lit(0).cast("decimal(18,12)"))
     let_in = request_verdict(costed, keys, limit=limit, width=width).where("status = 200 AND NOT blocked")
     access = keys.select(F.col("id").alias("key_id"), F.col("user_id"), "allowed_rules")
-    known = let_in.join(access, "key_id").drop("cost_usd", "status", "verdict")
+    known = stage(let_in.join(access, "key_id").drop("cost_usd", "status", "verdict"), "let_in")
     # requests that ask for a fresh answer never read the cache
     cached = cache_ttl_replay(known.where(~F.col("bypass")), intent="intent")
-    asked = cached.unionByName(known.where("bypass").withColumn("hit", F.lit(False)))
+    asked = stage(cached.unionByName(known.where("bypass").withColumn("hit", F.lit(False))), "asked")
     routed = route(asked.where(~F.col("hit")), rules).where("rule IS NOT NULL")
     answered = failover(routed, outcomes).where("status <> 'failed'")
     tokens = lambda n, est: F.when(F.col(n) > 0, F.col(n)).otherwise(est).cast("int")

@@ -11,12 +11,18 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tokenmill.sources.tables import spread
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
 
+# tables of long texts, with the key that spreads them
+TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id"}
+
+
 def _pick(number: str, values: list[str]) -> str:
     whens = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values))
     return f"CASE {number} {whens} END"
@@ -159,7 +165,7 @@ VIEWS = {
                CASE WHEN event_id % 50 = 7 THEN 'Token sk-test-' || CAST(user_id AS VARCHAR(20))
                     WHEN event_id % 60 = 11 THEN NULL
                     WHEN event_id % 53 = 12 THEN 'Bearer sk-other-' || CAST(user_id AS VARCHAR(20))
-                    ELSE 'Bearer sk-test-' || CAST(user_id AS VARCHAR(20)) END AS authorization,
+                    ELSE 'Bearer sk-test-' || CAST(user_id AS VARCHAR(20)) END AS auth_header,
                {MODEL_BY_EVENT} AS requested_model, {INTENT_BY_TYPE} AS logged_intent,
                CAST((event_id * 7919) % {{n_documents}} AS BIGINT) AS doc_id
         FROM {{events}}""",
@@ -204,7 +210,8 @@ def _columns_used(text: str) -> set[str]:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table or a derived view as a DataFrame. Nothing is registered in the session."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread(table, TEXT_KEYS[name]) if name in TEXT_KEYS else table
     text = re.sub(r"SHA256<(.*?)>", r"sha2(\1, 256)", VIEWS[name])
     text = re.sub(r"REVERSE<(.*?)>", r"reverse(\1)", text)
     args = {}

@@ -130,7 +130,7 @@ ORACLES: dict[str, str] = {
         FROM {v('token_logs')} l LEFT JOIN {v('model_prices')} p ON p.model_name = l.model""",
     "key_auth": f"""SELECT request_id, k.id AS key_id, k.name AS key_name, k.status = 'active' AS active
         FROM {v('requests')} r LEFT JOIN {KEYS} k
-        ON authorization LIKE 'Bearer %' AND k.key_hash = sha256(split_part(authorization, ' ', 2))""",
+        ON auth_header LIKE 'Bearer %' AND k.key_hash = sha256(split_part(auth_header, ' ', 2))""",
     "cache_miss_requests": f"""SELECT request_id, requested_model FROM {v('requests')} WHERE request_id NOT IN
         (SELECT event_id FROM events WHERE event_type = 'error')""",
     "dangling_rule_refs": f"""SELECT key_id, rule_id FROM (SELECT id AS key_id, unnest(allowed_rules) AS rule_id
@@ -215,8 +215,8 @@ ORACLES: dict[str, str] = {
 
 # --------------------------------------------------------------------------------------- verdicts
 def verdicts(requests: str) -> str:
-    """requests: request_id, ts, authorization, cost_usd -> plus key_id, status, verdict."""
-    return f"""(WITH c AS (SELECT r.*, CASE WHEN authorization LIKE 'Bearer %' THEN split_part(authorization, ' ', 2) END AS token
+    """requests: request_id, ts, auth_header, cost_usd -> plus key_id, status, verdict."""
+    return f"""(WITH c AS (SELECT r.*, CASE WHEN auth_header LIKE 'Bearer %' THEN split_part(auth_header, ' ', 2) END AS token
           FROM {requests} r),
         n AS (SELECT c.*, k.id AS key_id, k.status AS key_status, k.total_budget,
           row_number() OVER (PARTITION BY token, {DAY} ORDER BY ts, request_id) AS nth
@@ -381,7 +381,7 @@ ORACLES["running_budget_monthly"] = f"""SELECT request_id, CASE WHEN budget_type
 
 def fired(rows: str, ttl: str) -> str:
     """(k, ts, id, ttl micros) -> all rows with ``fires``; walks each key row by row."""
-    return f"""(WITH RECURSIVE n AS (SELECT k, epoch_us(ts) AS t, id, {ttl} * 1000000 AS ttl,
+    return f"""(WITH RECURSIVE n AS (SELECT k, epoch_us(ts) AS t, id, CAST({ttl} AS BIGINT) * 1000000 AS ttl,
         row_number() OVER (PARTITION BY k ORDER BY ts, id) AS rn FROM {rows}),
       walk AS (SELECT k, id, rn, t AS last, true AS fires FROM n WHERE rn = 1 UNION ALL
         SELECT n.k, n.id, n.rn, CASE WHEN n.t >= w.last + n.ttl THEN n.t ELSE w.last END, n.t >= w.last + n.ttl

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", app: str = "tokenmill") -> SparkSession:
@@ -38,6 +38,17 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{os.urandom(6).hex()}")
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a result that several later steps read, and go on from the files.
+
+    The order-dependent kernels read their input twice, so a chain of them would run the first step
+    many times over. Files in the shared folder outlive lost executors, and cut the lineage.
+    """
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable, in the folder that the session names."""
     if spark.sparkContext.getCheckpointDir() is None:

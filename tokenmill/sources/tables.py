@@ -59,6 +59,16 @@ PROVIDER_EVENT = (
 PRICE_FEED = "data array<struct<id:string,pricing:struct<prompt:string,completion:string>>>"
 
 
+def spread(texts: DataFrame, key: str) -> DataFrame:
+    """Long texts over all cores, where they come in fewer files than there are cores.
+
+    A row group is one task's work, and the text rules are bound by the processor. With enough files,
+    the normal case at scale, the table is left as it is and nothing is shuffled.
+    """
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts if len(texts.inputFiles()) >= cores else texts.repartition(cores, key)
+
+
 def read_token_logs(spark: SparkSession, path: str) -> DataFrame:
     """The fact table. Columns and filters that the caller asks for reach the Parquet scan."""
     return spark.read.schema(TOKEN_LOGS).parquet(path)
