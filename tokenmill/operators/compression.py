@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from tokenmill.functions import fixed
 from tokenmill.functions.text import WS, compress_log_text, telegraphic, token_estimate, word_count
+from tokenmill.operators.sizes import at_most
+from tokenmill.session import stage
 
-SALTS = 16
+HOT_SHARE = 1_000
+MAX_HOT_WORDS = 500_000
 
 
 def compression_gate(text: Column, method: str, model_loaded: bool = True) -> Column:
@@ -79,8 +82,9 @@ def compress_budgeted(
     """Keep ``rate`` of each text's tokens, the rarest of the corpus first, in their own order.
 
     Tokens are words and punctuation marks; marks of the forced list always stay. Rarity is the number
-    of texts with the token, so no model is needed. Words that half the texts share would gather in
-    one join task, hence the salt: the counts are copied per salt, the texts' tokens spread over them.
+    of texts with the token, so no model is needed. Words that more than a ``HOT_SHARE``-th as many texts
+    have as the commonest word are few, however many texts there are; their counts are broadcast (if the check agrees), so that
+    the bulk of the tokens is not shuffled by word. Only rare words are, and none of them is hot.
     """
     marks = "".join("\\" + m if m in "-." else m for m in fixed.FORCED_TOKENS if m != "\n")
     token = rf"([^{WS}{marks}]+|[\n{marks}])"
@@ -88,14 +92,20 @@ def compress_budgeted(
         F.col(row_id).alias("_d"), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(token))).alias("_p", "_w")
     )
     forced = F.col("_w").isin(*fixed.FORCED_TOKENS)
-    spread = tokens.withColumn("_s", F.pmod(F.xxhash64("_d"), F.lit(SALTS)))
-    # distinct (text, token) pairs are counted per salt first, then over salts
-    frequency = (
-        spread.where(~forced).select("_w", "_s", "_d").distinct()
-        .groupBy("_w", "_s").count().groupBy("_w").agg(F.sum("count").alias("_df"))
+    own_words = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(token)))
+    frequency = stage(
+        docs.select(F.explode(own_words).alias("_w")).where(~forced).groupBy("_w").agg(F.count("*").alias("_df")),
+        "word-counts",
     )
-    salted = frequency.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    weighed = spread.join(salted, ["_w", "_s"], "left")
+    top = frequency.agg(F.max("_df")).first()[0] or 0
+    hot = frequency.where(F.col("_df") > top // HOT_SHARE)
+    if at_most(hot, MAX_HOT_WORDS):
+        marked = tokens.join(F.broadcast(hot), "_w", "left")
+        known = F.col("_df").isNotNull() | forced
+        rare = marked.where(~known).drop("_df").join(frequency, "_w").select(*marked.columns)
+        weighed = marked.where(known).unionByName(rare)
+    else:
+        weighed = tokens.join(frequency, "_w", "left")
     by_doc = Window.partitionBy("_d")
     # forced marks have no count and sort first, which takes them out of the budget
     order = by_doc.orderBy(F.coalesce("_df", F.lit(0)), "_p")

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.functions import fixed
+from tokenmill.operators.sizes import at_most
 
 INLINE_PHRASES = 100
 GRAM = 8
+INLINE_GRAMS = 5_000
 
 
 def guardrail_keywords(prompts: DataFrame, dynamic: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
@@ -42,19 +44,20 @@ def _phrases_by_gram(texts: DataFrame, words: DataFrame, row_id: str) -> DataFra
     A text can only contain a phrase if it contains the phrase's first letters. Texts and phrases
     meet on that letter group (shorter phrases on their full length), and only then is the whole
     phrase looked for. Repeated groups of a text are dropped before the join. Each match is one row,
-    reduced to the smallest phrase per text before the shuffle. Common letter groups make skewed
-    join partitions, which adaptive execution splits.
+    reduced to the smallest phrase per text before the shuffle. Up to ``INLINE_GRAMS`` phrases, the
+    groups that no phrase starts with are already dropped in the text's own row. Common letter groups
+    make skewed join partitions, which adaptive execution splits.
     """
     sized = words.withColumn("_n", F.least(F.length("keyword"), F.lit(GRAM)))
     lengths = [r[0] for r in sized.select("_n").distinct().collect()]  # at most GRAM values
     keyed = sized.select("keyword", F.substr("keyword", F.lit(1), F.col("_n")).alias("_gram"))
 
-    def letter_groups(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length("_low") - (n - 1))
-        groups = F.transform(starts, lambda i: F.substr("_low", i, F.lit(n)))
-        return F.when(F.length("_low") >= n, groups).otherwise(F.array().cast("array<string>"))
-
-    grams = F.array_distinct(F.flatten(F.array(*map(letter_groups, lengths))))
+    # a look-ahead of n letters at every place lists all groups in one pass
+    groups = [F.regexp_extract_all("_low", F.lit("(?s)(?=(.{%d}))" % n), F.lit(1)) for n in lengths]
+    grams = F.array_distinct(F.concat(*groups))
+    if at_most(keyed, INLINE_GRAMS):
+        known = F.array(*[F.lit(r[0]) for r in keyed.select("_gram").distinct().collect()])
+        grams = F.array_intersect(F.concat(*groups), known)
     near = (
         texts.select(row_id, F.explode(grams).alias("_gram")).join(keyed, "_gram").select(row_id, "keyword")
         .join(texts, row_id).where(F.col("_low").contains(F.col("keyword")))

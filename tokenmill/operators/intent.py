@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import HashingTF, IDF, IndexToString, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
+from pyspark.ml.feature import HashingTF, IDF, IndexToString, Normalizer, RegexTokenizer, StringIndexer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenmill.functions.text import WS, code_override, normalise_prompt, prompt_key
+from tokenmill.functions.text import WS, code_override, normalise_prompt, plain_spaces
 
 BUCKETS = 50_000
 
@@ -62,15 +62,10 @@ def train_intent(samples: DataFrame) -> PipelineModel:
     One pass over the samples, summed per label on the executors. Only those sums, a row of
     ``BUCKETS`` numbers per intent, meet on the driver, so the number of samples does not matter.
     """
-    prepared = samples.select("intent", normalise_prompt(F.col("sample_text")).alias("clean"))
+    prepared = samples.select("intent", _grams(F.col("sample_text")).alias("grams"))
     index = StringIndexer(inputCol="intent", outputCol="label", stringOrderType="alphabetAsc")
     fitted = index.fit(prepared)
-    features = [
-        RegexTokenizer(inputCol="clean", outputCol="words", pattern=rf"[{WS}]+"),
-        NGram(n=2, inputCol="words", outputCol="pairs"),
-        SQLTransformer(statement="SELECT *, concat(words, pairs) AS grams FROM __THIS__"),
-        HashingTF(numFeatures=BUCKETS, inputCol="grams", outputCol="features"),
-    ]
+    features = [HashingTF(numFeatures=BUCKETS, inputCol="grams", outputCol="features")]
     learn = NaiveBayes(modelType="multinomial", smoothing=0.1, featuresCol="features")
     name = IndexToString(inputCol="prediction", outputCol="predicted", labels=fitted.labels)
     return Pipeline(stages=[fitted.setHandleInvalid("keep"), *features, learn, name]).fit(prepared)
@@ -80,29 +75,28 @@ def retrain(spark: SparkSession, file: DataFrame | None, table: DataFrame | None
     return train_intent(training_samples(spark, file, table))
 
 
-def _scoring_stages(model: PipelineModel) -> Transformer:
-    return PipelineModel(model.stages[1:])
+def _grams(text: Column) -> Column:
+    """Words and neighbouring pairs of words of the cleaned text."""
+    words = F.split(F.btrim(plain_spaces(normalise_prompt(text))), " +")
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
+                       lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
+    return F.concat(words, F.array_compact(pairs))
 
 
 def classify_intent(prompts: DataFrame, model: PipelineModel | None, text: str = "text") -> DataFrame:
     """Adds ``intent``: code where the keyword rule says so, else the model's label, else general.
 
-    Each distinct cleaned text is classified once. The texts are matched by hash, so the join moves
-    hashes and labels; a text that very many rows share is one row on the classified side.
+    Equal texts get equal labels. A label costs less than moving the text, so texts are not gathered
+    to find the equal ones: there is no shuffle. Texts that the keyword rule decides are not scored.
     """
     override = F.when(code_override(F.col(text)), F.lit("code"))
     if model is None:
         return prompts.withColumn("intent", F.coalesce(override, F.lit("general")))
-    clean = normalise_prompt(F.col(text))
-    rows = prompts.withColumn("_override", override).withColumn(
-        "_key", F.when(F.col("_override").isNull(), prompt_key(clean))
-    )
-    distinct = rows.where("_key IS NOT NULL").groupBy("_key").agg(F.first(clean).alias("clean"))
-    labels = _scoring_stages(model).transform(distinct).select("_key", F.col("predicted").alias("_label"))
-    return (
-        rows.join(labels, "_key", "left")
-        .withColumn("intent", F.coalesce("_override", "_label", F.lit("general")))
-        .select(*prompts.columns, "intent")
+    rows = prompts.withColumn("_override", override)
+    open_text = F.when(F.col("_override").isNull(), F.col(text)).otherwise("")
+    scored = PipelineModel(model.stages[1:]).transform(rows.withColumn("grams", _grams(open_text)))
+    return scored.withColumn("intent", F.coalesce("_override", "predicted", F.lit("general"))).select(
+        *prompts.columns, "intent"
     )
 
 

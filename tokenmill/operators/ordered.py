@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenmill.session import ensure_checkpoint_dir
+from tokenmill.session import ensure_checkpoint_dir, stage
 
 
 def micros(ts: Column) -> Column:
@@ -70,7 +70,7 @@ def previous_value(
 
 # --------------------------------------------------------------------------------- greedy kernel
 def greedy_ttl(
-    df: DataFrame, keys: list[str], ts: str, row_id: str, ttl_seconds: Column, fold_rows: int = 20_000
+    df: DataFrame, keys: list[str], ts: str, row_id: str, ttl_seconds: Column, fold_rows: int = 50_000
 ) -> DataFrame:
     """Rows that fire: the first of a key, then each first row at least ``ttl`` after the last fired.
 
@@ -95,8 +95,9 @@ def greedy_ttl(
         "_session", F.sum("_new").over(by_key)
     )
     whole = Window.partitionBy(*keys, "_session")
-    sized = sessions.withColumn("_rows", F.sum("_n").over(whole)).select(
-        *keys, "_slice", "_session", "_rows", "_lo"
+    sized = stage(
+        sessions.withColumn("_rows", F.sum("_n").over(whole)).select(*keys, "_slice", "_session", "_rows", "_lo"),
+        "sessions",
     )
     ev = ev.join(sized, [*keys, "_slice"])
     group = [*keys, "_session"]
