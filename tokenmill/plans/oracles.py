@@ -538,3 +538,19 @@ ORACLES["gateway_replay"] = f"""WITH known AS MATERIALIZED (SELECT * FROM {_KNOW
     SELECT request_id, user_id, intent, model, prompt_tokens, completion_tokens, total_tokens, CAST(cost_usd AS DOUBLE) AS cost_usd
       FROM {priced("counted")}
     UNION ALL SELECT request_id, user_id, 'cached', 'semantic-cache', 0, 0, 0, 0.0 FROM asked WHERE hit"""
+
+# ----------------------------------------------------------------------------------------- streams
+ORACLES["stream_log_ingest"] = f"""SELECT model, count(*) AS entries, CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS tokens
+      FROM {v('token_logs')} WHERE id % 7 <> 3 GROUP BY model
+    UNION ALL SELECT 'dead letters', count(*), 0 FROM {v('token_logs')} WHERE id % 7 = 3"""
+ORACLES["stream_live_dashboard"] = ORACLES["by_model"]
+ORACLES["stream_rate_limit"] = f"""SELECT api_key_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS requests,
+    greatest(count(*) - 2, 0) AS refused FROM {v('requests')} GROUP BY ALL"""
+ORACLES["stream_alert_silence"] = f"""SELECT CAST(k AS VARCHAR) AS user_id, id AS event_id FROM
+    {fired("(SELECT user_id AS k, ts, event_id AS id FROM events)", "86400")} WHERE fires"""
+ORACLES["stream_budget"] = f"""WITH low AS (SELECT * FROM {balances(SPEND)} WHERE cost_usd > 0
+      AND greatest(after, 0) / total_budget < 0.1),
+    f AS (SELECT * FROM {fired("(SELECT api_key_id AS k, ts, request_id AS id FROM low)", "3600")})
+    SELECT request_id, round(CAST(greatest(before, 0) AS DOUBLE), 9) AS balance_before, before <= 0 AS refused,
+    coalesce(fires, false) AS alert FROM {balances(SPEND)} b LEFT JOIN f ON f.id = request_id"""
+ORACLES["stream_fold_live"] = ORACLES["stream_fold"]

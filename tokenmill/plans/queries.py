@@ -14,7 +14,10 @@ from tokenmill.operators import (
 )
 from tokenmill.plans import gateway
 from tokenmill.plans.inputs import view
+from tokenmill.session import work_dir
 from tokenmill.sources import tables
+from tokenmill.streaming import logs as stream_logs
+from tokenmill.streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LOOKUP_THRESHOLD = 0.34
@@ -648,3 +651,90 @@ def gateway_replay(spark, d):
         view(spark, d, "model_prices"), view(spark, d, "outcomes"), words, limit=2, width=86_400)
     return logs.select("request_id", "user_id", "intent", "model", "prompt_tokens", "completion_tokens", "total_tokens",
                        real("cost_usd").alias("cost_usd"))
+
+
+# ------------------------------------------------------------------- streams, drained over the tables
+def as_stream(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """The rows of a table as a stream of files."""
+    path = work_dir(spark, name)
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+def drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over all there is and read what it wrote."""
+    path = work_dir(spark, f"{name}-out")
+    stream_logs.append_alerts(stream, path, work_dir(spark, f"{name}-state"), drain=True).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path).select(*stream.columns)
+
+
+@query
+def stream_log_ingest(spark, d):
+    line = F.to_json(F.struct(
+        "api_key_id", "user_id", "intent", "model", "prompt_tokens",
+        F.when(F.col("id") % 7 != 3, F.col("completion_tokens")).alias("completion_tokens"), "latency_ms"))
+    queue, table, dead = (work_dir(spark, n) for n in ("queue", "ingested", "dead"))
+    view(spark, d, "token_logs").select(line.alias("value")).write.text(queue)
+    stream_logs.log_ingest_stream(
+        stream_logs.read_log_queue_stream(spark, queue), table, dead, work_dir(spark, "ingest-state"), drain=True
+    ).awaitTermination()
+    good = spark.read.parquet(table).groupBy("model").agg(
+        F.count("*").alias("entries"), F.sum("total_tokens").alias("tokens"))
+    lost = spark.read.schema("value string").parquet(dead).agg(
+        F.lit("dead letters").alias("model"), F.count("*").alias("entries"), F.lit(0).cast("bigint").alias("tokens"))
+    return good.unionByName(lost)
+
+
+@query
+def stream_live_dashboard(spark, d):
+    logs = as_stream(spark, token_logs(spark, d), "logs")
+    snapshot = work_dir(spark, "snapshot")
+    stream_logs.live_dashboard(logs, snapshot, work_dir(spark, "dashboard-state"), drain=True).awaitTermination()
+    return stream_logs.dashboard_by_model(spark.read.parquet(snapshot))
+
+
+@query
+def stream_rate_limit(spark, d):
+    """Windows that the watermark has closed; the stream's last ones stay open."""
+    requests = view(spark, d, "requests").select("request_id", "api_key_id", F.col("ts").cast("timestamp").alias("ts"))
+    # a far later row closes every window of the data
+    closing = requests.agg(F.max("request_id").alias("request_id"), F.max("api_key_id").alias("api_key_id"),
+                           (F.max("ts") + F.expr("INTERVAL 9 DAYS")).alias("ts"))
+    path = work_dir(spark, "requests")
+    requests.write.parquet(path)
+    closing.write.mode("append").parquet(path)
+    stream = spark.readStream.schema(requests.schema).parquet(path)
+    out = drained(spark, stream_logs.rate_limit_stream(stream, "api_key_id", limit=2, width="1 day"), "rate")
+    last = spark.read.parquet(path).agg(F.max("ts").alias("_last"))
+    days = out.withColumn("day", F.date_format("window_start", "yyyy-MM-dd"))
+    return days.join(F.broadcast(last), F.col("window_start") < F.col("_last") - F.expr("INTERVAL 1 DAY")).select(
+        "api_key_id", "day", "requests", "refused")
+
+
+def replayed(spark: SparkSession, stream: DataFrame, step, state_schema: str, name: str) -> DataFrame:
+    """Run a step with a state table over all there is and read what it wrote."""
+    out, state, at = (work_dir(spark, f"{name}-{n}") for n in ("out", "state", "at"))
+    stateful.run_with_state(stream, step, state_schema, out, state, at, drain=True).awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
+@query
+def stream_alert_silence(spark, d):
+    events = as_stream(spark, view(spark, d, "events").select("event_id", "user_id", "ts"), "events")
+    step = stateful.alert_suppress_step("user_id", "ts", "event_id", 86_400)
+    return replayed(spark, events, step, stateful.ALERT_STATE, "alerts").select(
+        F.col("key").alias("user_id"), F.col("id").alias("event_id"))
+
+
+@query
+def stream_budget(spark, d):
+    rows = as_stream(spark, charges(spark, d), "charges")
+    out = replayed(spark, rows, stateful.budget_step(api_keys(spark, d)), stateful.BUDGET_STATE, "budget")
+    return out.select("request_id", F.round(real("balance_before"), 9).alias("balance_before"), "refused", "alert")
+
+
+@query
+def stream_fold_live(spark, d):
+    events = tables.parse_sse_lines(provider_lines(view(spark, d, "conversations"))).withColumn(
+        "ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("msg_id")))
+    return drained(spark, stateful.stream_fold_stateful(as_stream(spark, events, "provider")), "fold")
