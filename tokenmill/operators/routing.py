@@ -49,20 +49,18 @@ def rules_for_intent(requests: DataFrame, rules: DataFrame, intent: str = "inten
         F.lit(fixed.DEFAULT_RULE.get(f)).cast(rules.schema[f].dataType).alias(f) for f in RULE_FIELDS
     ]))
     access = F.col("allowed_rules")
-    listed = F.coalesce(_non_empty(F.col("own")), F.col("general"))
     nothing = F.slice(default, 1, 0)
-    return (
-        requests.withColumn("_any", F.lit("general"))
-        .join(own, F.col(intent) == F.col("_own_key"), "left")
-        .join(general, F.col("_any") == F.col("_general_key"), "left")
-        .withColumn(
-            "candidates",
-            F.when(listed.isNull(), default).otherwise(
-                F.coalesce(_non_empty(_allowed(listed, access)), _allowed(F.col("general"), access), nothing)
-            ),
-        )
-        .drop("_any", "_own_key", "_general_key", "own", "general")
+    # only requests without a usable rule of their own look the general ones up
+    own_allowed = _non_empty(_allowed(F.col("own"), access))
+    rows = requests.join(own, F.col(intent) == F.col("_own_key"), "left").withColumn("_usable", own_allowed)
+    rows = rows.withColumn("_spare", F.when(F.col("_usable").isNull(), "general")).join(
+        general, F.col("_spare") == F.col("_general_key"), "left"
     )
+    no_rules = F.col("own").isNull() & F.col("general").isNull()
+    return rows.withColumn(
+        "candidates",
+        F.when(no_rules, default).otherwise(F.coalesce("_usable", _allowed(F.col("general"), access), nothing)),
+    ).drop("_usable", "_spare", "_own_key", "_general_key", "own", "general")
 
 
 def requested_model_rules(requests: DataFrame, rules: DataFrame, model: str = "requested_model") -> DataFrame:
@@ -134,29 +132,31 @@ def route_weights(rules: DataFrame) -> DataFrame:
 def models_per_key(keys: DataFrame, rules: DataFrame) -> DataFrame:
     """(id, model, owned_by) for every model a key can reach, or the three defaults if there is none.
 
-    Keys without a list share one set, which is built once; keys with a list look their rules up by
-    id. Both are equality joins, so the work grows with the keys and not with keys times rules.
+    Keys with equal access lists reach equal models, so each distinct list is resolved once, by
+    equality on the rule's id, and the keys then look their list up.
     """
+    every = F.lit("every rule")
+    listed = keys.select(
+        "id", F.when(F.col("allowed_rules").isNull(), every).otherwise(F.to_json("allowed_rules")).alias("_list"),
+        "allowed_rules",
+    )
     served = rules.select(
         F.col("id").alias("_rule"), F.explode(F.array("model", "fallback_model")).alias("model")
     ).where("model IS NOT NULL AND model <> ''")
-    everyone = served.select(F.lit(True).alias("_open"), "model").distinct()
-    unnumbered = served.where("_rule IS NULL").select(F.lit(True).alias("_any"), "model").distinct()
-    scoped = keys.select("id", F.col("allowed_rules").isNull().alias("_open"), "allowed_rules")
-    everyone = broadcast_if_small(everyone, MAX_BROADCAST_RULES)
-    open_keys = scoped.where("_open").join(everyone, "_open").select("id", "model")
+    # rules without a number are open to every list, as if each list named them
+    unnumbered = F.lit(-1).cast("bigint")
+    lists = listed.where("allowed_rules IS NOT NULL").select("_list", "allowed_rules").distinct()
     by_list = (
-        scoped.where(~F.col("_open")).select("id", F.explode("allowed_rules").alias("_rule"))
-        .join(served, "_rule").select("id", "model")
+        lists.select("_list", F.explode(F.concat("allowed_rules", F.array(unnumbered))).alias("_rule"))
+        .join(served.withColumn("_rule", F.coalesce("_rule", unnumbered)), "_rule").select("_list", "model")
     )
-    by_none = (
-        scoped.where(~F.col("_open")).withColumn("_any", F.lit(True))
-        .join(broadcast_if_small(unnumbered, MAX_BROADCAST_RULES), "_any").select("id", "model")
-    )
-    found = open_keys.unionByName(by_list).unionByName(by_none).distinct()
+    found = by_list.unionByName(served.select(every.alias("_list"), "model")).distinct()
     defaults = F.explode(F.array(*map(F.lit, fixed.DEFAULT_MODELS)))
-    missing = keys.join(found, "id", "left_anti").select("id", defaults.alias("model"))
-    return found.unionByName(missing).withColumn("owned_by", owner(F.col("model")))
+    missing = listed.select("_list").distinct().join(found, "_list", "left_anti").select("_list", defaults.alias("model"))
+    reached = broadcast_if_small(found.unionByName(missing), MAX_BROADCAST_RULES)
+    return listed.select("id", "_list").join(reached, "_list").select("id", "model").withColumn(
+        "owned_by", owner(F.col("model"))
+    )
 
 
 def rule_access(keys: DataFrame, rules: DataFrame) -> DataFrame:
