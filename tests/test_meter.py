@@ -41,8 +41,9 @@ def test_greedy_ttl(spark, seed, ttl, limit, span):
     assert len(ids) == len(set(ids)) and set(ids) == walk_greedy(rows, ttl)
 
 
-@pytest.mark.parametrize("inclusive", [False, True])
-def test_running_total(spark, inclusive):
+@pytest.mark.parametrize("inclusive,hot", [(False, 50), (True, 50), (True, 10**6)])
+def test_running_total(spark, monkeypatch, inclusive, hot):
+    monkeypatch.setattr(ordered, "HOT_ROWS", hot)
     rows = events(7)
     df = frame(spark, rows).withColumn("m", F.col("id") % 7)
     out = ordered.running_total(df, ["key"], ordered.time_slice(F.col("ts"), 500), ["ts", "id"], F.col("m"), "s", inclusive)
@@ -53,7 +54,9 @@ def test_running_total(spark, inclusive):
     assert {r.id: r.s for r in out.collect()} == want
 
 
-def test_previous_value(spark):
+@pytest.mark.parametrize("hot", [50, 10**6])
+def test_previous_value(spark, monkeypatch, hot):
+    monkeypatch.setattr(ordered, "HOT_ROWS", hot)
     rows = events(8)
     out = ordered.previous_value(frame(spark, rows), ["key"], ordered.time_slice(F.col("ts"), 500), ["ts", "id"], "sec", "p")
     seen, want = {}, {}
@@ -62,7 +65,9 @@ def test_previous_value(spark):
     assert {r.id: r.p for r in out.collect()} == want
 
 
-def test_rate_limit(spark):
+@pytest.mark.parametrize("hot", [20, 10**6])
+def test_rate_limit(spark, monkeypatch, hot):
+    monkeypatch.setattr(ordered, "HOT_ROWS", hot)
     rows = [("a", T0 - T0 % 60 + i // 3, i) for i in range(150)] + [("b", T0, 1000)]
     out = meter.rate_limit(frame(spark, rows), "key", row_id="id").collect()
     assert {r.id for r in out if r.limited} == set(range(60, 150))

@@ -5,6 +5,7 @@ import os
 import pytest
 
 from __spark_entry__ import queries
+from tokenmill.operators import ordered
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -42,6 +43,8 @@ def test_routing_does_not_shuffle_requests(spark):
     assert "Window" not in text and "BroadcastHashJoin" in text and not [r for r in rows if "request_id" in r]
 
 
-def test_hot_keys_are_cut_by_time(spark):
+def test_hot_keys_are_cut_by_time(spark, monkeypatch):
+    assert "_slice" not in plan(spark, "running_budget")
+    monkeypatch.setattr(ordered, "HOT_ROWS", 5)
     text = plan(spark, "running_budget")
     assert "_slice" in text and "SinglePartition" not in text

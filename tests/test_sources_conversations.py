@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tokenmill.operators import conversations, intent
+from tokenmill.operators import conversations, intent, ordered
 from tokenmill.sources import sinks, tables
 
 
@@ -83,7 +83,9 @@ def merged(spark, *turns):
     return [(r.role, r.content) for r in conversations.merge_roles(df).orderBy("place").collect()]
 
 
-def test_merge_roles(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [1, 10**6])
+def test_merge_roles(spark, monkeypatch, hot):
+    monkeypatch.setattr(ordered, "HOT_ROWS", hot)
     monkeypatch.setattr(conversations, "TURN_SLICE", 2)
     assert merged(spark, ("system", "be kind"), ("user", "Hello"), ("user", "how are you?"), ("assistant", "fine"), ("tool", "42"),
                   ("user", "ok"), ("system", "brief")) == [

@@ -10,7 +10,7 @@ from tokenmill.operators.ordered import greedy_ttl, rank_in_key, running_total,
 
 MONEY4 = "decimal(12,4)"
 EXACT = "decimal(38,12)"
-BUDGET_SLICE_SECONDS = 3600
+BUDGET_SLICE_SECONDS = 60
 
 
 def bearer_token(header: Column) -> Column:
@@ -39,7 +39,7 @@ def rate_limit(
     Windows are cut further by time, so that a key with very many requests per window is spread.
     """
     windowed = requests.withColumn("_window", time_slice(F.col(ts), width))
-    ranked = rank_in_key(windowed, [key, "_window"], time_slice(F.col(ts), width / 64), [ts, row_id], "nth")
+    ranked = rank_in_key(windowed, [key, "_window"], time_slice(F.col(ts), width / 64), [ts, row_id], "nth", [key])
     return ranked.withColumn("limited", F.col("nth") > limit).drop("_window")
 
 

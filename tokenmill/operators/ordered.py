@@ -1,9 +1,11 @@
-"""Order-dependent kernels that never put a whole key into one task.
-
-A key may hold a third of all rows. Each kernel cuts a key's rows into slices by a monotone
-expression of the order column, reduces each slice before the shuffle, works out what every slice
-inherits from the slices before it on that small table, and only then looks at single rows, slice
-by slice. The join to the inherited values and the row window share one shuffle on (keys, slice).
+"""Order-dependent kernels that never put a hot key into one task.
+
+A key may hold a third of all rows. Keys are counted first, which reads no other column and is
+reduced before its shuffle. Up to ``HOT_ROWS`` rows, a key is a plain window over one shuffle. Keys
+beyond that are cut into slices by a monotone expression of the order column: each slice is reduced
+before the shuffle, what a slice inherits from the slices before it is worked out on that small
+table, and single rows are only looked at slice by slice. The join to the inherited values and the
+row window share one shuffle on (keys, slice).
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokenmill.operators.sizes import broadcast_if_small
 from tokenmill.session import ensure_checkpoint_dir, stage
 
 
@@ -22,23 +25,40 @@ def time_slice(ts: Column, seconds: float) -> Column:
     return F.floor(micros(ts) / F.lit(int(seconds * 1_000_000))).cast("bigint")
 
 
+HOT_ROWS = 1_000_000
+MAX_HOT_KEYS = 1_000_000
+
+
+def _cut_hot_keys(df: DataFrame, keys: list[str], slice_by: Column, hot_by: list[str] | None) -> DataFrame | None:
+    """Rows with ``_slice``, null for ordinary keys; None if there is no hot key at all."""
+    by = hot_by or keys
+    hot = df.groupBy(*by).count().where(F.col("count") > HOT_ROWS).select(*by, F.lit(True).alias("_hot"))
+    if hot.isEmpty():
+        return None
+    hot = broadcast_if_small(stage(hot, "hot-keys"), MAX_HOT_KEYS)
+    return df.join(hot, by, "left").withColumn("_slice", F.when(F.col("_hot"), slice_by)).drop("_hot")
+
+
 def running_total(
     df: DataFrame, keys: list[str], slice_by: Column, order: list[str], measure: Column, out: str,
-    inclusive: bool = False,
+    inclusive: bool = False, hot_by: list[str] | None = None,
 ) -> DataFrame:
     """``out`` = sum of ``measure`` over the key's earlier rows (and the row itself if inclusive).
 
-    ``slice_by`` must not decrease along ``order``. Null measures count as zero.
+    ``slice_by`` must not decrease along ``order``. Null measures count as zero. ``hot_by`` names the
+    keys to count for hot ones, where fewer than ``keys`` will do.
     """
-    rows = df.withColumn("_slice", slice_by).withColumn("_m", measure)
-    totals = rows.groupBy(*keys, "_slice").agg(F.sum("_m").alias("_t"))
+    upto = 0 if inclusive else -1
+    zero = F.lit(0)
+    rows = _cut_hot_keys(df, keys, slice_by, hot_by)
+    if rows is None:
+        plain = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
+        return df.withColumn("_m", measure).withColumn(out, F.coalesce(F.sum("_m").over(plain), zero)).drop("_m")
+    rows = rows.withColumn("_m", measure)
+    totals = rows.where("_slice IS NOT NULL").groupBy(*keys, "_slice").agg(F.sum("_m").alias("_t"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(*keys, "_slice", F.sum("_t").over(before).alias("_base"))
-    local = (
-        Window.partitionBy(*keys, "_slice").orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    )
-    zero = F.lit(0)
+    local = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
     return (
         rows.join(base, [*keys, "_slice"], "left")
         .withColumn(out, F.coalesce("_base", zero) + F.coalesce(F.sum("_m").over(local), zero))
@@ -46,17 +66,21 @@ def running_total(
     )
 
 
-def rank_in_key(df: DataFrame, keys: list[str], slice_by: Column, order: list[str], out: str) -> DataFrame:
+def rank_in_key(
+    df: DataFrame, keys: list[str], slice_by: Column, order: list[str], out: str, hot_by: list[str] | None = None
+) -> DataFrame:
     """1-based position of the row within its key."""
-    return running_total(df, keys, slice_by, order, F.lit(1).cast("bigint"), out, inclusive=True)
+    return running_total(df, keys, slice_by, order, F.lit(1).cast("bigint"), out, inclusive=True, hot_by=hot_by)
 
 
 def previous_value(
     df: DataFrame, keys: list[str], slice_by: Column, order: list[str], value: str, out: str
 ) -> DataFrame:
     """``lag`` by one row, with the slice's first row reading the last row of the slice before."""
-    rows = df.withColumn("_slice", slice_by)
-    last = rows.groupBy(*keys, "_slice").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_v"))
+    rows = _cut_hot_keys(df, keys, slice_by, None)
+    if rows is None:
+        return df.withColumn(out, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
+    last = rows.where("_slice IS NOT NULL").groupBy(*keys, "_slice").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_v"))
     by_slice = Window.partitionBy(*keys).orderBy("_slice")
     base = last.select(*keys, "_slice", F.lag("_v").over(by_slice).alias("_inherited"))
     local = Window.partitionBy(*keys, "_slice").orderBy(*order)
