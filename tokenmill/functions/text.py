@@ -193,9 +193,9 @@ def telegraphic(c: Column, intensity: str = "full") -> Column:
     c = strip(F.regexp_replace(c, "^[!,.;? ]+", ""))
     if intensity == "lite":
         return strip(F.regexp_replace(c, "\n+", "\n"))
+    # single words, removed without what is around them: one pass does for all lists
+    more = fixed.PREPOSITIONS_PRONOUNS if intensity == "ultra" else []
     if intensity in ("full", "ultra"):
-        c = _drop_words(c, fixed.ARTICLES + fixed.AUXILIARIES)
-    if intensity == "ultra":
-        c = _drop_words(c, fixed.PREPOSITIONS_PRONOUNS)
+        c = _drop_words(c, fixed.ARTICLES + fixed.AUXILIARIES + more)
     c = F.regexp_replace(F.regexp_replace(c, " +", " "), " +([?.!,;])", "$1")
     return strip(F.regexp_replace(c, rf"[{WS}]*[{LINE_END}][{WS}]*", "\n"))

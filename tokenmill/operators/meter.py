@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.functions import fixed
-from tokenmill.operators.ordered import greedy_ttl, rank_in_key, running_total, time_slice
+from tokenmill.operators.ordered import HotKeys, find_hot_keys, greedy_ttl, rank_in_key, running_total, time_slice
 
 MONEY4 = "decimal(12,4)"
 EXACT = "decimal(38,12)"
@@ -32,14 +32,15 @@ def key_auth(requests: DataFrame, keys: DataFrame) -> DataFrame:
 
 def rate_limit(
     requests: DataFrame, key: str, ts: str = "ts", row_id: str = "request_id",
-    limit: int = fixed.RATE_LIMIT, width: int = fixed.RATE_WINDOW_SECONDS,
+    limit: int = fixed.RATE_LIMIT, width: int = fixed.RATE_WINDOW_SECONDS, hot: HotKeys | None = None,
 ) -> DataFrame:
     """Adds ``nth`` in the key's clock window and ``limited``; refused requests count as well.
 
     Windows are cut further by time, so that a key with very many requests per window is spread.
     """
     windowed = requests.withColumn("_window", time_slice(F.col(ts), width))
-    ranked = rank_in_key(windowed, [key, "_window"], time_slice(F.col(ts), width / 64), [ts, row_id], "nth", [key])
+    ranked = rank_in_key(windowed, [key, "_window"], time_slice(F.col(ts), width / 64), [ts, row_id], "nth",
+                         hot or find_hot_keys(requests, [key]))
     return ranked.withColumn("limited", F.col("nth") > limit).drop("_window")
 
 
@@ -144,13 +145,17 @@ def request_verdict(
     tagged = requests.withColumn(
         "_caller", F.coalesce(F.sha2(token, 256), F.concat(F.lit("#"), F.col(row_id).cast("string")))
     ).withColumn("_malformed", token.isNull())
-    counted = rate_limit(tagged, "_caller", ts, row_id, limit, width)
+    hot = find_hot_keys(tagged.where("NOT _malformed"), ["_caller"])
+    if hot.rows is None:
+        # clock windows and budgets then share one shuffle, as both group by caller
+        tagged = tagged.repartition("_caller")
+    counted = rate_limit(tagged, "_caller", ts, row_id, limit, width, hot)
     named = keys.select(F.col("key_hash").alias("_caller"), F.col("id").alias("key_id"), "active", "total_budget")
     rows = counted.join(named, "_caller", "left")
     passes = ~F.col("_malformed") & ~F.col("limited") & F.coalesce("active", F.lit(False))
     rows = running_total(
         rows.withColumn("_passes", passes), ["_caller"], time_slice(F.col(ts), BUDGET_SLICE_SECONDS), [ts, row_id],
-        F.when(passes, F.col(cost)).otherwise(0).cast(EXACT), "_spent",
+        F.when(passes, F.col(cost)).otherwise(0).cast(EXACT), "_spent", hot=hot,
     )
     refusals = {
         "malformed": F.col("_malformed"),

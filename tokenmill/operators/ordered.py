@@ -10,6 +10,8 @@ row window share one shuffle on (keys, slice).
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,31 +28,42 @@ def time_slice(ts: Column, seconds: float) -> Column:
 
 
 HOT_ROWS = 1_000_000
+PARTS = 64
 MAX_HOT_KEYS = 1_000_000
 
 
-def _cut_hot_keys(df: DataFrame, keys: list[str], slice_by: Column, hot_by: list[str] | None) -> DataFrame | None:
-    """Rows with ``_slice``, null for ordinary keys; None if there is no hot key at all."""
-    by = hot_by or keys
+class HotKeys(NamedTuple):
+    """Keys with more than ``HOT_ROWS`` rows; ``rows`` is None where there are none."""
+
+    by: list[str]
+    rows: DataFrame | None
+
+
+def find_hot_keys(df: DataFrame, by: list[str]) -> HotKeys:
     hot = df.groupBy(*by).count().where(F.col("count") > HOT_ROWS).select(*by, F.lit(True).alias("_hot"))
-    if hot.isEmpty():
+    return HotKeys(by, None if hot.isEmpty() else broadcast_if_small(stage(hot, "hot-keys"), MAX_HOT_KEYS))
+
+
+def _cut_hot_keys(df: DataFrame, keys: list[str], slice_by: Column, hot: HotKeys | None) -> DataFrame | None:
+    """Rows with ``_slice``, null for ordinary keys; None if there is no hot key at all."""
+    hot = hot or find_hot_keys(df, keys)
+    if hot.rows is None:
         return None
-    hot = broadcast_if_small(stage(hot, "hot-keys"), MAX_HOT_KEYS)
-    return df.join(hot, by, "left").withColumn("_slice", F.when(F.col("_hot"), slice_by)).drop("_hot")
+    return df.join(hot.rows, hot.by, "left").withColumn("_slice", F.when(F.col("_hot"), slice_by)).drop("_hot")
 
 
 def running_total(
     df: DataFrame, keys: list[str], slice_by: Column, order: list[str], measure: Column, out: str,
-    inclusive: bool = False, hot_by: list[str] | None = None,
+    inclusive: bool = False, hot: HotKeys | None = None,
 ) -> DataFrame:
     """``out`` = sum of ``measure`` over the key's earlier rows (and the row itself if inclusive).
 
-    ``slice_by`` must not decrease along ``order``. Null measures count as zero. ``hot_by`` names the
-    keys to count for hot ones, where fewer than ``keys`` will do.
+    ``slice_by`` must not decrease along ``order``. Null measures count as zero. ``hot`` saves the
+    count where the hot keys are known, or where some of ``keys`` tell them as well.
     """
     upto = 0 if inclusive else -1
     zero = F.lit(0)
-    rows = _cut_hot_keys(df, keys, slice_by, hot_by)
+    rows = _cut_hot_keys(df, keys, slice_by, hot)
     if rows is None:
         plain = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
         return df.withColumn("_m", measure).withColumn(out, F.coalesce(F.sum("_m").over(plain), zero)).drop("_m")
@@ -67,10 +80,10 @@ def running_total(
 
 
 def rank_in_key(
-    df: DataFrame, keys: list[str], slice_by: Column, order: list[str], out: str, hot_by: list[str] | None = None
+    df: DataFrame, keys: list[str], slice_by: Column, order: list[str], out: str, hot: HotKeys | None = None
 ) -> DataFrame:
     """1-based position of the row within its key."""
-    return running_total(df, keys, slice_by, order, F.lit(1).cast("bigint"), out, inclusive=True, hot_by=hot_by)
+    return running_total(df, keys, slice_by, order, F.lit(1).cast("bigint"), out, inclusive=True, hot=hot)
 
 
 def previous_value(
@@ -174,35 +187,31 @@ def _long_sessions(ev: DataFrame, group: list[str], span: int) -> DataFrame:
         )
     ).checkpoint()
 
-    # the first row at or after t + ttl: within its slice by a window, else the next slice's first row
-    per_slice = rows.groupBy(*group, "_slice").agg(F.min("_t").alias("_min"))
-    by_slice = Window.partitionBy(*group).orderBy("_slice")
-    near = F.lead(F.struct("_slice", "_min"), 1).over(by_slice)
-    far = F.lead(F.struct("_slice", "_min"), 2).over(by_slice)
-    beyond = per_slice.select(
-        *group, "_slice",
-        F.when(near._slice > F.col("_slice") + 1, near).otherwise(far).alias("_beyond"),
-    )
-    marks = rows.select(*group, "_slice", "_t", F.lit(0).alias("_probe"), F.lit(None).cast("bigint").alias("_from"))
-    probes = rows.select(
-        *group, (F.col("_slice") + 1).alias("_slice"), (F.col("_t") + F.col("_ttl")).alias("_t"),
-        F.lit(1).alias("_probe"), F.col("_t").alias("_from"),
+    # The first row at or after t + ttl: within its part of a slice by a window, else the first row of
+    # the next part that has any. Parts keep the windows short where a slice holds very many rows.
+    part = F.floor(F.col("_t") / (F.col("_ttl") / PARTS)).cast("bigint")
+    null = F.lit(None).cast("bigint")
+    marks = rows.select(*group, "_ttl", "_t", F.col("_t").alias("_row_t"), null.alias("_from"))
+    probes = rows.select(*group, "_ttl", (F.col("_t") + F.col("_ttl")).alias("_t"), null.alias("_row_t"),
+                         F.col("_t").alias("_from"))
+    both = marks.unionByName(probes).withColumn("_part", part)
+    later_parts = Window.partitionBy(*group).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = both.groupBy(*group, "_part").agg(F.min("_row_t").alias("_min")).select(
+        *group, "_part", F.last("_min", ignorenulls=True).over(later_parts).alias("_beyond")
     )
-    backwards = Window.partitionBy(*group, "_slice").orderBy(F.desc("_t"), "_probe").rowsBetween(
+    backwards = Window.partitionBy(*group, "_part").orderBy(F.desc("_t"), F.col("_from").asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, 0
     )
-    inside = (
-        marks.unionByName(probes)
-        .withColumn("_hit", F.last(F.when(F.col("_probe") == 0, F.col("_t")), ignorenulls=True).over(backwards))
-        .where("_probe = 1")
-        .select(*group, F.col("_from").alias("_t"), F.when(
-            F.col("_hit").isNotNull(), F.struct(F.col("_slice"), F.col("_hit").alias("_min"))).alias("_in"))
+    to = F.coalesce("_hit", "_beyond")
+    onwards = (
+        both.join(beyond, [*group, "_part"])
+        .withColumn("_hit", F.last("_row_t", ignorenulls=True).over(backwards))
+        .where("_from IS NOT NULL")
+        .select(*group, F.col("_from").alias("_t"), to.alias("_nt"), F.floor(to / F.col("_ttl")).cast("bigint").alias("_ns"))
     )
-    to = F.coalesce("_in", "_beyond")
     hop = (
-        rows.join(inside, [*group, "_t"]).join(beyond, [*group, "_slice"])
-        .select(*group, "_t", "_slice", (F.col("_t") == F.col("_lo")).alias("_first"),
-                to._min.alias("_nt"), to._slice.alias("_ns"))
+        rows.join(onwards, [*group, "_t"])
+        .select(*group, "_t", "_slice", (F.col("_t") == F.col("_lo")).alias("_first"), "_nt", "_ns")
         .checkpoint()
     )
     hops = [hop]

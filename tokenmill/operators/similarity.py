@@ -20,7 +20,6 @@ from tokenmill.functions import fixed
 from tokenmill.functions.scalars import passes_score
 from tokenmill.functions.text import digit_signature, toggle_signature
 
-PIVOTS = 16
 QUERY_BLOCK = 8_192
 ENTRY_BLOCK = 32_768
 CHUNK = 512  # queries multiplied at once inside a task
@@ -84,7 +83,7 @@ def _block_top_k(k: int, radius: float) -> Callable[[pd.DataFrame, pd.DataFrame]
 
 
 def nearest_within(
-    queries: DataFrame, entries: DataFrame, k: int, radius: float, pivots: int = PIVOTS,
+    queries: DataFrame, entries: DataFrame, k: int, radius: float, pivots: int | None = None,
     query_block: int = QUERY_BLOCK, entry_block: int = ENTRY_BLOCK,
 ) -> DataFrame:
     """(query_id, entry_id, dist, nth): up to ``k`` nearest entries of each query within ``radius``.
@@ -94,6 +93,8 @@ def nearest_within(
     schema = "query_id bigint, entry_id bigint, dist double"
     spark = queries.sparkSession
     empty = spark.createDataFrame([], schema + ", nth int")
+    if pivots is None:  # more cells for more entries, but never many vectors on the driver
+        pivots = min(max(int(entries.count() ** 0.5) // 8, 16), 2048)
     # a fixed number of vectors, picked by hash so that a rerun picks the same ones
     picked = entries.select("embedding", F.xxhash64("entry_id").alias("_o")).orderBy("_o").limit(pivots).collect()
     if not picked:
@@ -107,23 +108,19 @@ def nearest_within(
     chord_radius = float(np.sqrt(2.0 * radius))
     e = _target_cells(entries, centre, {c: r.far + chord_radius + SLACK for c, r in cells.items()})
     entry_counts = {r.cell: r["count"] for r in e.groupBy("cell").count().collect()}
-    parts = lambda n, size: F.lit(max(1, -(-int(n) // size)))
-    per_cell = lambda counts, size: F.create_map(
-        *[x for c, n in counts.items() for x in (F.lit(c), parts(n, size))]
-    )
-    met = {c: r.n for c, r in cells.items() if c in entry_counts}
+    parts = lambda n, size: max(1, -(-int(n) // size))
+    met = [(c, parts(r.n, query_block), parts(entry_counts[c], entry_block)) for c, r in cells.items() if c in entry_counts]
     if not met:
         return empty
-    q_parts = F.try_element_at(per_cell(met, query_block), F.col("cell"))
-    e_parts = F.try_element_at(per_cell(entry_counts, entry_block), F.col("cell"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    q_blocks = (
-        q.where(F.col("cell").isin(*met)).withColumn("qb", F.pmod(F.xxhash64("query_id"), q_parts).cast("int"))
-        .withColumn("eb", every(e_parts)).select("cell", "qb", "eb", "query_id", "embedding")
+    # at most one row per pivot, so it is small
+    blocks = F.broadcast(spark.createDataFrame(met, "cell int, q_parts int, e_parts int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    q_blocks = q.join(blocks, "cell").select(
+        "cell", mine("query_id", "q_parts").alias("qb"), every("e_parts").alias("eb"), "query_id", "embedding"
     )
-    e_blocks = (
-        e.where(F.col("cell").isin(*met)).withColumn("eb", F.pmod(F.xxhash64("entry_id"), e_parts).cast("int"))
-        .withColumn("qb", every(q_parts)).select("cell", "qb", "eb", "entry_id", "embedding")
+    e_blocks = e.join(blocks, "cell").select(
+        "cell", every("q_parts").alias("qb"), mine("entry_id", "e_parts").alias("eb"), "entry_id", "embedding"
     )
     block = ["cell", "qb", "eb"]
     found = (
