@@ -93,7 +93,9 @@ def compress_budgeted(
     listed = docs.select(
         F.col(row_id).alias("_d"), F.regexp_extract_all(plain, F.lit(rf"([^ \n{marks}]+|[\n{marks}])")).alias("_all")
     )
-    tokens = listed.select("_d", F.size("_all").alias("_n"), F.posexplode("_all").alias("_p", "_w"))
+    # the size is taken below the explode, else every token's row would carry the whole list
+    counted = listed.select("_d", "_all", F.size("_all").alias("_n"))
+    tokens = counted.select("_d", "_n", F.posexplode("_all").alias("_p", "_w"))
     forced = F.col("_w").isin(*fixed.FORCED_TOKENS)
     frequency = stage(
         listed.select(F.explode(F.array_distinct("_all")).alias("_w")).where(~forced).groupBy("_w").agg(F.count("*").alias("_df")),
