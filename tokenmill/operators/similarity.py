@@ -9,10 +9,12 @@ and keeps ``k`` rows per query; pairs are never emitted.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from tokenmill.functions.text import digit_signature, toggle_signature
 QUERY_BLOCK = 8_192
 ENTRY_BLOCK = 32_768
 CHUNK = 512  # queries multiplied at once inside a task
+# the block functions travel to the workers themselves, so the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SLACK = 1e-6  # keeps rounding from pruning a pair that lies exactly on the radius
 
 
