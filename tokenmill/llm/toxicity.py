@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from tokenmill.llm import textbytes as tb
 
 SAMPLE = 3000  # labelled documents of either kind that the model is fitted on, at most
-WORDS = 4096  # words that may get a weight
+WORDS = 4096  # words that may get a weight, at most
+SURE = 4.5  # in standard errors: how surely such a word must tell toxic from other documents
 GRADES = 3  # grades above 0
-L1 = 0.002
-STEPS = 400
+LIFT = 8  # and how many times as frequent it must be among the one kind
+L1 = 5e-5
+STEPS = 1500
 
 
 @dataclass
@@ -70,14 +72,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = W
     """Fits on a bounded sample: up to ``sample`` toxic and as many other labelled documents, by hash of the id.
 
     Labels say toxic or not. Grades come from the sample itself: words that are much more frequent among its
-    toxic documents make a lexicon, and a toxic document's grade is the band its share of lexicon words
-    falls into (bands of equal size). An id with several labels is toxic if one of them says so; rows with a
-    null id or label are passed over. Without both kinds of labels there is no model (None).
+    toxic documents make a lexicon, and a toxic document's grade is the band that its sum of log(1 + count)
+    over the lexicon falls into (bands of equal size). An id with several labels is toxic if one of them says so; rows with a
+    null id or label are passed over. Without both kinds of labels there is no model (None). The thresholds
+    are moved to the share of toxic documents among all labels, which the sample does not keep.
     """
     per = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = per.filter("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).unionByName(
         per.filter("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
+    share_of = per.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 * sample rows
     rows = texts.mapInArrow(_bags, "doc_id long, toxic int, words binary, counts binary, total long").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["words"], r["counts"]))
@@ -93,26 +97,44 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = W
     with_word = np.bincount(word, minlength=len(vocabulary))
     in_toxic = np.bincount(word, weights=toxic[doc], minlength=len(vocabulary))
     in_other = with_word - in_toxic
-    p, q = (in_toxic + 0.5) / (toxic.sum() + 1), (in_other + 0.5) / ((~toxic).sum() + 1)
-    tell = np.log(p / (1 - p)) - np.log(q / (1 - q))
-    z = tell / np.sqrt(1 / (in_toxic + 0.5) + 1 / (in_other + 0.5))
-    chosen_words = np.sort(np.argsort(-np.abs(np.where(with_word >= 3, z, 0)), kind="stable")[:words])
-    lexicon = (z > 4) & (tell > 2)
+    # signed root of the likelihood ratio: how sure it is that a word's share differs between the two kinds
+    part = toxic.mean()
+    expected = with_word * part, with_word * (1 - part)
+    ratio = sum(2 * o * np.log(np.maximum(o, 1e-300) / e) for o, e in zip((in_toxic, in_other), expected))
+    z = np.sign(in_toxic - expected[0]) * np.sqrt(np.maximum(ratio, 0))
+    ranked = np.argsort(-np.abs(z), kind="stable")
+    odds = part / (1 - part)
+    lexicon = (z > SURE) & (in_toxic > LIFT * odds * in_other)
     if not lexicon.any():
         lexicon = z == z.max()
-    share = np.bincount(doc, weights=counts * lexicon[word], minlength=len(rows)) / np.maximum([r["total"] for r in rows], 1)
-    edges = np.quantile(share[toxic], np.arange(1, grades) / grades)
-    grade = np.where(toxic, 1 + np.searchsorted(edges, share, side="right"), 0)
+    tells = lexicon | ((z < -SURE) & (in_other > LIFT / odds * in_toxic))
+    chosen_words = np.sort(ranked[tells[ranked]][:words])
+    weight_of = np.bincount(doc, weights=np.log1p(counts) * lexicon[word], minlength=len(rows))
+    edges = np.quantile(weight_of[toxic], np.arange(1, grades) / grades)
+    grade = np.where(toxic, 1 + np.searchsorted(edges, weight_of, side="right"), 0)
 
     place = np.full(len(vocabulary), -1)
     place[chosen_words] = np.arange(len(chosen_words))
     use = place[word] >= 0
     d, f, v = doc[use], place[word[use]], np.log1p(counts[use])
     weights, thresholds = _ordinal(d, f, v, grade, len(rows), len(chosen_words), grades)
+    in_sample = toxic.mean()
+    thresholds = thresholds + np.log(in_sample / (1 - in_sample)) - np.log(share_of / (1 - share_of))
     some = np.flatnonzero(weights)
     return Severity(vocabulary[chosen_words[some]], weights[some], thresholds)
 
 
+def _largest(doc, feature, value, weight, docs, features, rounds=30) -> float:
+    """Largest eigenvalue of the weighted second moments of x and the constant, by power iteration."""
+    v, c, size = np.ones(features), 1.0, 1.0
+    for _ in range(rounds):
+        size = np.sqrt((v**2).sum() + c * c)
+        v, c = v / size, c / size
+        score = (np.bincount(doc, weights=value * v[feature], minlength=docs) + c) * weight
+        v, c = np.bincount(feature, weights=value * score[doc], minlength=features), score.sum()
+    return float(np.sqrt((v**2).sum() + c * c))
+
+
 def _ordinal(doc, feature, value, grade, docs, features, grades, l1=L1, steps=STEPS):
     """Proximal gradient with momentum for all thresholds at once. Documents weigh so that toxic and other
     ones count alike."""
@@ -121,8 +143,7 @@ def _ordinal(doc, feature, value, grade, docs, features, grades, l1=L1, steps=ST
     weight = np.where(toxic, 0.5 / max(toxic.sum(), 1), 0.5 / max((~toxic).sum(), 1))
     w, theta = np.zeros(features), np.zeros(grades)
     vw, vt, t = w.copy(), theta.copy(), 1.0
-    norm = np.bincount(doc, weights=value**2, minlength=docs).max()
-    step = 4.0 / (grades * (norm * 0.25 + 1))
+    step = 4.0 / (grades * max(_largest(doc, feature, value, weight, docs, features), 1e-9))
     for _ in range(steps):
         score = np.bincount(doc, weights=value * vw[feature], minlength=docs)
         miss = (_sigmoid(score[:, None] - vt[None, :]) - above) * weight[:, None]
