@@ -94,11 +94,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = W
     vocabulary, word = np.unique(np.concatenate(hashes), return_inverse=True)
 
     toxic = y == 1
-    with_word = np.bincount(word, minlength=len(vocabulary))
-    in_toxic = np.bincount(word, weights=toxic[doc], minlength=len(vocabulary))
-    in_other = with_word - in_toxic
+    # copies and near copies of one text share a vote, or all words of a text that was copied would seem to tell
+    votes = _votes(hashes)
+    in_toxic = np.bincount(word, weights=(votes * toxic)[doc], minlength=len(vocabulary))
+    in_other = np.bincount(word, weights=(votes * ~toxic)[doc], minlength=len(vocabulary))
+    with_word = in_toxic + in_other
     # signed root of the likelihood ratio: how sure it is that a word's share differs between the two kinds
-    part = toxic.mean()
+    part = (votes * toxic).sum() / votes.sum()
     expected = with_word * part, with_word * (1 - part)
     ratio = sum(2 * o * np.log(np.maximum(o, 1e-300) / e) for o, e in zip((in_toxic, in_other), expected))
     z = np.sign(in_toxic - expected[0]) * np.sqrt(np.maximum(ratio, 0))
@@ -124,6 +126,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = W
     return Severity(vocabulary[chosen_words[some]], weights[some], thresholds)
 
 
+def _votes(hashes: list[np.ndarray]) -> np.ndarray:
+    """1 / the number of sample texts that share two min-hashes of their words."""
+    keys = [tuple(int(tb.mix(h ^ salt).min()) if len(h) else 0 for salt in (np.uint64(1), np.uint64(2))) for h in hashes]
+    size: dict = {}
+    for k in keys:
+        size[k] = size.get(k, 0) + 1
+    return np.array([1 / size[k] for k in keys])
+
+
 def _largest(doc, feature, value, weight, docs, features, rounds=30) -> float:
     """Largest eigenvalue of the weighted second moments of x and the constant, by power iteration."""
     v, c, size = np.ones(features), 1.0, 1.0
