@@ -75,9 +75,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sums = base.select("row", "doc_id", F.sha2(F.expr("cast(norm as binary)"), 256).alias("text_sha256"))
     members = stage(sums.join(one, "row"), "named-documents")
     groups = members.groupBy("level", "name").agg(least_row(F.col("doc_id"), F.col("row")).alias("first"), F.count("*").alias("group_size"))
-    return members.join(groups, ["level", "name"]).select(
-        "row", "doc_id", F.col("first.key").alias("keep_id"), "group_size",
-        (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256",
+    # written, so that the join below has two plain inputs and a large group can be split; most texts have no copy
+    groups = stage(groups.filter("group_size > 1").select("level", "name", "first.*", "group_size"), "groups")
+    copied = F.col("group_size").isNotNull()
+    return members.join(groups.withColumnRenamed("row", "first_row"), ["level", "name"], "left").select(
+        "row", "doc_id", F.when(copied, F.col("key")).otherwise(F.col("doc_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (~copied | (F.col("row") == F.col("first_row"))).alias("kept"), "text_sha256",
     )
 
 

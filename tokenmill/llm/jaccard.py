@@ -28,6 +28,7 @@ from tokenmill.llm.components import components
 
 BAND = 0.7  # ratio of a band's lower to its upper size
 FEW = 24  # classes in a part that are compared with each other
+_KEY_COLUMNS = ["key", "class", "n", "band", "given"]
 _U = np.uint64
 _A, _B = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
 
@@ -83,12 +84,12 @@ def _members(batches, width: int):
         )
 
 
-def part_keys(values: np.ndarray, at: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray]:
-    """Text and key of every part to join on.
+def part_keys(values: np.ndarray, at: np.ndarray, join: Join) -> tuple[np.ndarray, ...]:
+    """Text, key, band and number of keys in the band, of every part to join on.
 
     Parts with fewer than two set bits say little and are left out; there are spare parts for that. A set
     with too many such parts also gets its smallest shingles as keys, as many as two linking sets can't
-    both miss.
+    both miss; their band is -1.
     """
     least, k, parts = join.bands()
     n = np.diff(at)
@@ -110,11 +111,16 @@ def part_keys(values: np.ndarray, at: np.ndarray, join: Join) -> tuple[np.ndarra
     number = np.arange(slots[-1]) - slots[:-1][row]
     full = bits >= 2
     key = tb.mix(word + tb.mix(number.astype(np.uint64) * _B + band[row].astype(np.uint64)))[full]
-    poor = np.flatnonzero(p - np.bincount(row[full], minlength=len(rows)) >= p - k[band])
+    given = np.bincount(row[full], minlength=len(rows))
+    poor = np.flatnonzero(given <= k[band])
     ahead = size[poor] - (join.percent * size[poor] + 99) // 100 + 1
     where = np.repeat(begin[:-1][poor] - np.concatenate([[0], np.cumsum(ahead)])[:-1], ahead) + np.arange(ahead.sum())
     rest = tb.mix(x[where] ^ _B)
-    return np.concatenate([rows[row[full]], np.repeat(rows[poor], ahead)]), np.concatenate([key, rest])
+    none = np.zeros(len(rest), np.int64)
+    return (
+        np.concatenate([rows[row[full]], np.repeat(rows[poor], ahead)]), np.concatenate([key, rest]),
+        np.concatenate([band[row[full]], none - 1]), np.concatenate([given[row[full]], none]),
+    )
 
 
 def _parts(batches, join: Join):
@@ -128,11 +134,15 @@ def _parts(batches, join: Join):
             if c not in seen:
                 seen.add(c)
                 new.append(i)
-        text, key = part_keys(values, at, join)
+        text, key, band, given = part_keys(values, at, join)
         first = np.zeros(len(one), bool)
         first[new] = True
         keep = first[text]
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(one[text[keep]])], ["key", "class"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key[keep].view(np.int64)), pa.array(one[text[keep]]), pa.array(np.diff(at)[text[keep]], pa.int64()),
+             pa.array(band[keep], pa.int32()), pa.array(given[keep], pa.int32())],
+            _KEY_COLUMNS,
+        )
 
 
 def _stored(batches, width: int):
@@ -169,8 +179,27 @@ def _compared(pairs: DataFrame, sets: DataFrame, join: Join, outside: bool) -> D
     return stage(both.mapInArrow(lambda x: _verify(x, join, outside), "a long, b long, linked boolean, keys array<long>"), "compared")
 
 
+def _likely(rows: DataFrame, join: Join, few: int) -> DataFrame:
+    """Pairs of classes in parts of at most ``few``, without those that share too few parts to link.
+
+    Of the parts that a set gives in a band, at most as many differ in the other set as shingles may differ.
+    Parts beyond ``few`` are not paired here; both sets' number of them is added as if they shared it.
+    """
+    in_band = Window.partitionBy("class", "band")
+    rows = rows.withColumn("many", F.sum((F.col("size") > few).cast("int")).over(in_band)).filter(F.col("size") <= few)
+    x, y = rows.alias("x"), rows.alias("y")
+    both = x.join(y, "key").filter("x.class < y.class and x.component <> y.component")
+    differ = F.floor((100 - join.percent) * (F.col("x.n") + F.col("y.n")) / (100 + join.percent))
+    both = both.select(
+        F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.col("x.band").alias("band"),
+        (F.greatest("x.given", "y.given") - differ - F.least("x.many", "y.many")).alias("needed"),
+    )
+    both = both.groupBy("a", "b", "band").agg(F.count("*").alias("shared"), F.max("needed").alias("needed"))
+    return both.filter("shared >= needed").select("a", "b").distinct()
+
+
 def _links(keys: DataFrame, sets: DataFrame, join: Join, few: int) -> DataFrame:
-    """Links (a, b) between classes that connect what is connected. ``keys``: key, class, n."""
+    """Links (a, b) between classes that connect what is connected. ``keys`` has the columns of parts."""
     found, by_key = None, Window.partitionBy("key")
     while True:
         if found is None:
@@ -183,17 +212,17 @@ def _links(keys: DataFrame, sets: DataFrame, join: Join, few: int) -> DataFrame:
             F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"),
             F.min(F.struct("n", "class")).alias("centre"),
         ).filter("low < high")
-        rows = stage(rows.join(about, "key").select("key", "class", "n", "component", "size", F.col("centre.class").alias("centre")), "parts")
-        small = rows.filter(F.col("size") <= few).select("key", "class", "component")
-        pairs = small.alias("x").join(small.alias("y"), "key").filter("x.class < y.class and x.component <> y.component")
-        pairs = pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-        stars = rows.filter((F.col("size") > few) & (F.col("class") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("class").alias("b"), "n").distinct()
-        pairs = _compared(pairs, sets, join, False)
-        stars = _compared(stars.select("a", "b"), sets, join, True)
+        rows = stage(rows.join(about, "key").select(*_KEY_COLUMNS, "component", "size", F.col("centre.class").alias("centre")), "parts")
+        stars = rows.filter((F.col("size") > few) & (F.col("class") != F.col("centre")))
+        stars = stars.select(F.col("centre").alias("a"), F.col("class").alias("b")).distinct()
+        pairs = _compared(_likely(rows, join, few), sets, join, False)
+        stars = _compared(stars, sets, join, True)
         links = pairs.filter("linked").select("a", "b").unionByName(stars.filter("linked").select("a", "b"))
         found = links if found is None else found.unionByName(links)
         sizes = sets.select(F.col("class").alias("b"), "n")
-        keys = stars.join(sizes, "b").select(F.explode("keys").alias("key"), F.col("b").alias("class"), "n")
+        keys = stars.join(sizes, "b").select(
+            F.explode("keys").alias("key"), F.col("b").alias("class"), "n", F.lit(-1).alias("band"), F.lit(0).alias("given")
+        )
         keys = stage(keys.withColumn("size", F.count("*").over(by_key)).filter("size > 1").drop("size"), "outside")
         if keys.isEmpty():
             return found
@@ -215,18 +244,17 @@ def near_groups(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", te
     members = stage(
         base.mapInArrow(lambda b: _members(b, join.width), f"row long, doc_id {kind}, n_shingles long, class long, check long"), "members"
     )
-    parts = base.select("text").mapInArrow(lambda b: _parts(b, join), "key long, class long")
+    parts = base.select("text").mapInArrow(lambda b: _parts(b, join), "key long, class long, n long, band int, given int")
     by_key = Window.partitionBy("key")
-    shared = parts.select("key", "class", F.min("class").over(by_key).alias("low"), F.max("class").over(by_key).alias("high"))
-    shared = stage(shared.filter("low < high").select("key", "class").distinct(), "shared-parts")
+    shared = parts.select("*", F.min("class").over(by_key).alias("low"), F.max("class").over(by_key).alias("high"))
+    keys = stage(shared.filter("low < high").select(*_KEY_COLUMNS).distinct(), "shared-parts")
     # the sets of the classes that share a part; one row of each class is read again
     first = members.filter("n_shingles > 0").groupBy("class").agg(F.min("row").alias("row"))
-    wanted = first.join(shared.select("class").distinct(), "class", "left_semi").select("row")
+    wanted = first.join(keys.select("class").distinct(), "class", "left_semi").select("row")
     sets = stage(
         base.join(wanted, "row", "left_semi").select("text").mapInArrow(
             lambda b: _stored(b, join.width), "class long, n long, shingles binary"), "sets",
     )
-    keys = shared.join(sets.select("class", "n"), "class")
     links = _links(keys, sets, join, few)
     label = components(links).select(F.col("node").alias("class"), "component")
     grouped = members.join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
@@ -236,9 +264,13 @@ def near_groups(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", te
         grouped.select("row", "doc_id", "n_shingles", alone.alias("alone"), F.when(alone, F.col("row")).otherwise(F.col("component")).alias("component")),
         "grouped",
     )
-    least = grouped.groupBy("alone", "component").agg(least_row(F.col("doc_id"), F.col("row")).alias("first"))
-    return grouped.join(least, ["alone", "component"]).select(
-        "row", "doc_id", "n_shingles", F.col("first.key").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept")
+    least = grouped.groupBy("alone", "component").agg(least_row(F.col("doc_id"), F.col("row")).alias("first"), F.count("*").alias("size"))
+    # written, so that the join below has two plain inputs and a large component can be split
+    least = stage(least.filter("size > 1").select("alone", "component", F.col("first.key").alias("key"), F.col("first.row").alias("first_row")), "least")
+    grown = F.col("first_row").isNotNull()
+    return grouped.join(least, ["alone", "component"], "left").select(
+        "row", "doc_id", "n_shingles", F.when(grown, F.col("key")).otherwise(F.col("doc_id")).alias("component_id"),
+        (~grown | (F.col("row") == F.col("first_row"))).alias("kept"),
     )
 
 

@@ -194,7 +194,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     taken = dealt.select("rank", "blocks", "shard", "slot").mapInArrow(
         lambda b: _permute(b, seed), "rank long, shard long, slot long, turn long, block long"
     )
-    return taken.join(spans, ["rank", "block"]), sizes
+    # merged, because the slots' number is not seen before they are made, and must not be broadcast
+    return taken.join(spans.hint("merge"), ["rank", "block"]), sizes
 
 
 def taken_words(docs: DataFrame, **how) -> DataFrame:
