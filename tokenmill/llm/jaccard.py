@@ -6,11 +6,11 @@ difference of the sets. In a band of sizes this difference is at most k for sets
 at least s are equal: sets are joined on equal parts (pigeonhole), and what meets is verified. A sketch is
 kept sparse: a part is the XOR of random codes of its set bits.
 
-Documents with one set form a class and stand for each other. Pairs inside a part that many classes share are
-not listed. Its smallest set c is compared with all others instead. If x and y share no shingle outside c,
-and neither is smaller than c, then J(x, y) is at most J(x, c) and J(c, y): a link between x and y then
-is a path through c. So only sets that share a shingle outside c need to meet again, and these shingles are
-the parts of the next round.
+Documents with one set form a class and stand for each other. Classes in a part that few share are paired, and
+pairs that share too few parts are dropped before any set is fetched. Classes that meet in a part that many
+share form a family. A family is cut into blocks, and two blocks at a time are compared inside a task by dense
+sketches; a pair whose Hamming distance allows a link is verified at once, unless links found before connect
+it already. So a family yields no more links than it has members, for each pair of blocks.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from tokenmill.llm.common import least_row, stage, with_row, free_name
 from tokenmill.llm.components import components
 
 BAND = 0.7  # ratio of a band's lower to its upper size
-FEW = 24  # classes in a part that are compared with each other
+FEW = 100  # classes in a part that are paired with each other
+BLOCK = 1 << 19  # shingles in a block of a family, about
 _KEY_COLUMNS = ["key", "class", "n", "band", "given"]
 _U = np.uint64
 _A, _B = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
@@ -48,7 +49,7 @@ class Join:
             least.append(max(least[-1] + 1, int(least[-1] / BAND)))
         top = np.array(least[1:]) - 1
         k = 2 * (100 - self.percent) * top // (100 + self.percent)
-        return np.array(least[:-1]), k, np.where(k > 0, k + 3 + k // 10, 0)
+        return np.array(least[:-1]), k, np.where(k > 0, k + 4 + k // 3, 0)
 
     def link(self, both, a, b):
         return 100 * both >= self.percent * (a + b - both)
@@ -156,76 +157,111 @@ def _stored(batches, width: int):
         )
 
 
-def _verify(batches, join: Join, outside: bool):
-    """Compares sets a and b. ``outside`` also returns the keys of b's shingles that a has not."""
+def _verify(batches, join: Join):
+    """Compares sets a and b."""
     for batch in batches:
-        a, b = batch.column("a"), batch.column("b")
-        linked, keys = [], []
-        for c, x, y in zip(a.to_pylist(), batch.column("set_a"), batch.column("set_b")):
+        linked = []
+        for x, y in zip(batch.column("set_a"), batch.column("set_b")):
             x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-            at = np.searchsorted(x, y)
-            at[at == len(x)] = 0
-            shared = x[at] == y
-            linked.append(bool(join.link(int(shared.sum()), len(x), len(y))))
-            keys.append((tb.mix(y[~shared] ^ tb.mix(np.full(1, c, np.int64).view(np.uint64)))).view(np.int64) if outside else [])
-        yield pa.RecordBatch.from_arrays([a, b, pa.array(linked, pa.bool_()), pa.array(keys, pa.list_(pa.int64()))], ["a", "b", "linked", "keys"])
+            linked.append(bool(join.link(_shared(x, y), len(x), len(y))))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, join: Join, outside: bool) -> DataFrame:
-    """``pairs`` a, b with their verdict."""
-    left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("set_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
-    return stage(both.mapInArrow(lambda x: _verify(x, join, outside), "a long, b long, linked boolean, keys array<long>"), "compared")
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Common members of two sorted sets."""
+    at = np.searchsorted(x, y)
+    at[at == len(x)] = 0
+    return int((x[at] == y).sum())
 
 
-def _likely(rows: DataFrame, join: Join, few: int) -> DataFrame:
-    """Pairs of classes in parts of at most ``few``, without those that share too few parts to link.
+def _likely(rows: DataFrame, join: Join) -> DataFrame:
+    """Pairs of classes in parts that few share, without those that share too few such parts to link.
 
     Of the parts that a set gives in a band, at most as many differ in the other set as shingles may differ.
-    Parts beyond ``few`` are not paired here; both sets' number of them is added as if they shared it.
+    A pair that also shares one of the other parts is in a family, so these need not be counted here.
     """
-    in_band = Window.partitionBy("class", "band")
-    rows = rows.withColumn("many", F.sum((F.col("size") > few).cast("int")).over(in_band)).filter(F.col("size") <= few)
     x, y = rows.alias("x"), rows.alias("y")
-    both = x.join(y, "key").filter("x.class < y.class and x.component <> y.component")
+    both = x.join(y, "key").filter("x.class < y.class")
     differ = F.floor((100 - join.percent) * (F.col("x.n") + F.col("y.n")) / (100 + join.percent))
     both = both.select(
         F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.col("x.band").alias("band"),
-        (F.greatest("x.given", "y.given") - differ - F.least("x.many", "y.many")).alias("needed"),
+        (F.greatest("x.given", "y.given") - differ).alias("needed"),
     )
     both = both.groupBy("a", "b", "band").agg(F.count("*").alias("shared"), F.max("needed").alias("needed"))
     return both.filter("shared >= needed").select("a", "b").distinct()
 
 
+def _dense(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """Parity sketches of ``bits`` bits, as rows of 64-bit words."""
+    out = np.zeros((len(sets), bits // 64), np.uint64)
+    for row, x in zip(out, sets):
+        at = (tb.mix(x ^ _A) & _U(bits - 1)).astype(np.int64)
+        odd = np.flatnonzero(np.bincount(at, minlength=bits) & 1)
+        np.bitwise_or.at(row, odd >> 6, _U(1) << (odd & 63).astype(np.uint64))
+    return out
+
+
+def _block_links(group: pa.Table, join: Join) -> pa.Table:
+    """Links between the classes of one block, or of two blocks: enough to connect what is connected."""
+    low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+    group = group.sort_by([("n", "ascending"), ("class", "ascending")])
+    classes, block = group.column("class").to_pylist(), group.column("block").to_numpy()
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
+    n = np.array([len(x) for x in sets])
+    differ = 2 * (100 - join.percent) * int(n.max()) // (100 + join.percent)
+    sketch = _dense(sets, 1 << max(8, int(8 * differ).bit_length()))
+    root = list(range(len(sets)))
+
+    def top(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    a, b = [], []
+    for i in range(len(sets)):
+        end = int(np.searchsorted(n, 100 * n[i] // join.percent, side="right"))  # larger sets can't link
+        apart = np.bitwise_count(sketch[i + 1 : end] ^ sketch[i]).sum(1)
+        near = apart * (100 + join.percent) <= (100 - join.percent) * (n[i] + n[i + 1 : end])
+        if low != high:
+            near &= block[i + 1 : end] != block[i]  # pairs inside a block are compared in its own group
+        for j in (np.flatnonzero(near) + i + 1).tolist():
+            x, y = top(i), top(j)
+            if x != y and join.link(_shared(sets[i], sets[j]), n[i], n[j]):
+                root[y] = x
+                a.append(classes[i])
+                b.append(classes[j])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _family_links(many: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+    """Links inside families. ``many``: key and class of the parts that many classes share."""
+    first = many.groupBy("key").agg(F.min("class").alias("a"))
+    meet = many.join(first, "key").filter("class <> a").select("a", F.col("class").alias("b")).distinct()
+    family = components(meet).select(F.col("node").alias("class"), F.col("component").alias("family"))
+    members = family.join(sets.select("class", "n"), "class")
+    blocks = members.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    members = stage(members.join(blocks, "family"), "families").withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
+    members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.join(sets.select("class", "shingles"), "class").select(
+        "family", "class", "n", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "shingles"
+    )
+    return members.groupBy("family", "low", "high").applyInArrow(lambda t: _block_links(t, join), "a long, b long")
+
+
 def _links(keys: DataFrame, sets: DataFrame, join: Join, few: int) -> DataFrame:
     """Links (a, b) between classes that connect what is connected. ``keys`` has the columns of parts."""
-    found, by_key = None, Window.partitionBy("key")
-    while True:
-        if found is None:
-            rows = keys.withColumn("component", F.col("class"))
-        else:
-            label = components(found).select(F.col("node").alias("class"), "component")
-            rows = keys.join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
-        # per key: its classes, whether they are connected yet, and its smallest set
-        about = rows.groupBy("key").agg(
-            F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"),
-            F.min(F.struct("n", "class")).alias("centre"),
-        ).filter("low < high")
-        rows = stage(rows.join(about, "key").select(*_KEY_COLUMNS, "component", "size", F.col("centre.class").alias("centre")), "parts")
-        stars = rows.filter((F.col("size") > few) & (F.col("class") != F.col("centre")))
-        stars = stars.select(F.col("centre").alias("a"), F.col("class").alias("b")).distinct()
-        pairs = _compared(_likely(rows, join, few), sets, join, False)
-        stars = _compared(stars, sets, join, True)
-        links = pairs.filter("linked").select("a", "b").unionByName(stars.filter("linked").select("a", "b"))
-        found = links if found is None else found.unionByName(links)
-        sizes = sets.select(F.col("class").alias("b"), "n")
-        keys = stars.join(sizes, "b").select(
-            F.explode("keys").alias("key"), F.col("b").alias("class"), "n", F.lit(-1).alias("band"), F.lit(0).alias("given")
-        )
-        keys = stage(keys.withColumn("size", F.count("*").over(by_key)).filter("size > 1").drop("size"), "outside")
-        if keys.isEmpty():
-            return found
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size"))
+    rows = stage(keys.join(sizes, "key"), "sized-parts")
+    pairs = _likely(rows.filter(F.col("size") <= few), join)
+    left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a"))
+    right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("set_b"))
+    both = stage(pairs, "likely").join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
+    links = stage(both.mapInArrow(lambda x: _verify(x, join), "a long, b long"), "links-of-parts")
+    many = rows.filter(F.col("size") > few).select("key", "class")
+    if many.isEmpty():
+        return links
+    return links.unionByName(stage(_family_links(many, sets, join), "links-of-families"))
 
 
 def near_groups(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_col: str = "text", few: int = FEW) -> DataFrame:
