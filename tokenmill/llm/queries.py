@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tokenmill.llm import exact_dedup, jaccard, mixing, packing, toxicity
+from tokenmill.llm import exact_dedup, jaccard, licenses, mixing, packing, quality, toxicity
 from tokenmill.llm.common import input_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,11 @@ def op3_toxicity(spark, d):
     return toxicity.severities(docs, toxicity.fit(docs, input_table(spark, d, "labels")))
 
 
+@query
+def op4_quality(spark, d):
+    return quality.judge(input_table(spark, d, "documents"))
+
+
 @query
 def op5_exact_dedup(spark, d):
     groups = exact_dedup.exact_groups(input_table(spark, d, "documents"))
@@ -39,6 +45,12 @@ def op7_packing(spark, d):
     return packing.pack_documents(input_table(spark, d, "documents"))
 
 
+@query
+def op8_licenses(spark, d):
+    found = licenses.scan(input_table(spark, d, "documents"))
+    return found.select("doc_id", "license", "first_sentence", "n_sentences", F.array_join("sentence_ids", ",").alias("sentence_ids"))
+
+
 @query
 def op10_jaccard(spark, d):
     groups = jaccard.near_groups(input_table(spark, d, "documents"), jaccard.Join(4, 85))
