@@ -2,6 +2,15 @@
 
 ORACLES: dict[str, str] = {}
 
+ORACLES["op1_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT html, max(page_id) AS last FROM p WHERE strlen(html) >= 1000 GROUP BY html)
+SELECT page_id, strlen(p.html) AS payload_bytes, sha1(p.html) AS payload_digest,
+  CASE WHEN last > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN last > page_id THEN last END AS refers_to, CAST(NULL AS VARCHAR) AS error
+FROM p LEFT JOIN g ON p.html = g.html
+"""
+
 ORACLES["op5_exact_dedup"] = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
 g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenmill.llm import exact_dedup, jaccard, licenses, mixing, packing, quality, toxicity
+from tokenmill.llm import exact_dedup, jaccard, licenses, mixing, packing, quality, toxicity, warc
 from tokenmill.llm.common import input_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_warc(spark, d):
+    records = warc.round_trip(input_table(spark, d, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
 @query
 def op3_toxicity(spark, d):
     docs = input_table(spark, d, "documents")
