@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenmill.llm import exact_dedup, jaccard, licenses, mixing, packing, quality, toxicity, warc
+from tokenmill.llm import exact_dedup, hmm, jaccard, licenses, mixing, packing, quality, toxicity, warc
 from tokenmill.llm.common import input_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def op1_warc(spark, d):
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
+@query
+def op2_hmm(spark, d):
+    return hmm.score_texts(input_table(spark, d, "documents"))
+
+
 @query
 def op3_toxicity(spark, d):
     docs = input_table(spark, d, "documents")
