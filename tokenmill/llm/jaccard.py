@@ -41,15 +41,15 @@ class Join:
     width: int = 4
     percent: int = 85
 
-    def bands(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Smallest size, greatest difference k and number of parts of each band. A set also goes into the
+    def bands(self) -> tuple[np.ndarray, np.ndarray]:
+        """Smallest size and number of parts of each band; k is the greatest difference of two sets that link. A set also goes into the
         band above if a set there can link with it, so two sets of one band have the larger k."""
         least = [1]
         while least[-1] < 1 << 40:
             least.append(max(least[-1] + 1, int(least[-1] / BAND)))
         top = np.array(least[1:]) - 1
         k = 2 * (100 - self.percent) * top // (100 + self.percent)
-        return np.array(least[:-1]), k, np.where(k > 0, k + 4 + k // 3, 0)
+        return np.array(least), np.where(k > 0, k + 4 + k // 3, 0)
 
     def link(self, both, a, b):
         return 100 * both >= self.percent * (a + b - both)
@@ -89,13 +89,13 @@ def part_keys(values: np.ndarray, at: np.ndarray, join: Join) -> tuple[np.ndarra
     """Text, key, band and number of keys in the band, of every part to join on.
 
     Parts with fewer than two set bits say little and are left out; there are spare parts for that. A set
-    with too many such parts also gets its smallest shingles as keys, as many as two linking sets can't
+    that is left with no more parts than may differ also gets its smallest shingles as keys, as many as two linking sets can't
     both miss; their band is -1.
     """
-    least, k, parts = join.bands()
+    least, parts = join.bands()
     n = np.diff(at)
     own = np.searchsorted(least, n, side="right") - 1
-    above = np.flatnonzero((n > 0) & (100 * n >= join.percent * least[np.minimum(own + 1, len(least) - 1)]))
+    above = np.flatnonzero((n > 0) & (100 * n >= join.percent * least[own + 1]))
     rows = np.concatenate([np.flatnonzero(n > 0), above])
     band = np.concatenate([own[n > 0], own[above] + 1])
     rows, band = rows[parts[band] > 0], band[parts[band] > 0]
@@ -113,7 +113,8 @@ def part_keys(values: np.ndarray, at: np.ndarray, join: Join) -> tuple[np.ndarra
     full = bits >= 2
     key = tb.mix(word + tb.mix(number.astype(np.uint64) * _B + band[row].astype(np.uint64)))[full]
     given = np.bincount(row[full], minlength=len(rows))
-    poor = np.flatnonzero(given <= k[band])
+    top = np.minimum(100 * size // join.percent, least[band + 1] - 1)  # the largest set to link with, in this band
+    poor = np.flatnonzero(given <= (100 - join.percent) * (size + top) // (100 + join.percent))
     ahead = size[poor] - (join.percent * size[poor] + 99) // 100 + 1
     where = np.repeat(begin[:-1][poor] - np.concatenate([[0], np.cumsum(ahead)])[:-1], ahead) + np.arange(ahead.sum())
     rest = tb.mix(x[where] ^ _B)
@@ -249,19 +250,12 @@ def _family_links(many: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     return members.groupBy("family", "low", "high").applyInArrow(lambda t: _block_links(t, join), "a long, b long")
 
 
-def _links(keys: DataFrame, sets: DataFrame, join: Join, few: int) -> DataFrame:
-    """Links (a, b) between classes that connect what is connected. ``keys`` has the columns of parts."""
-    sizes = keys.groupBy("key").agg(F.count("*").alias("size"))
-    rows = stage(keys.join(sizes, "key"), "sized-parts")
-    pairs = _likely(rows.filter(F.col("size") <= few), join)
-    left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("set_b"))
-    both = stage(pairs, "likely").join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
-    links = stage(both.mapInArrow(lambda x: _verify(x, join), "a long, b long"), "links-of-parts")
-    many = rows.filter(F.col("size") > few).select("key", "class")
-    if many.isEmpty():
-        return links
-    return links.unionByName(stage(_family_links(many, sets, join), "links-of-families"))
+def _sets_of(base: DataFrame, members: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """class, n and shingles; one row of each class is read again for it."""
+    first = members.filter("n_shingles > 0").groupBy("class").agg(F.min("row").alias("row"))
+    rows = first.join(classes.distinct(), "class", "left_semi").select("row")
+    texts = base.join(rows, "row", "left_semi").select("text")
+    return stage(texts.mapInArrow(lambda b: _stored(b, width), "class long, n long, shingles binary"), "sets")
 
 
 def near_groups(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_col: str = "text", few: int = FEW) -> DataFrame:
@@ -284,14 +278,18 @@ def near_groups(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", te
     by_key = Window.partitionBy("key")
     shared = parts.select("*", F.min("class").over(by_key).alias("low"), F.max("class").over(by_key).alias("high"))
     keys = stage(shared.filter("low < high").select(*_KEY_COLUMNS).distinct(), "shared-parts")
-    # the sets of the classes that share a part; one row of each class is read again
-    first = members.filter("n_shingles > 0").groupBy("class").agg(F.min("row").alias("row"))
-    wanted = first.join(keys.select("class").distinct(), "class", "left_semi").select("row")
-    sets = stage(
-        base.join(wanted, "row", "left_semi").select("text").mapInArrow(
-            lambda b: _stored(b, join.width), "class long, n long, shingles binary"), "sets",
-    )
-    links = _links(keys, sets, join, few)
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size"))
+    rows = stage(keys.join(sizes, "key"), "sized-parts")
+    pairs = stage(_likely(rows.filter(F.col("size") <= few), join), "likely-pairs")
+    many = rows.filter(F.col("size") > few).select("key", "class")
+    wanted = many.select("class").unionByName(pairs.select(F.col("a").alias("class"))).unionByName(pairs.select(F.col("b").alias("class")))
+    sets = _sets_of(base, members, wanted, join.width)
+    left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a"))
+    right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("set_b"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
+    links = stage(both.mapInArrow(lambda x: _verify(x, join), "a long, b long"), "links-of-parts")
+    if not many.isEmpty():
+        links = links.unionByName(stage(_family_links(many, sets, join), "links-of-families"))
     label = components(links).select(F.col("node").alias("class"), "component")
     grouped = members.join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
     # empty sets are components of their own: their row number takes the place of the class
