@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenmill.llm import exact_dedup, hmm, jaccard, licenses, mixing, packing, quality, toxicity, warc
+from tokenmill.llm import exact_dedup, hmm, jaccard, licenses, mixing, packing, quality, suffixes, toxicity, warc
 from tokenmill.llm.common import input_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,11 @@ def op8_licenses(spark, d):
     return found.select("doc_id", "license", "first_sentence", "n_sentences", F.array_join("sentence_ids", ",").alias("sentence_ids"))
 
 
+@query
+def op9_suffix_dedup(spark, d):
+    return suffixes.remove_repeats(input_table(spark, d, "documents"))
+
+
 @query
 def op10_jaccard(spark, d):
     groups = jaccard.near_groups(input_table(spark, d, "documents"), jaccard.Join(4, 85))
