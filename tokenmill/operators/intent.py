@@ -15,31 +15,16 @@ from tokenmill.functions.text import WS, code_override, normalise_prompt, plain_
 
 BUCKETS = 50_000
 
-# A small starting set of our own, used where no samples are given.
+# A small starting set, used where no samples are given: words of each field put into a few sentence forms.
+_FORMS = ("please help with {}", "a question about {}", "something on {} and {}")
+_FIELDS = {
+    "code": ("compiler errors", "golang programs", "implement interfaces", "binary trees", "search algorithms", "unit tests", "python functions", "recursion", "pointers", "api endpoints", "sorting arrays", "stack traces"),
+    "creative": ("catchy names", "futuristic cities", "sonnets", "fairy tales", "song lyrics", "characters", "villains", "screenplays", "rhymes", "plot twists"),
+    "support": ("my account", "unlock requests", "billing", "password resets", "delivery delays", "login trouble", "invoices", "returns", "subscriptions", "warranty claims"),
+    "general": ("history", "geography", "volcanoes", "nutrition", "planets", "cooking rice", "train travel", "gardening"),
+}
 STARTER_SAMPLES = {
-    "code": [
-        "implement quicksort in python", "implement a binary search tree in golang", "fix a null pointer in java",
-        "why does my typescript build fail", "sql query joining two tables", "write a rust linked list",
-        "docker file for a web service", "undo the last git commit", "regular expression for phone numbers",
-        "unit test for a javascript function",
-    ],
-    "creative": [
-        "write a short story about a lighthouse", "compose a poem about winter rain", "catchy names for a coffee shop",
-        "slogan ideas for a bicycle brand", "a song about the open road", "draft a scene between two rivals",
-        "generate names for a futuristic cafe", "describe a fantasy kingdom", "write a bedtime story about a fox",
-        "brainstorm titles for a mystery novel",
-    ],
-    "support": [
-        "my account is locked how can i unlock it", "i cannot reset my password", "where is my invoice",
-        "refund my last payment", "cancel my subscription", "change the email address of my account",
-        "my payment failed", "is the service down right now", "how do i contact customer support",
-        "my login does not work",
-    ],
-    "general": [
-        "what is the capital of france", "how far away is the sun", "who painted the mona lisa",
-        "explain how rain forms", "recipe for tomato soup", "tell me a joke", "how tall is mount everest",
-        "what is the weather like in spring in rome", "tips for a trip to japan", "how many planets are there",
-    ],
+    intent: [f.format(w, v) for w, v in zip(words, words[1:] + words[:1]) for f in _FORMS] for intent, words in _FIELDS.items()
 }
 
 

@@ -122,13 +122,7 @@ def monthly_reset(keys: DataFrame) -> DataFrame:
     )
 
 
-VERDICTS = [
-    ("malformed", 401, "Missing or malformed Authorization header. Use Bearer token."),
-    ("limited", 429, "Too many requests."),
-    ("unknown", 401, "Invalid API key."),
-    ("inactive", 401, "API key is inactive."),
-    ("spent", 402, "API key has exceeded its token budget."),
-]
+VERDICTS = [("malformed", 401), ("limited", 429), ("unknown", 401), ("inactive", 401), ("spent", 402)]
 
 
 def request_verdict(
@@ -165,7 +159,7 @@ def request_verdict(
         "spent": F.col("total_budget") - F.col("_spent") <= 0,
     }
     code, reason = F, F
-    for name, status, _ in VERDICTS:
+    for name, status in VERDICTS:
         code = code.when(refusals[name], F.lit(status))
         reason = reason.when(refusals[name], F.lit(name))
     return rows.select(

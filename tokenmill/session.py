@@ -23,19 +23,23 @@ def local_session(cores: str = "8", app: str = "tokenmill") -> SparkSession:
     )
 
 
+_OWN: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's checkpoint folder.
 
-    ``spark.checkpoint.dir`` names the shared folder. Only a local master without that setting
+    ``spark.checkpoint.dir`` names the shared folder. Only a session in one process without that setting
     gets a folder of its own; on a cluster a machine-local folder would not outlive its node.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="tokenmill-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return os.path.join(base, f"{name}-{os.urandom(6).hex()}")
+        base = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="tokenmill-")
+        _OWN[spark.sparkContext.applicationId] = base
+    return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
