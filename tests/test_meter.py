@@ -111,7 +111,7 @@ def test_monthly_budget_starts_anew_in_local_time(spark):
 def test_verdict_order(spark):
     keys = spark.createDataFrame(
         [("good", 1, True, 1.0), ("off", 2, False, 1.0), ("empty", 3, True, 0.0)], "t string, id long, active boolean, b double"
-    ).select(F.sha2("t", 256).alias("key_hash"), "id", "active", F.col("b").cast("decimal(12,4)").alias("total_budget"))
+    ).select(F.sha2("t", 256).alias("key_hash"), "id", "active", F.col("b").cast("decimal(12,4)").alias("total_budget"), F.lit("one_time").alias("budget_type"))
     rows = [(1, "Bearer good"), (2, "Bearer off"), (3, "Bearer empty"), (4, "Bearer nobody"), (5, "bearer good"), (6, None),
             (7, "Bearer good"), (8, "Bearer good")]
     requests = spark.createDataFrame([(i, T0 + i, h, Decimal("0.7")) for i, h in rows],

@@ -1,5 +1,7 @@
 from decimal import Decimal
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,7 +144,22 @@ def test_changes_keep_pairs_unique(spark):
     edits = spark.createDataFrame([(1, 2, "upsert", "a", "x"), (2, 2, "upsert", "a", "m"), (3, 3, "delete", None, None), (4, 4, "upsert", "c", "z")],
                                   "change_id long, id long, op string, intent string, model string")
     assert {r.id: r.model for r in changes.apply_changes(base, edits, "id").collect()} == {1: "m", 2: "m", 4: "z"}
-    assert {r.id for r in changes.rule_change_apply(base, edits).collect()} == {1, 4}
+    assert {r.id: r.model for r in changes.rule_change_apply(base, edits).collect()} == {1: "m", 2: "x", 4: "z"}
+
+
+def test_rule_changes_match_a_walk(spark):
+    rnd = random.Random(5)
+    base = [(i, "ab"[i % 2], f"m{i % 5}") for i in range(8)]  # pairs held twice stay
+    edits = [(n, rnd.randrange(14), rnd.choice(["upsert", "upsert", "delete"]), rnd.choice(["a", "b", None]), f"m{rnd.randrange(7)}") for n in range(300)]
+    state = {i: (a, m) for i, a, m in base}
+    for _, i, op, a, m in edits:
+        if op == "delete":
+            state.pop(i, None)
+        elif a is None or not any(p == (a, m) and k != i for k, p in state.items()):
+            state[i] = (a, m)
+    got = changes.rule_change_apply(spark.createDataFrame(base, "id long, intent string, model string"),
+                                    spark.createDataFrame(edits, "change_id long, id long, op string, intent string, model string"))
+    assert {r.id: (r.intent, r.model) for r in got.collect()} == state
 
 
 def test_quality(spark):

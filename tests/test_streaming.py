@@ -61,6 +61,23 @@ def test_budget_over_batches(spark, tmp_path):
     assert alerts == {r.id for r in meter.low_budget_alerts(batch, row_id="id", silence=600).collect()} and alerts
 
 
+def test_late_row_stays_silent_and_months_start_anew(spark, tmp_path):
+    first = spark.createDataFrame([("1", 1_706_700_000, 1, 8), ("9", 1_706_700_000, 2, 8)], "api_key_id string, sec long, id long, c long")
+    late = spark.createDataFrame([("1", 1_706_699_990, 3, 8), ("1", 1_706_750_000, 4, 8)], first.schema)
+    with_ts = lambda df: df.select("api_key_id", F.timestamp_seconds("sec").alias("ts"), "id", (F.col("c") / 10).cast("decimal(18,12)").alias("cost_usd"))
+    p = lambda n: str(tmp_path / n)
+    keys = spark.sql("SELECT 1L AS id, 'm' AS name, CAST(1 AS DECIMAL(12,4)) AS total_budget, 'monthly' AS budget_type")
+    for step, schema, name in ((stateful.alert_suppress_step("api_key_id", row_id="id", silence=100), stateful.ALERT_STATE, "a"),
+                               (stateful.budget_step(keys, row_id="id", silence=100), stateful.BUDGET_STATE, "b")):
+        for part in (first, late):
+            with_ts(part).write.mode("append").parquet(p(f"in-{name}"))
+            stream = spark.readStream.schema(with_ts(part).schema).parquet(p(f"in-{name}"))
+            stateful.run_with_state(stream, step, schema, p(f"out-{name}"), p(f"state-{name}"), p(f"at-{name}"), drain=True).awaitTermination()
+    assert {r.id for r in spark.read.parquet(p("out-a")).collect()} == {1, 2, 4}
+    got = {r.request_id: float(r.balance_before) for r in spark.read.parquet(p("out-b")).collect()}
+    assert got == {1: 1.0, 2: 0.0, 3: pytest.approx(0.2), 4: 1.0}
+
+
 def test_log_ingest_and_dead_letters(spark, tmp_path):
     good = {"api_key_id": "1", "user_id": None, "intent": "code", "model": "m", "prompt_tokens": 3, "completion_tokens": 4, "latency_ms": 5}
     os.makedirs(tmp_path / "q")

@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenmill.operators.ordered import HotKeys, find_hot_keys, running_total
+from tokenmill.session import stage
+
+PAIR = ["intent", "model"]
+BASE = -(2**63)
+CHANGE_SLICE = 4096
+
 
 def apply_changes(base: DataFrame, changes: DataFrame, row_id: str, order: str = "change_id") -> DataFrame:
     """``base`` after upserts and deletes of (order, row_id, op, fields...).
@@ -22,10 +29,55 @@ def apply_changes(base: DataFrame, changes: DataFrame, row_id: str, order: str =
 
 
 def rule_change_apply(rules: DataFrame, changes: DataFrame) -> DataFrame:
-    """Rules after the changes. Of rules with one (intent, model) the smallest id stays, as later ones are refused."""
-    applied = apply_changes(rules, changes, "id")
-    first = applied.groupBy("intent", "model").agg(F.min("id").alias("id"))
-    return applied.join(first.select("id"), "id", "left_semi")
+    """Rules after the changes, applied in order of ``change_id``.
+
+    An upsert to an (intent, model) that another rule holds at that moment is refused, and its rule
+    stays as it was. Pairs that the base holds twice stay; a null in a pair collides with nothing.
+
+    Whether a change is refused follows from earlier changes alone. All changes are judged at once, by
+    the verdicts of the round before, until no verdict moves: each round settles at least the earliest
+    open change, so the end is the one result of a walk, and rounds are as many as refusals that hang
+    on each other.
+    """
+    fields = ["id", "change_id", "op", *PAIR]
+    base = rules.select("id", F.lit(BASE).alias("change_id"), F.lit("base").alias("op"), *PAIR)
+    moves = stage(base.unionByName(changes.select(*fields)).withColumn("refused", F.lit(False)), "moves")
+    hot_ids, hot_pairs = find_hot_keys(moves, ["id"]), find_hot_keys(moves, PAIR)
+    while True:
+        judged = stage(_judge(moves, hot_ids, hot_pairs), "judged")
+        moves = judged.drop("was")
+        if judged.where("refused <> was").isEmpty():
+            break
+    kept = changes.join(moves.where("refused").select("id", "change_id"), ["id", "change_id"], "left_anti")
+    return apply_changes(rules, kept, "id")
+
+
+def _judge(moves: DataFrame, hot_ids: HotKeys, hot_pairs: HotKeys) -> DataFrame:
+    """``moves`` with ``refused`` as the former verdicts (``was``) have it."""
+    cut = F.floor(F.col("change_id") / CHANGE_SLICE)
+    named = (F.col("op") != "delete") & F.col("intent").isNotNull() & F.col("model").isNotNull()
+    stands = (~F.col("refused")).cast("bigint")
+    counted = running_total(moves, ["id"], cut, ["change_id"], stands, "_nth", hot=hot_ids)
+    # what the rule holds before each move: the pair of its last move that stands
+    held = counted.where("NOT refused").select(
+        "id", (F.col("_nth") + 1).alias("_nth"), F.when(named, F.struct(*PAIR)).alias("_held")
+    )
+    rows = counted.join(held, ["id", "_nth"], "left")
+    own = named & F.coalesce(F.col("_held") == F.struct(*PAIR), F.lit(False))
+    event = lambda intent, model, n, asks, mine: F.struct(
+        intent.alias("intent"), model.alias("model"), n.alias("n"), asks.alias("asks"), mine.alias("own"))
+    takes = event(F.col("intent"), F.col("model"), F.when(F.col("refused") | own, 0).otherwise(1), F.col("op") == "upsert", own)
+    leaves = event(F.col("_held.intent"), F.col("_held.model"), F.lit(-1), F.lit(False), F.lit(False))
+    gone = ~F.col("refused") & F.col("_held").isNotNull() & ~own
+    events = rows.select(
+        "id", "change_id", F.explode(F.array_compact(F.array(F.when(named, takes), F.when(gone, leaves)))).alias("e")
+    ).select("id", "change_id", "e.*")
+    holders = running_total(events, PAIR, cut, ["change_id"], F.col("n").cast("bigint"), "_holders", hot=hot_pairs)
+    taken = holders.where("asks").select("id", "change_id", (F.col("_holders") > F.col("own").cast("int")).alias("_taken"))
+    return moves.join(taken, ["id", "change_id"], "left").select(
+        *[c for c in moves.columns if c != "refused"], F.coalesce("_taken", F.lit(False)).alias("refused"),
+        F.col("refused").alias("was"),
+    )
 
 
 def sample_search(samples: DataFrame, query: str) -> DataFrame:

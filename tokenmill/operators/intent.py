@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import NaiveBayes
@@ -86,28 +87,34 @@ def classify_intent(prompts: DataFrame, model: PipelineModel | None, text: str =
 
 
 # ------------------------------------------------------------------------------------- embeddings
-def embed(prompts: DataFrame, encode: Callable[[list[str]], list[list[float]]] | None = None, text: str = "text",
-          dimension: int = 384) -> DataFrame:
-    """Adds ``embedding``, a unit vector: by the given encoder, else hashed words weighted by rarity.
+def fit_embedder(prompts: DataFrame, text: str = "text", dimension: int = 384) -> PipelineModel:
+    """Hashed words with their rarity in ``prompts``; fit once, so that queries and entries share one space."""
+    stages = [
+        RegexTokenizer(inputCol="_clean", outputCol="_words", pattern=rf"[{WS}]+"),
+        HashingTF(numFeatures=dimension, inputCol="_words", outputCol="_tf"),
+        IDF(inputCol="_tf", outputCol="_idf"),
+        Normalizer(inputCol="_idf", outputCol="_vec"),
+    ]
+    return Pipeline(stages=stages).fit(prompts.select(normalise_prompt(F.col(text)).alias("_clean")))
+
 
-    ``encode`` gets a batch of texts inside the executors; load a model lazily in there.
+def embed(prompts: DataFrame, model: PipelineModel | None = None,
+          encode: Callable[[list[str]], list[list[float]]] | None = None, text: str = "text") -> DataFrame:
+    """Adds ``embedding``, a unit vector: by the given encoder, else by a model of ``fit_embedder``.
+
+    ``encode`` gets a batch of texts inside the executors; load its weights lazily in there. A vector of
+    zeros stays as it is.
     """
     if encode is not None:
         @F.pandas_udf("array<float>")
         def run(s: pd.Series) -> pd.Series:
-            return pd.Series([list(map(float, v)) for v in encode(s.tolist())])
+            rows = [np.asarray(v, dtype=float) for v in encode(s.tolist())]
+            return pd.Series([(v / (np.linalg.norm(v) or 1.0)).tolist() for v in rows])
 
         return prompts.withColumn("embedding", run(text))
     from pyspark.ml.functions import vector_to_array
 
-    stages = [
-        RegexTokenizer(inputCol="_clean", outputCol="_words", pattern=rf"[{WS}]+"),
-        HashingTF(numFeatures=dimension, inputCol="_words", outputCol="_tf"),
-        IDF(inputCol="_tf", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol="_vec"),
-    ]
-    rows = prompts.withColumn("_clean", normalise_prompt(F.col(text)))
-    out = Pipeline(stages=stages).fit(rows).transform(rows)
+    out = model.transform(prompts.withColumn("_clean", normalise_prompt(F.col(text))))
     return out.withColumn("embedding", vector_to_array("_vec").cast("array<float>")).select(*prompts.columns, "embedding")
 
 

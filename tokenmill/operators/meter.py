@@ -53,13 +53,14 @@ def spend(cost: Column, mode: str) -> Column:
 def running_budget(
     charges: DataFrame, keys: DataFrame, mode: str = "exact", monthly: bool = False, tz: str = "UTC",
     key: str = "api_key_id", ts: str = "ts", row_id: str = "request_id", cost: str = "cost_usd",
-    slice_seconds: int = BUDGET_SLICE_SECONDS,
+    slice_seconds: int = BUDGET_SLICE_SECONDS, opening: DataFrame | None = None,
 ) -> DataFrame:
     """Balance before and after each charge, and whether the request found the budget used up.
 
     A request is refused on the balance before it, so the last one may overshoot. The exact balance
     stops at zero, the durable one may go below. With ``monthly``, keys of that type start again
-    with their full budget on the first of each month in the time zone ``tz``.
+    with their full budget on the first of each month in the time zone ``tz``. ``opening`` has what
+    was spent before: (key, spent), and budget_month if ``monthly``.
     """
     budgets = keys.select(F.col("id").cast("string").alias(key), "name", "total_budget", "budget_type")
     rows = charges.join(budgets, key, "left").withColumn("_spend", spend(F.col(cost), mode))
@@ -73,6 +74,9 @@ def running_budget(
         rows, group, time_slice(F.col(ts), slice_seconds), [ts, row_id], F.col("_spend"), "_before"
     )
     floor = (lambda c: F.greatest(c, F.lit(0).cast(EXACT))) if mode == "exact" else (lambda c: c)
+    if opening is not None:
+        rows = rows.join(opening.select(*group, F.col("spent").alias("_spent")), group, "left")
+        rows = rows.withColumn("_before", F.col("_before") + F.coalesce("_spent", F.lit(0).cast(EXACT))).drop("_spent")
     left = F.col("total_budget").cast(EXACT) - F.col("_before")
     before, after = floor(left), floor(left - F.col("_spend"))
     return (
@@ -127,12 +131,13 @@ VERDICTS = [("malformed", 401), ("limited", 429), ("unknown", 401), ("inactive",
 
 def request_verdict(
     requests: DataFrame, keys: DataFrame, cost: str = "cost_usd", ts: str = "ts", row_id: str = "request_id",
-    limit: int = fixed.RATE_LIMIT, width: int = fixed.RATE_WINDOW_SECONDS,
+    limit: int = fixed.RATE_LIMIT, width: int = fixed.RATE_WINDOW_SECONDS, tz: str = "UTC",
 ) -> DataFrame:
     """First rule that refuses each request, in a replay where ``cost`` is what an answer would cost.
 
     Refused requests are not charged. Charges are not negative, so once a key's budget is used up it
-    stays so, and the sum over requests that pass the earlier rules decides the budget rule.
+    stays so (till the next month for monthly keys), and the sum over requests that pass the earlier
+    rules decides the budget rule.
     """
     token = bearer_token(F.col("auth_header"))
     # requests without a token stay apart from the counting, one group for each of them
@@ -144,11 +149,13 @@ def request_verdict(
         # clock windows and budgets then share one shuffle, as both group by caller
         tagged = tagged.repartition("_caller")
     counted = rate_limit(tagged, "_caller", ts, row_id, limit, width, hot)
-    named = keys.select(F.col("key_hash").alias("_caller"), F.col("id").alias("key_id"), "active", "total_budget")
-    rows = counted.join(named, "_caller", "left")
+    named = keys.select(F.col("key_hash").alias("_caller"), F.col("id").alias("key_id"), "active", "total_budget", "budget_type")
+    # monthly keys start each month with their full budget
+    month = F.when(F.col("budget_type") == "monthly", F.date_format(F.from_utc_timestamp(F.col(ts).cast("timestamp"), tz), "yyyy-MM"))
+    rows = counted.join(named, "_caller", "left").withColumn("_month", F.coalesce(month, F.lit("")))
     passes = ~F.col("_malformed") & ~F.col("limited") & F.coalesce("active", F.lit(False))
     rows = running_total(
-        rows.withColumn("_passes", passes), ["_caller"], time_slice(F.col(ts), BUDGET_SLICE_SECONDS), [ts, row_id],
+        rows.withColumn("_passes", passes), ["_caller", "_month"], time_slice(F.col(ts), BUDGET_SLICE_SECONDS), [ts, row_id],
         F.when(passes, F.col(cost)).otherwise(0).cast(EXACT), "_spent", hot=hot,
     )
     refusals = {

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.functions import fixed
+from tokenmill.functions.scalars import with_scheme
 
 
 def required(c: str) -> Column:
@@ -25,7 +26,8 @@ def below(c: str, least: int) -> Column:
 
 
 def not_url(c: str) -> Column:
-    return F.col(c).isNotNull() & ~F.col(c).rlike(r"^https?://\S+$")
+    """No URL, after the scheme that may be left out is added; an empty value is a matter of ``required``."""
+    return (F.col(c) != "") & ~with_scheme(F.col(c)).rlike(r"^https?://\S+$")
 
 
 def rule_checks() -> dict[str, Column]:
@@ -93,4 +95,5 @@ def dangling_rule_refs(keys: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def unique_violations(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.groupBy(*columns).agg(F.count("*").alias("copies")).where("copies > 1")
+    """Values that several rows share. As for a unique key in SQL, rows with a null in it are no copies."""
+    return df.dropna(subset=columns).groupBy(*columns).agg(F.count("*").alias("copies")).where("copies > 1")

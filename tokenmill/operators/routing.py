@@ -19,6 +19,7 @@ RULE_FIELDS = [
 ]
 ID_SLICE = 1024
 MAX_BROADCAST_RULES = 10_000
+EVERY_RULE = "every rule"
 
 
 def _candidates(rules: DataFrame, by: str, out: str) -> DataFrame:
@@ -159,12 +160,27 @@ def models_per_key(keys: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
+def key_lists(keys: DataFrame) -> DataFrame:
+    """(key_id, access): each key's access list as text; keys without a list are named ``every rule``."""
+    numbers = F.array_join(F.transform(F.array_sort(F.array_distinct("allowed_rules")), lambda r: r.cast("string")), ",")
+    return keys.select(F.col("id").alias("key_id"), F.coalesce(numbers, F.lit(EVERY_RULE)).alias("access"), "allowed_rules")
+
+
 def rule_access(keys: DataFrame, rules: DataFrame) -> DataFrame:
-    """(key, rule) pairs that the access lists allow, for keys that have a list."""
-    wanted = keys.where("allowed_rules IS NOT NULL").select(
-        F.col("id").alias("key_id"), F.explode(F.array_distinct("allowed_rules")).alias("_rule")
+    """(access, rule_id, ...) for every distinct access list of ``key_lists``; ``access`` leads to the keys.
+
+    A rule without an id is open to every list. Keys with one list share its rows, so no row is made
+    per key and rule.
+    """
+    lists = key_lists(keys).select("access", "allowed_rules").dropDuplicates(["access"])
+    open_rules = F.lit(-(2**63)).cast("bigint")
+    named = rules.withColumn("_rule", F.coalesce("id", open_rules)).withColumnRenamed("id", "rule_id")
+    wanted = lists.where("allowed_rules IS NOT NULL").select(
+        "access", F.explode(F.concat(F.array_distinct("allowed_rules"), F.array(open_rules))).alias("_rule")
     )
-    return wanted.join(rules.withColumnRenamed("id", "_rule"), "_rule").withColumnRenamed("_rule", "rule_id")
+    unlimited = lists.where("allowed_rules IS NULL").select("access")
+    whole = named.withColumn("access", F.lit(EVERY_RULE)).join(F.broadcast(unlimited), "access")  # one row at most
+    return wanted.join(named, "_rule").unionByName(whole).drop("_rule")
 
 
 def failover(routed: DataFrame, outcomes: DataFrame, request_id: str = "request_id") -> DataFrame:

@@ -47,7 +47,11 @@ def replay(
     steps after them read them more than once. None of these tables carries a text.
     """
     facts = stage(prepare_prompts(prompts, keywords, model, method), "facts")
-    costed = requests.join(facts, "doc_id").withColumn("cost_usd", F.lit(0).cast("decimal(18,12)"))
+    # a request without a prompt row is one with an empty prompt
+    none = {"blocked": F.lit(False), "bypass": F.lit(False), "intent": F.lit("general"), "cache_key": prompt_key(F.lit("")),
+            "original_tokens": token_estimate(F.lit("")), "compressed_tokens": token_estimate(F.lit(""))}
+    costed = requests.join(facts, "doc_id", "left").withColumns({c: F.coalesce(F.col(c), v) for c, v in none.items()})
+    costed = costed.withColumn("cost_usd", F.lit(0).cast("decimal(18,12)"))
     let_in = request_verdict(costed, keys, limit=limit, width=width).where("status = 200 AND NOT blocked")
     access = keys.select(F.col("id").alias("key_id"), F.col("user_id"), "allowed_rules")
     known = stage(let_in.join(access, "key_id").drop("cost_usd", "status", "verdict"), "let_in")
@@ -62,7 +66,8 @@ def replay(
     )
     priced = with_cost(counted, prices, model="final_model", provider="final_provider", url="final_url")
     fresh = build_log_rows(priced)
-    hits = asked.where("hit").join(outcomes.select("request_id", "latency_ms"), "request_id").select(
+    # a hit never reached a provider, so it may have no outcome; its latency is then unknown
+    hits = asked.where("hit").join(outcomes.select("request_id", "latency_ms"), "request_id", "left").select(
         "*", F.lit(None).cast("string").alias("final_model"), F.lit(0).alias("prompt_tokens"),
         F.lit(0).alias("completion_tokens"), F.lit(0).cast("decimal(18,12)").alias("cost_usd"),
     )

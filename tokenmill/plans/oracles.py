@@ -76,7 +76,7 @@ ORACLES: dict[str, str] = {
         CASE WHEN id % 11 = 5 OR id % 7 = 3 THEN NULL WHEN id % 4 = 0 THEN 0.0 ELSE 0.25 END::DOUBLE AS cost_usd
         FROM {v('token_logs')}""",
     "chat_content": """SELECT conv_id, turn, CASE turn % 4 WHEN 1 THEN text || ' ' || text WHEN 2 THEN text || ' and'
-        WHEN 3 THEN '' ELSE text END AS content FROM conversations""",
+        WHEN 3 THEN '' ELSE CASE conv_id % 3 WHEN 0 THEN '{"a": 1} ' WHEN 1 THEN '[1] ' ELSE '' END || text END AS content FROM conversations""",
     "last_user_message": """SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id
         ORDER BY turn DESC) AS n FROM conversations WHERE role = 'user') WHERE n = 1 AND text <> ''""",
     "guardrail_keywords": f"""WITH k AS (SELECT DISTINCT regexp_replace(lower(n_name), 'nation_', 'th') AS w FROM nation),
@@ -99,8 +99,11 @@ ORACLES: dict[str, str] = {
     "code_override": f"""SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w:
         w IN ({", ".join(map(q, fixed.CODE_WORDS))}) OR regexp_matches(w, '{alternatives(fixed.CODE_STEMS)}'))) > 0
         AS is_code FROM {PROMPTS}""",
-    "rule_access": f"""SELECT k.id AS key_id, r.id AS rule_id, r.model FROM {KEYS} k JOIN {RULES} r
-        ON list_contains(k.allowed_rules, r.id)""",
+    "rule_access": f"""SELECT access, r.id AS rule_id, r.model, keys FROM
+        (SELECT allowed_rules AS l, coalesce(array_to_string(list_sort(allowed_rules), ','), 'every rule') AS access, count(*) AS keys
+          FROM {KEYS} GROUP BY ALL) k
+        JOIN (SELECT id, model FROM {RULES} UNION ALL SELECT NULL, 'shared') r
+        ON k.l IS NULL OR r.id IS NULL OR list_contains(k.l, r.id)""",
     "compression_gate": f"""SELECT doc_id, CASE WHEN length(text) < 150 OR {words('text')} < 30
         THEN 'Prompt too short for compression' END AS reason FROM {PROMPTS}""",
     "sample_search": f"""SELECT id, intent FROM {v('samples')} WHERE contains(lower(intent), 'ered')
@@ -108,7 +111,7 @@ ORACLES: dict[str, str] = {
     "constraint_violations": f"""SELECT source, row_id, violation FROM (
         SELECT 'rules' AS source, id AS row_id, unnest([
           CASE WHEN trim(provider) = '' THEN 'provider required' END,
-          CASE WHEN NOT regexp_matches(url, '^https?://\\S+$') THEN 'url format' END,
+          CASE WHEN NOT regexp_matches(CASE WHEN regexp_matches(trim(url), '^(?i)https?://') THEN url ELSE 'http://' || trim(url) END, '^https?://\\S+$') THEN 'url format' END,
           CASE WHEN weight < 0 THEN 'weight min 0' END]) AS violation FROM {v('rule_table')}
         UNION ALL SELECT 'keys', id, unnest([CASE WHEN name IS NULL THEN 'name required' END]) FROM {v('api_keys')}
         UNION ALL SELECT 'samples', id, unnest([
@@ -219,11 +222,12 @@ def verdicts(requests: str) -> str:
     return f"""(WITH c AS (SELECT r.*, CASE WHEN auth_header LIKE 'Bearer %' THEN split_part(auth_header, ' ', 2) END AS token
           FROM {requests} r),
         n AS (SELECT c.*, k.id AS key_id, k.status AS key_status, k.total_budget,
+          CASE WHEN k.budget_type = 'monthly' THEN strftime(ts, '%Y-%m') ELSE '' END AS month,
           row_number() OVER (PARTITION BY token, {DAY} ORDER BY ts, request_id) AS nth
           FROM c LEFT JOIN {KEYS} k ON k.key_hash = sha256(token)),
         e AS (SELECT n.*, CASE WHEN token IS NULL THEN 'malformed' WHEN nth > 2 THEN 'limited'
           WHEN key_id IS NULL THEN 'unknown' WHEN key_status = 'inactive' THEN 'inactive' END AS early FROM n),
-        s AS (SELECT e.*, coalesce(sum(CASE WHEN early IS NULL THEN cost_usd ELSE 0 END) OVER (PARTITION BY token
+        s AS (SELECT e.*, coalesce(sum(CASE WHEN early IS NULL THEN cost_usd ELSE 0 END) OVER (PARTITION BY token, month
           ORDER BY ts, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM e),
         f AS (SELECT s.*, coalesce(early, CASE WHEN total_budget - spent <= 0 THEN 'spent' ELSE 'ok' END) AS verdict FROM s)
         SELECT f.*, CASE verdict WHEN 'ok' THEN 200 WHEN 'limited' THEN 429 WHEN 'spent' THEN 402 ELSE 401 END AS status
@@ -411,12 +415,19 @@ ORACLES["budget_adjust"] = f"""WITH RECURSIVE c AS (SELECT *, row_number() OVER
     FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rn DESC) AS last FROM walk) WHERE last = 1"""
 
 # ----------------------------------------------------------------------------------------- changes
-ORACLES["rule_changes"] = f"""WITH n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY change_id DESC) AS r
-      FROM {v('rule_changes')}) WHERE r = 1),
-    a AS (SELECT id, intent, model, weight FROM {RULE_TABLE} WHERE id NOT IN (SELECT rule_id FROM n) UNION ALL
-      SELECT rule_id, intent, model, weight FROM n WHERE op <> 'delete')
-    SELECT id, intent, model, weight FROM (SELECT *, row_number() OVER (PARTITION BY intent, model ORDER BY id) AS first FROM a)
-    WHERE first = 1"""
+# a walk in order of the changes, one per intent at a time, as a rule's changes all name one intent here
+ORACLES["rule_changes"] = f"""WITH RECURSIVE c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY change_id) AS rn
+      FROM {v('rule_changes')}),
+    walk(id, intent, model, weight, gone, rn) USING KEY (id) AS (
+      SELECT id, intent, model, CAST(weight AS INT), false, CAST(0 AS BIGINT) FROM {RULE_TABLE}
+      UNION SELECT -ord, intent, NULL, NULL, true, 0 FROM (SELECT intent, row_number() OVER () AS ord FROM (SELECT DISTINCT intent FROM c))
+      UNION SELECT unnest([step.id, CASE WHEN taken IS NULL THEN c.rule_id END]), c.intent, unnest([NULL, c.model]),
+        unnest([NULL, c.weight]), unnest([true, c.op = 'delete']), c.rn
+      FROM walk step JOIN c ON c.intent = step.intent AND c.rn = step.rn + 1
+      LEFT JOIN (SELECT intent, model, id AS taken FROM recurring.walk WHERE NOT gone AND id >= 0) w
+        ON c.op <> 'delete' AND w.intent = c.intent AND w.model = c.model AND w.taken <> c.rule_id
+      WHERE step.id < 0)
+    SELECT id, intent, model, weight FROM walk WHERE NOT gone AND id IS NOT NULL"""
 ORACLES["sample_changes"] = f"""WITH n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY change_id DESC)
       AS r FROM {v('sample_changes')}) WHERE r = 1)
     SELECT id, intent, sample_text FROM {v('samples')} WHERE id NOT IN (SELECT sample_id FROM n) UNION ALL
@@ -548,9 +559,10 @@ ORACLES["stream_rate_limit"] = f"""SELECT api_key_id, strftime(ts, '%Y-%m-%d') A
     greatest(count(*) - 2, 0) AS refused FROM {v('requests')} GROUP BY ALL"""
 ORACLES["stream_alert_silence"] = f"""SELECT CAST(k AS VARCHAR) AS user_id, id AS event_id FROM
     {fired("(SELECT user_id AS k, ts, event_id AS id FROM events)", "86400")} WHERE fires"""
-ORACLES["stream_budget"] = f"""WITH low AS (SELECT * FROM {balances(SPEND)} WHERE cost_usd > 0
+UTC_MONTH = "CASE WHEN budget_type = 'monthly' THEN strftime(ts, '%Y-%m') ELSE '' END"
+ORACLES["stream_budget"] = f"""WITH low AS (SELECT * FROM {balances(SPEND, f"c.api_key_id, {UTC_MONTH}")} WHERE cost_usd > 0
       AND greatest(after, 0) / total_budget < 0.1),
     f AS (SELECT * FROM {fired("(SELECT api_key_id AS k, ts, request_id AS id FROM low)", "3600")})
     SELECT request_id, round(CAST(greatest(before, 0) AS DOUBLE), 9) AS balance_before, before <= 0 AS refused,
-    coalesce(fires, false) AS alert FROM {balances(SPEND)} b LEFT JOIN f ON f.id = request_id"""
+    coalesce(fires, false) AS alert FROM {balances(SPEND, f"c.api_key_id, {UTC_MONTH}")} b LEFT JOIN f ON f.id = request_id"""
 ORACLES["stream_fold_live"] = ORACLES["stream_fold"]

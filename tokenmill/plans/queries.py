@@ -110,17 +110,21 @@ def queue_entries(spark, d):
 
 @query
 def chat_content(spark, d):
-    """Message contents as strings and as lists of parts, flattened to text."""
+    """Message contents of chat payloads, as strings (some of which look like JSON) and as lists of parts."""
     turns = view(spark, d, "conversations")
     part = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))
     image = F.struct(F.lit("image").alias("type"), F.lit("x").alias("text"))
+    looks = F.when(F.col("conv_id") % 3 == 0, F.lit('{"a": 1} ')).when(F.col("conv_id") % 3 == 1, "[1] ").otherwise("")
+    quoted = F.to_json(F.array(F.concat(looks, "text")))
     body = (
         F.when(F.col("turn") % 4 == 1, F.to_json(F.array(part, image, part)))
         .when(F.col("turn") % 4 == 2, F.to_json(F.array("text", F.lit("and"))))
         .when(F.col("turn") % 4 == 3, F.to_json(part))
-        .otherwise(F.col("text"))
+        .otherwise(F.substring(quoted, 2, F.length(quoted) - 2))
     )
-    return turns.select("conv_id", "turn", tables.flatten_content(body).alias("content"))
+    payload = F.concat(F.lit('{"model": "m", "messages": [{"role": "user", "content": '), body, F.lit("}]}"))
+    asked = tables.parse_chat_requests(turns.select("conv_id", "turn", payload.alias("value")))
+    return asked.select("conv_id", "turn", tables.flatten_content(F.col("messages")[0]["content"]).alias("content"))
 
 
 # ----------------------------------------------------------------------------- projections, filters
@@ -178,7 +182,13 @@ def toggle_signature(spark, d):
 
 @query
 def rule_access(spark, d):
-    return routing.rule_access(api_keys(spark, d), view(spark, d, "routing_rules")).select("key_id", "rule_id", "model")
+    """Rules of every distinct access list, one rule without an id among them, and how many keys share the list."""
+    rules = view(spark, d, "routing_rules").select("id", "model")
+    unnumbered = rules.where("id = 1").select(F.lit(None).cast("bigint").alias("id"), F.lit("shared").alias("model"))
+    keys = api_keys(spark, d)
+    shared = routing.key_lists(keys).groupBy("access").agg(F.count("*").alias("keys"))
+    return routing.rule_access(keys, rules.unionByName(unnumbered)).join(shared, "access").select(
+        "access", "rule_id", "model", "keys")
 
 
 @query
@@ -711,25 +721,31 @@ def stream_rate_limit(spark, d):
         "api_key_id", "day", "requests", "refused")
 
 
-def replayed(spark: SparkSession, stream: DataFrame, step, state_schema: str, name: str) -> DataFrame:
-    """Run a step with a state table over all there is and read what it wrote."""
-    out, state, at = (work_dir(spark, f"{name}-{n}") for n in ("out", "state", "at"))
-    stateful.run_with_state(stream, step, state_schema, out, state, at, drain=True).awaitTermination()
+def replayed(spark: SparkSession, df: DataFrame, ts: str, step, state_schema: str, name: str) -> DataFrame:
+    """Run a step with a state table over a growing folder: three batches, each a third of the time span."""
+    path, out, state, at = (work_dir(spark, f"{name}-{n}") for n in ("in", "out", "state", "at"))
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    low, high = (x or 0 for x in df.agg(F.min(micros), F.max(micros)).first())
+    third = F.floor((micros - F.lit(low)) / F.lit((high - low) // 3 + 1))
+    for i in range(3):
+        df.where(third == i).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(df.schema).parquet(path)
+        stateful.run_with_state(stream, step, state_schema, out, state, at, drain=True).awaitTermination()
     return spark.read.parquet(out).drop("batch")
 
 
 @query
 def stream_alert_silence(spark, d):
-    events = as_stream(spark, view(spark, d, "events").select("event_id", "user_id", "ts"), "events")
+    events = view(spark, d, "events").select("event_id", "user_id", "ts")
     step = stateful.alert_suppress_step("user_id", "ts", "event_id", 86_400)
-    return replayed(spark, events, step, stateful.ALERT_STATE, "alerts").select(
+    return replayed(spark, events, "ts", step, stateful.ALERT_STATE, "alerts").select(
         F.col("key").alias("user_id"), F.col("id").alias("event_id"))
 
 
 @query
 def stream_budget(spark, d):
-    rows = as_stream(spark, charges(spark, d), "charges")
-    out = replayed(spark, rows, stateful.budget_step(api_keys(spark, d)), stateful.BUDGET_STATE, "budget")
+    step = stateful.budget_step(api_keys(spark, d))
+    out = replayed(spark, charges(spark, d), "ts", step, stateful.BUDGET_STATE, "budget")
     return out.select("request_id", F.round(real("balance_before"), 9).alias("balance_before"), "refused", "alert")
 
 

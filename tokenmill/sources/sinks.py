@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenmill.operators.ordered import rank_in_key
+
+ID_SLICE = 1024
+
 
 def append_batch(batch: DataFrame, batch_id: int, path: str) -> None:
     """Write a micro-batch under its own folder, so that a repeated batch replaces itself."""
@@ -34,19 +38,10 @@ def write_token_logs(logs: DataFrame, path: str) -> None:
     )
 
 
-def export_rules_document(rules: DataFrame, path: str, max_rules: int = 10_000) -> None:
-    """All rules as one JSON document, grouped by intent in rule order.
-
-    The document is one value, so the table's size is checked first. Larger tables are served as
-    ordered rows, see ``rules_by_intent``.
-    """
-    if rules.limit(max_rules + 1).count() > max_rules:
-        raise ValueError(f"more than {max_rules} rules do not fit one document; use rules_by_intent")
+def export_rules_document(rules: DataFrame, path: str) -> None:
+    """All rules as JSON lines (intent, place, rule), in order of intent and rule, whatever their number."""
+    placed = rank_in_key(rules, ["intent"], F.floor(F.col("id") / ID_SLICE), ["id"], "place")
     fields = [c for c in rules.columns if c != "intent"]
-    groups = rules.groupBy("intent").agg(
-        F.array_sort(F.collect_list(F.struct("id", *[c for c in fields if c != "id"]))).alias("rules")
-    )
-    doc = groups.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("intent", "rules")))).alias("m"))
-    doc.select(F.to_json(F.struct(F.col("m").alias("routing_rules"))).alias("value")).coalesce(1).write.mode(
-        "overwrite"
-    ).text(path)
+    ordered = placed.repartitionByRange("intent", "place").sortWithinPartitions("intent", "place")
+    line = F.to_json(F.struct("intent", "place", F.struct(*fields).alias("rule")))
+    ordered.select(line.alias("value")).write.mode("overwrite").text(path)

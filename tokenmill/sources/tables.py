@@ -49,8 +49,8 @@ LOG_ENTRY = T.StructType([
     T.StructField("latency_ms", T.IntegerType()),
     T.StructField("cost_usd", T.DoubleType()),
 ])
-# content may be a string or a list of parts, so it stays JSON text until it is flattened
-CHAT_REQUEST = "model string, messages array<struct<role:string,content:string>>, temperature double, stream boolean, max_tokens int"
+# content may be a string or a list of parts, so it stays a variant until it is flattened
+CHAT_REQUEST = "model string, messages array<struct<role:string,content:variant>>, temperature double, stream boolean, max_tokens int"
 ANSWER = "choices array<struct<message:struct<role:string,content:string>>>"
 PROVIDER_EVENT = (
     "type string, message struct<usage:struct<input_tokens:bigint>>, "
@@ -166,14 +166,11 @@ def parse_chat_requests(lines: DataFrame) -> DataFrame:
 
 
 def flatten_content(content: Column) -> Column:
-    """Text of a message's content: a string as it is; of a list the text parts and strings; else ''.
+    """Text of a message's content, a variant: a string as it is; of a list the text parts and strings; else ''.
 
-    A list arrives as JSON text. ``get_json_object`` unquotes bare strings and leaves objects as JSON,
-    so the parts are read one by one as variants.
+    The type decides, so a string that looks like JSON stays the string it is.
     """
-    trimmed = F.ltrim(content)
-    parsed = F.when(trimmed.startswith("["), F.try_parse_json(content))
-    parts = F.try_variant_get(parsed, "$", "array<variant>")
+    parts = F.try_variant_get(content, "$", "array<variant>")
     text = F.transform(
         parts,
         lambda p: F.when(F.schema_of_variant(p) == "STRING", F.try_variant_get(p, "$", "string")).when(
@@ -182,11 +179,8 @@ def flatten_content(content: Column) -> Column:
         ),
     )
     joined = F.array_join(F.filter(text, lambda t: t.isNotNull()), " ")
-    return (
-        F.when(parts.isNotNull(), joined)
-        .when(trimmed.startswith("{") & F.try_parse_json(content).isNotNull(), "")
-        .otherwise(F.coalesce(content, F.lit("")))
-    )
+    is_text = F.schema_of_variant(content) == "STRING"
+    return F.when(parts.isNotNull(), joined).when(is_text, F.try_variant_get(content, "$", "string")).otherwise("")
 
 
 def parse_answer(response: Column) -> Column:

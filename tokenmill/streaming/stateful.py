@@ -25,6 +25,7 @@ from tokenmill.operators.ordered import greedy_ttl, micros
 from tokenmill.session import stage
 from tokenmill.sources.sinks import append_batch
 
+
 def run_with_state(
     stream: DataFrame, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], state_schema: str,
     out: str, state: str, checkpoint: str, drain: bool = False,
@@ -51,14 +52,13 @@ def run_with_state(
 def _fire(rows: DataFrame, state: DataFrame, silence: int) -> DataFrame:
     """(key, t, id) of rows that fire, given the last fired time per key in ``state``.
 
-    The last fired row of a key goes in front of its new rows. It fires again as the key's first row,
-    keeps the others silent for as long as it has to, and is then left out.
+    Rows before the end of the carried silence stay silent, also those that are older than the row
+    that fired and arrive late.
     """
-    carried = state.where("last_fired IS NOT NULL").select(
-        "key", F.timestamp_micros("last_fired").alias("ts"), F.lit(-(2**63)).cast("bigint").alias("id")
-    )
-    fired = greedy_ttl(carried.unionByName(rows.select("key", "ts", "id")), ["key"], "ts", "id", F.lit(silence))
-    return fired.where(F.col("id") != -(2**63)).select("key", micros(F.col("ts")).alias("t"), "id")
+    carried = state.groupBy("key").agg(F.max("last_fired").alias("last_fired")).where("last_fired IS NOT NULL")
+    due = F.coalesce(micros(F.col("ts")) >= F.col("last_fired") + silence * 1_000_000, F.lit(True))
+    awake = rows.select("key", "ts", "id").join(carried, "key", "left").where(due).drop("last_fired")
+    return greedy_ttl(awake, ["key"], "ts", "id", F.lit(silence)).select("key", micros(F.col("ts")).alias("t"), "id")
 
 
 ALERT_STATE = "key string, last_fired bigint"
@@ -80,38 +80,40 @@ def alert_suppress_step(
     return step
 
 
-BUDGET_STATE = "key string, spent decimal(38,12), last_fired bigint"
+BUDGET_STATE = "key string, month string, spent decimal(38,12), last_fired bigint"
 
 
 def budget_step(
     keys: DataFrame, ts: str = "ts", row_id: str = "request_id", cost: str = "cost_usd",
-    silence: int = fixed.ALERT_SILENCE_SECONDS,
+    silence: int = fixed.ALERT_SILENCE_SECONDS, tz: str = "UTC",
 ) -> Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
     """Balance before and after each charge, refusals, and low-budget alerts with their silence.
 
-    What earlier batches spent is taken off the key's budget before the batch is replayed.
+    What earlier batches spent opens the batch's balances: for monthly keys by month, so that each
+    month starts anew. Charges of unknown keys come out with a balance of zero, as in batch.
     """
     def step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-        totals = keys.select(F.col("id").cast("string").alias("key"), F.col("total_budget").alias("total"))
-        carried = keys.join(state.withColumnRenamed("key", "_key"), F.col("id").cast("string") == F.col("_key"), "left")
-        left = F.col("total_budget") - F.coalesce("spent", F.lit(0))
-        budgets = carried.select("id", "name", "budget_type", left.alias("total_budget"))
         rows = batch.select(
             F.col("api_key_id").alias("key"), F.col(ts).cast("timestamp").alias("ts"),
             F.col(row_id).cast("bigint").alias("id"), F.col(cost).alias("cost"),
         )
-        replayed = running_budget(rows, budgets, key="key", ts="ts", row_id="id", cost="cost").drop("total_budget")
-        balances = stage(replayed.join(totals, "key"), "balances")
-        low = balances.where((F.col("cost") > 0) & is_low(F.col("balance_after"), F.col("total")))
+        opening = state.where("spent <> 0").select("key", F.col("month").alias("budget_month"), "spent")
+        replayed = running_budget(
+            rows, keys, monthly=True, tz=tz, key="key", ts="ts", row_id="id", cost="cost", opening=opening
+        )
+        balances = stage(replayed, "balances")
+        low = balances.where((F.col("cost") > 0) & is_low(F.col("balance_after"), F.col("total_budget")))
         fired = stage(_fire(low, state, silence), "fired")
         flagged = balances.join(fired.select("key", "id", F.lit(True).alias("alert")), ["key", "id"], "left")
         result = flagged.select(
             F.col("key").alias("api_key_id"), F.col("id").alias("request_id"), "balance_before", "balance_after", "refused",
             F.coalesce("alert", F.lit(False)).alias("alert"),
         )
-        sums = rows.select("key", spend(F.col("cost"), "exact").alias("spent"), F.lit(None).cast("bigint").alias("last_fired"))
-        alerts = fired.select("key", F.lit(0).cast("decimal(38,12)").alias("spent"), F.col("t").alias("last_fired"))
-        after = state.unionByName(sums).unionByName(alerts).groupBy("key").agg(
+        sums = balances.select("key", F.col("budget_month").alias("month"), spend(F.col("cost"), "exact").alias("spent"),
+                               F.lit(None).cast("bigint").alias("last_fired"))
+        alerts = fired.select("key", F.lit("").alias("month"), F.lit(0).cast("decimal(38,12)").alias("spent"),
+                              F.col("t").alias("last_fired"))
+        after = state.unionByName(sums).unionByName(alerts).groupBy("key", "month").agg(
             F.sum("spent").cast("decimal(38,12)").alias("spent"), F.max("last_fired").alias("last_fired")
         )
         return result, after
