@@ -173,14 +173,14 @@ def rule_access(keys: DataFrame, rules: DataFrame) -> DataFrame:
     per key and rule.
     """
     lists = key_lists(keys).select("access", "allowed_rules").dropDuplicates(["access"])
-    open_rules = F.lit(-(2**63)).cast("bigint")
-    named = rules.withColumn("_rule", F.coalesce("id", open_rules)).withColumnRenamed("id", "rule_id")
-    wanted = lists.where("allowed_rules IS NOT NULL").select(
-        "access", F.explode(F.concat(F.array_distinct("allowed_rules"), F.array(open_rules))).alias("_rule")
+    open_rules, every = (F.lit(-(2**63) + i).cast("bigint") for i in range(2))
+    numbers = F.when(F.col("allowed_rules").isNull(), F.array(every)).otherwise(
+        F.concat(F.array_distinct("allowed_rules"), F.array(open_rules))
     )
-    unlimited = lists.where("allowed_rules IS NULL").select("access")
-    whole = named.withColumn("access", F.lit(EVERY_RULE)).join(F.broadcast(unlimited), "access")  # one row at most
-    return wanted.join(named, "_rule").unionByName(whole).drop("_rule")
+    # a rule is found by its number and, by lists without limits, among all rules
+    found_by = F.explode(F.array(F.coalesce("id", open_rules), every)).alias("_rule")
+    named = rules.select("*", found_by).withColumnRenamed("id", "rule_id")
+    return lists.select("access", F.explode(numbers).alias("_rule")).join(named, "_rule").drop("_rule")
 
 
 def failover(routed: DataFrame, outcomes: DataFrame, request_id: str = "request_id") -> DataFrame:
