@@ -233,6 +233,80 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+GPL = """%s program is free software%s you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation%s either version %d of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD = """Copyright (c) 2001, Some One. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+ADS = """
+3. All advertising materials mentioning features or use of this software
+   must display the following acknowledgement:
+   This product includes software developed by the University of
+   California and its contributors.
+"""
+NAMES = """
+%d. Neither the name of the copyright
+   holder nor the names of its contributors may be used to endorse or promote
+   products derived from this software without specific prior written permission.
+"""
+
+
+def test_licenses_wrapped(spark, empty):
+    gpl2, gpl3 = GPL % ("This", ";", ";", 2), GPL % ("This", ":", ",", 3)
+    comment = lambda sign, text, end="\n": end.join(f"{sign} {x}".rstrip() for x in text.split("\n"))
+    texts = [MIT, comment("//", MIT), comment(" *", MIT, "\r\n"), gpl3, comment("#", gpl3), comment("dnl", "x\n" + gpl2), BSD, BSD + NAMES % 3,
+             comment("--", BSD + ADS + NAMES % 4), "Permission is hereby granted, free of charge,\n\nto any person", "rain\nLicensed under CC BY 4.0\nrain",
+             'Licensed under the Apache\nLicense, Version 2.0 (the\n"License"); you may not', "rain Licensed under CC BY 4.0\nLicensed under CC\n\nBY 4.0"]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license, r.n_sentences) for r in got) == [
+        (0, "MIT", 3), (1, "MIT", 3), (2, "MIT", 3), (3, "GPL-3.0-or-later", 2), (4, "GPL-3.0-or-later", 2), (5, "GPL-2.0-or-later", 2),
+        (6, "BSD-2-Clause", 3), (6, "proprietary", 1), (7, "BSD-3-Clause", 4), (7, "proprietary", 1), (8, "BSD-4-Clause", 5), (8, "proprietary", 1),
+        (10, "CC-BY-4.0", 1), (11, "Apache-2.0", 1)]
+    assert licenses.scan(empty).count() == 0
+    # each known sentence in lines of three words
+    flat = {n: s.replace("{}", "Some One") + "." for n, s in licenses.SENTENCES.items()}
+    for n, s in flat.items():
+        w = s.split(" ")
+        flat[n] = "\n".join(" ".join(w[k : k + 3]) for k in range(0, len(w), 3))
+    every = [(k, flat[n]) for k, n in enumerate(flat)]
+    got = licenses.scan(spark.createDataFrame(every, "doc_id long, text string"), rules=[(n, (n,)) for n in flat]).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == list(enumerate(flat))
+
+
 def test_warc(spark, tmp_path):
     long = "<p>é" + "z" * 1200
     pages = [(1, "http://a/ b\n", long), (5, None, long), (5, "u", long), (2, "u", "short"), (7, "u", "short"), (None, "u", long), (9, "u", None), (-3, "u", "")]
