@@ -184,6 +184,31 @@ def test_quality(docs, empty):
     assert quality.judge(empty).count() == 0
 
 
+def test_quality_outliers(spark):
+    rng = random.Random(3)
+    word = lambda n=5: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    text = lambda n: " ".join(word() for _ in range(n))
+
+    def repeating(n):  # n words of 200, in one passage that stands twice
+        passage = text(n // 2)
+        return f"{text(100)} {passage} {text(100 - n)} {passage}"
+
+    rows, want = [], {}
+    for lang, source in (("en", "s1"), ("de", "s2")):
+        rows += [(len(rows) + k, "\n".join(text(10) for _ in range(20)), lang, source) for k in range(150)]
+        for rule, t in (("mean_chars", " ".join(word(9) for _ in range(200))), ("symbol_share", " ".join(word(4) + rng.choice("aa#") for _ in range(200))),
+                        ("dup_line_share", "\n".join([text(10), "ab cde fghij"][k % 4 == 0] for k in range(40))), ("repeat_share", repeating(40))):
+            want[len(rows)] = rule
+            rows.append((len(rows), t, lang, source))
+    # a group so even in its spread that its fence lies beyond what the base rules let pass
+    rows += [(len(rows) + k, repeating(2 * (k % 16 + 4)), "fr", "s3") for k in range(160)]
+    want[len(rows)] = "repeat_share"
+    rows.append((len(rows), repeating(58), "fr", "s3"))
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert not any(r.base_failed for r in got)
+    assert {r.doc_id: r.broken_rule for r in got if not r.kept} == want
+
+
 def test_hmm_base_and_forward(docs, empty):
     rows = hmm.score_texts(docs, rounds=2, classes=10).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2

@@ -3,6 +3,10 @@
 Four ratios of a text are compared with the usual range of its language and source. The ranges come from
 quantile sketches: one per language and source, built in one pass and merged upwards to languages and to the
 whole corpus, which stand in where a group is too small to tell.
+
+A signal is unusual beyond a fence of ``SPREADS`` interquartile ranges around the quartiles, and also in the outmost
+``TAIL`` of the group if it is further from the quartile than the least range. The fence finds outliers where
+they are many; the tail finds them where the group itself is so wide that the fence lies beyond all values.
 """
 
 from __future__ import annotations
@@ -19,10 +23,11 @@ MIN_WORDS = 20
 MAX_REPEAT = 30  # percent
 SKETCH = 2048  # size parameter of a sketch; the error of a rank is about a thousandth
 LEAST_ROWS = 100  # documents from which a group's own sketch counts
-SPREADS = 4.0  # interquartile ranges beyond the quartiles that are still usual
-#: Least interquartile range that is assumed for each signal, so that a group of very even texts rejects nothing
-#: for a small difference.
-SIGNALS = {"mean_chars": 1.0, "symbol_share": 0.02, "dup_line_share": 0.1, "repeat_share": 0.08}
+SPREADS = 3.0  # interquartile ranges beyond the quartiles that are still usual
+TAIL = 0.01  # part of a group at either end that is unusual if it is off the quartile by more than the least range
+#: Least range that is assumed for each signal, so that a group of very even texts rejects nothing for a small
+#: difference. ``SPREADS`` times the range must stay well inside the values that the base rules let pass.
+SIGNALS = {"mean_chars": 0.5, "symbol_share": 0.02, "dup_line_share": 0.06, "repeat_share": 0.05}
 
 
 def _bound(value: Column, use) -> Column:
@@ -90,9 +95,10 @@ def thresholds(counted: DataFrame) -> DataFrame:
     for i, (level, keys) in enumerate(levels):
         limits = []
         for s, least in SIGNALS.items():
-            low, high = (F.kll_sketch_get_quantile_double(s, F.lit(q)) for q in (0.25, 0.75))
+            end, low, high, top = (F.kll_sketch_get_quantile_double(s, F.lit(q)) for q in (TAIL, 0.25, 0.75, 1 - TAIL))
             spread = F.greatest(high - low, F.lit(least)) * SPREADS
-            limits.append(F.struct((low - spread).alias("low"), (high + spread).alias("high")).alias(s))
+            limits.append(F.struct(F.greatest(low - spread, F.least(end, low - least)).alias("low"),
+                                   F.least(high + spread, F.greatest(top, high + least)).alias("high")).alias(s))
         level = level.filter((F.col("n") >= LEAST_ROWS) if i < 2 else (F.col("n") > 0))
         level = level.select(*[F.col(k).alias(f"{k}_key") for k in keys], F.struct(*limits).alias(f"level{i}"))
         on = [out[k].eqNullSafe(level[f"{k}_key"]) for k in keys]
