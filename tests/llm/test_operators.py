@@ -106,6 +106,22 @@ def test_repeats(docs, empty):
     assert suffixes.remove_repeats(empty).count() == 0
 
 
+def test_repeats_of_a_common_phrase(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    phrase = "The quick brown fox jumps over the lazy dog."
+    fixed = [word() + " " + phrase + " " + word() + " " + word() for _ in range(4)]
+    rows = [(i, " ".join([word(), word(), phrase if i % 3 else fixed[i % 4], word(), word(), word(), word()])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    from tokenmill.llm.common import stage
+
+    docs = stage(docs, "test-phrase")
+    want = Counter(brute.repeats(rows))
+    assert sum(r[2] for r in want) > 0
+    for most in (1, 5, 10**6):
+        assert Counter(tuple(r) for r in suffixes.remove_repeats(docs, most=most).collect()) == want
+
+
 def test_suffix_array():
     rng = random.Random(1)
     for _ in range(400):

@@ -3,7 +3,9 @@
 Every string of ``width`` bytes has a minimizer: its smallest k-mer by hash. Only k-mers that are minimizers
 in two documents can be in a repeated string, and around such a k-mer ``2 * width - k`` bytes hold all
 strings that have it as minimizer. The distinct surroundings of a k-mer are put into one text, and its suffix
-array tells which strings of ``width`` bytes are equal, and which document is the first with each.
+array tells which strings of ``width`` bytes are equal, and which document is the first with each. A k-mer
+with more than ``MOST`` distinct surroundings is divided first: their strings of ``width`` bytes are dealt by hash,
+equal strings to one place, so that no task sorts all surroundings of a common phrase.
 
 The suffix array is built without renaming: suffixes are grouped by their Lyndon prefix. Groups are taken in
 descending order; a suffix's previous smaller suffix moves behind its old group as often as the group follows
@@ -24,6 +26,7 @@ from tokenmill.llm.common import stage, with_row
 
 WIDTH = 50
 KMER = 24
+MOST = 2_000  # distinct surroundings of a k-mer that are sorted as one text
 LAST = (1 << 63) - 1  # place of null ids: behind all others
 
 
@@ -242,7 +245,21 @@ def _remove(batches, width: int):
         )
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, k: int = KMER) -> DataFrame:
+def _divided(distinct: DataFrame, width: int) -> DataFrame:
+    """The rows of ``_resolve`` for k-mers with many surroundings: equal strings are found by grouping, summed before the
+    shuffle, so a common string is no more work for its task than others."""
+    offsets = F.sequence(F.lit(0), F.octet_length("around") - width)
+    strings = distinct.filter(F.octet_length("around") >= width).select("kmer", "key", "first", "around", F.explode(offsets).alias("o"))
+    strings = strings.select("kmer", "key", "first", "o", F.xxhash64(F.substring("around", F.col("o") + 1, F.lit(width))).alias("string"))
+    least = strings.groupBy("kmer", "string").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most")
+    later = strings.join(least.select("kmer", "string", "least"), ["kmer", "string"]).filter("first > least")
+    bits = later.groupBy("kmer", "key").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("o"))).alias("mask"))
+    out = distinct.select("kmer", "key", "first").join(bits, ["kmer", "key"], "left")
+    return out.select("kmer", "key", "first", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, k: int = KMER,
+                   most: int = MOST) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Removed is each byte covered by a string of ``width`` bytes that also starts in a document with a smaller id.
@@ -253,17 +270,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = with_row(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "row")
     base = base.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
     kmers = base.select("row", "text").mapInArrow(lambda b: _kmers(b, width, k), "kmer long, row long")
-    shared = kmers.select("kmer", "row", F.expr("min(row) over (partition by kmer) < max(row) over (partition by kmer)").alias("shared"))
-    shared = stage(shared.filter("shared").select("kmer", "row"), "shared-kmers")
+    # in two rows; summed before the shuffle, and joined back where a k-mer with many rows can be split
+    ends = kmers.groupBy("kmer").agg(F.min("row").alias("low"), F.max("row").alias("high")).filter("low < high").select("kmer")
+    shared = stage(kmers.join(ends, "kmer"), "shared-kmers")
     per = shared.groupBy("row").agg(F.collect_list("kmer").alias("kmers"))
     around = base.select("row", "id", "text").join(per, "row")
     around = around.mapInArrow(lambda b: _surroundings(b, width, k), "kmer long, row long, id long, begin long, around binary")
     around = stage(around.withColumn("key", F.xxhash64("around")), "surroundings")
     distinct = around.groupBy("kmer", "key", "around").agg(F.min("id").alias("first"))
-    masks = distinct.repartition("kmer").sortWithinPartitions("kmer", "key").mapInArrow(
+    distinct = stage(distinct, "distinct-surroundings")
+    many = distinct.groupBy("kmer").count().filter(F.col("count") > most).select("kmer")
+    few = distinct.join(many, "kmer", "left_anti")
+    masks = few.repartition("kmer").sortWithinPartitions("kmer", "key").mapInArrow(
         lambda b: _resolve(b, width), "kmer long, key long, first long, mask long"
     )
-    masks = stage(masks, "masks")
+    masks = stage(masks.unionByName(_divided(distinct.join(many, "kmer", "left_semi"), width)), "masks")
     found = around.select("kmer", "key", "row", "id", "begin", F.octet_length("around").alias("size")).join(masks, ["kmer", "key"])
     every = F.sequence(F.lit(0), F.col("size") - width)
     some = F.filter(every, lambda o: F.call_function("shiftright", F.col("mask"), o).bitwiseAND(1) == 1)
