@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenmill.llm import exact_dedup, hmm, jaccard, licenses, mixing, packing, quality, suffixes, toxicity, warc
+from tokenmill.llm import (
+    divergence, exact_dedup, hmm, jaccard, leaks, licenses, mixing, packing, quality, runs, suffixes, toxicity, warc,
+)
 from tokenmill.llm.common import input_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +73,23 @@ def op9_suffix_dedup(spark, d):
 def op10_jaccard(spark, d):
     groups = jaccard.near_groups(input_table(spark, d, "documents"), jaccard.Join(4, 85))
     return groups.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op11_divergence(spark, d):
+    return divergence.divergences(input_table(spark, d, "documents"))
+
+
+@query
+def op12_decontamination(spark, d):
+    found = leaks.find_leaks(input_table(spark, d, "documents"), input_table(spark, d, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query
+def op13_runs(spark, d):
+    found = runs.run_report(runs.periodic_runs(input_table(spark, d, "documents"), order=runs.repeated_tail))
+    return found.drop("n_words")
