@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import sys
+from collections import Counter
+from functools import reduce
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +17,10 @@ from tokenmill.session import stage
 PAIR = ["intent", "model"]
 BASE = -(2**63)
 CHANGE_SLICE = 4096
+WALK_ROWS = 1_000_000  # moves of a group that one task walks through
+MOST_LINKS = 100_000  # pairs of intents on the driver
+# the walk travels to the workers itself, so the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def apply_changes(base: DataFrame, changes: DataFrame, row_id: str, order: str = "change_id") -> DataFrame:
@@ -28,28 +38,131 @@ def apply_changes(base: DataFrame, changes: DataFrame, row_id: str, order: str =
     return merged.select(row_id, *[pick(c).alias(c) for c in fields])
 
 
-def rule_change_apply(rules: DataFrame, changes: DataFrame) -> DataFrame:
+def rule_change_apply(rules: DataFrame, changes: DataFrame, most: int = WALK_ROWS) -> DataFrame:
     """Rules after the changes, applied in order of ``change_id``.
 
     An upsert to an (intent, model) that another rule holds at that moment is refused, and its rule
-    stays as it was. Pairs that the base holds twice stay; a null in a pair collides with nothing.
+    stays as it was. Pairs that the base holds twice stay; a null in a pair collides with nothing. A rule changes
+    at most once under one ``change_id``; of several rules under one, the smaller id comes first.
 
-    Whether a change is refused follows from earlier changes alone. All changes are judged at once, by
-    the verdicts of the round before, until no verdict moves: each round settles at least the earliest
-    open change, so the end is the one result of a walk, and rounds are as many as refusals that hang
-    on each other.
+    Whether a change is refused depends only on rules that meet it, directly or through others. Rules that share
+    intents form a group; a group of up to ``most`` changes is one walk in order, in one task. A larger group
+    is cut finer, by the (intent, model) pairs that its rules share. What is then still larger is judged all at
+    once, by the verdicts of the round before, until no verdict moves.
     """
     fields = ["id", "change_id", "op", *PAIR]
     base = rules.select("id", F.lit(BASE).alias("change_id"), F.lit("base").alias("op"), *PAIR)
-    moves = stage(base.unionByName(changes.select(*fields)).withColumn("refused", F.lit(False)), "moves")
+    moves = stage(base.unionByName(changes.select(*fields)), "moves")
+    walks, rest = _split(moves, _by_intents(moves), most)
+    parts = [] if walks is None else [_walked(walks)]
+    if rest is not None:
+        rest = stage(rest, "large-groups")
+        finer, rest = _split(rest, _by_pairs(rest), most)
+        parts.append(_walked(finer))
+    if rest is not None:
+        parts.append(_in_rounds(stage(rest, "largest-groups")))
+    refused = reduce(DataFrame.unionByName, parts)
+    kept = changes.join(refused, ["id", "change_id"], "left_anti")
+    return apply_changes(rules, kept, "id")
+
+
+NAMED = "op <> 'delete' AND intent IS NOT NULL AND model IS NOT NULL"
+
+
+def _by_intents(moves: DataFrame) -> DataFrame | None:
+    """(id, group): rules whose intents are linked by rules that go from one to another; None with very many intents.
+
+    Links of intents are distinct pairs, so they are few however many changes there are.
+    """
+    named = moves.where(NAMED)
+    first = named.groupBy("id").agg(F.min("intent").alias("first"))
+    links = named.select("id", "intent").distinct().join(first, "id").select("first", "intent").distinct()
+    rows = links.limit(MOST_LINKS + 1).collect()
+    if len(rows) > MOST_LINKS:
+        return None
+    root: dict[str, str] = {}
+
+    def top(x: str) -> str:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for r in rows:
+        a, b = sorted((top(r["first"]), top(r["intent"])))
+        root[b] = a
+    groups = moves.sparkSession.createDataFrame([(x, top(x)) for x in root], "first string, group string")
+    return first.join(F.broadcast(groups), "first").select("id", "group")  # at most two rows a link
+
+
+def _by_pairs(moves: DataFrame) -> DataFrame:
+    """(id, group): rules that are linked by pairs that both name, each group by its smallest rule.
+
+    Each round hands on the smallest label of a pair's rules, and then that label's own label, so a chain is
+    done after about as many rounds as its length has binary digits.
+    """
+    named = stage(moves.where(NAMED).select("id", *PAIR).distinct(), "rule-pairs")
+    labels, last = stage(named.select("id", F.col("id").alias("group")).distinct(), "labels"), None
+    while True:
+        met = named.join(labels, "id")
+        of_pair = met.groupBy(*PAIR).agg(F.min("group").alias("near"))
+        near = named.join(of_pair, PAIR).groupBy("id").agg(F.min("near").alias("near"))
+        least = labels.join(near, "id").select("id", F.least("group", "near").alias("group"))
+        beyond = least.select(F.col("id").alias("group"), F.col("group").alias("beyond"))
+        labels = stage(least.join(beyond, "group", "left").select("id", F.least("group", F.coalesce("beyond", "group")).alias("group")), "labels")
+        now = labels.agg(F.sum(F.col("group").cast("decimal(38,0)"))).first()[0]  # labels only fall
+        if now == last:
+            return labels.withColumn("group", F.col("group").cast("string"))
+        last = now
+
+
+def _split(moves: DataFrame, groups: DataFrame | None, most: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Moves of the groups with up to ``most`` moves, and of the larger ones. Rules without a named pair never collide."""
+    if groups is None:
+        return None, moves
+    grouped = stage(moves.join(groups, "id"), "grouped-moves")
+    large = grouped.groupBy("group").count().where(F.col("count") > most).select("group")
+    if large.isEmpty():
+        return grouped, None
+    return grouped.join(large, "group", "left_anti"), grouped.join(large, "group", "left_semi").drop("group")
+
+
+def _walked(moves: DataFrame) -> DataFrame:
+    """(id, change_id) of the changes that a walk through each group refuses."""
+
+    def walk(group: pa.Table) -> pa.Table:
+        order = group.sort_by([("change_id", "ascending"), ("id", "ascending")])
+        held: dict[int, tuple] = {}
+        holders: Counter = Counter()
+        ids, numbers = [], []
+        for rule, change, op, intent, model in zip(*(order.column(c).to_pylist() for c in ("id", "change_id", "op", *PAIR))):
+            pair = (intent, model) if op != "delete" and intent is not None and model is not None else None
+            old = held.get(rule)
+            if op == "upsert" and pair is not None and holders[pair] > (pair == old):
+                ids.append(rule)
+                numbers.append(change)
+                continue
+            holders[old] -= 1
+            holders[pair] += 1
+            held[rule] = pair
+        return pa.table({"id": pa.array(ids, order.schema.field("id").type), "change_id": pa.array(numbers, pa.int64())})
+
+    return moves.groupBy("group").applyInArrow(walk, f"id {moves.schema['id'].dataType.simpleString()}, change_id bigint")
+
+
+def _in_rounds(moves: DataFrame) -> DataFrame:
+    """(id, change_id) of the changes that are refused.
+
+    Each round settles at least the earliest open change, so the end is the one result of a walk, and rounds
+    are as many as refusals that hang on each other.
+    """
+    moves = moves.withColumn("refused", F.lit(False))
     hot_ids, hot_pairs = find_hot_keys(moves, ["id"]), find_hot_keys(moves, PAIR)
     while True:
         judged = stage(_judge(moves, hot_ids, hot_pairs), "judged")
         moves = judged.drop("was")
         if judged.where("refused <> was").isEmpty():
-            break
-    kept = changes.join(moves.where("refused").select("id", "change_id"), ["id", "change_id"], "left_anti")
-    return apply_changes(rules, kept, "id")
+            return moves.where("refused").select("id", "change_id")
 
 
 def _judge(moves: DataFrame, hot_ids: HotKeys, hot_pairs: HotKeys) -> DataFrame:
