@@ -94,6 +94,7 @@ RATE_LIMIT = 60
 RATE_WINDOW_SECONDS = 60
 LOW_BUDGET_SHARE = 0.10
 ALERT_SILENCE_SECONDS = 3600
+MEMO_SECONDS = 3600
 QUEUE_BATCH = 100
 
 # --- fixed values: dashboard --------------------------------------------------------------------
@@ -129,3 +130,20 @@ DEFAULT_RULE = {
 DEFAULT_MAX_TOKENS = 4096
 DEFAULT_TEMPERATURE = 1.0
 DEFAULT_WEIGHT = 100
+
+# The wording of the alert messages, which is their output.
+LOW_BUDGET_TEXT = (
+    "⚠️ *%s Alert: Budget Threshold Warning* ⚠️\n"
+    "• *API Key*: `%s`\n"
+    "• *Remaining Balance*: `$%s`\n"
+    "• *Total Allocated Budget*: `$%s`\n"
+    "• *Status*: Remaining budget has dropped below 10%%. Please top up."
+)
+FAILOVER_TEXT = (
+    "🚨 *%s Alert: Downstream Failover* 🚨\n"
+    "• *Intent Category*: `%s`\n"
+    "• *Failed Model*: `%s`\n"
+    "• *Failover Target*: `%s`\n"
+    "• *Error Trigger*: `%s`\n"
+    "• *Status*: Request automatically routed to backup model."
+)

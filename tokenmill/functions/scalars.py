@@ -111,21 +111,11 @@ def threshold_band(v: Column) -> Column:
 
 
 def low_budget_text(name: Column, remaining: Column, total: Column, source: str = "Gateway") -> Column:
-    return F.concat(
-        F.lit(f"⚠️ *{source} Alert: Budget Threshold Warning* ⚠️\n• *API Key*: `"), name,
-        F.lit("`\n• *Remaining Balance*: `$"), F.format_number(remaining, 4),
-        F.lit("`\n• *Total Allocated Budget*: `$"), F.format_number(total, 4),
-        F.lit("`\n• *Status*: Remaining budget has dropped below 10%. Please top up."),
-    )
+    return F.format_string(fixed.LOW_BUDGET_TEXT, F.lit(source), name, F.format_number(remaining, 4), F.format_number(total, 4))
 
 
 def failover_text(intent: Column, primary: Column, fallback: Column, error: Column, source: str = "Gateway") -> Column:
-    return F.concat(
-        F.lit(f"🚨 *{source} Alert: Downstream Failover* 🚨\n• *Intent Category*: `"), intent,
-        F.lit("`\n• *Failed Model*: `"), primary, F.lit("`\n• *Failover Target*: `"), fallback,
-        F.lit("`\n• *Error Trigger*: `"), error,
-        F.lit("`\n• *Status*: Request automatically routed to backup model."),
-    )
+    return F.format_string(fixed.FAILOVER_TEXT, F.lit(source), intent, primary, fallback, error)
 
 
 def double_bold(message: Column) -> Column:

@@ -21,9 +21,11 @@ def last_user_message(turns: DataFrame) -> DataFrame:
     return last.where("text <> ''")
 
 
-def merge_roles(turns: DataFrame, max_tokens: str | None = None) -> DataFrame:
+def merge_roles(turns: DataFrame, limits: DataFrame | None = None) -> DataFrame:
     """Turns for providers that want alternating roles: (conv_id, place, role, content).
 
+    With ``limits`` (conv_id, max_tokens) also ``max_tokens``, which such providers demand: the default where none is given.
+
     System turns become one row at place 0, joined by line breaks. Other roles speak as the user with
     their name in front; neighbours of one role become one message. Long conversations are cut by
     turn, so none has to fit one task; a message is as long as its turns.
@@ -44,7 +46,11 @@ def merge_roles(turns: DataFrame, max_tokens: str | None = None) -> DataFrame:
     system = turns.where("role = 'system'").groupBy("conv_id").agg(listed("\n").alias("content")).select(
         "conv_id", F.lit(0).cast("bigint").alias("place"), F.lit("system").alias("role"), "content"
     )
-    return merged.unionByName(system)
+    messages = merged.unionByName(system)
+    if limits is None:
+        return messages
+    asked = limits.groupBy("conv_id").agg(F.max("max_tokens").alias("max_tokens"))
+    return messages.join(asked, "conv_id", "left").withColumn("max_tokens", default_max_tokens("max_tokens"))
 
 
 def default_max_tokens(c: str) -> F.Column:

@@ -2,88 +2,118 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import HashingTF, IDF, IndexToString, Normalizer, RegexTokenizer, StringIndexer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.functions.text import WS, code_override, normalise_prompt, plain_spaces
+from tokenmill.session import stage
 
-BUCKETS = 50_000
+SMOOTHING = 0.1
+UNIT = 1_000_000  # scores are whole millionths of natural logarithms, so that their sums are exact
+SMALL_MODEL = 1_000_000  # grams of a model that is broadcast
+MAX_INTENTS = 1_000
 
-# A small starting set, used where no samples are given: words of each field put into a few sentence forms.
-_FORMS = ("please help with {}", "a question about {}", "something on {} and {}")
-_FIELDS = {
-    "code": ("compiler errors", "golang programs", "implement interfaces", "binary trees", "search algorithms", "unit tests", "python functions", "recursion", "pointers", "api endpoints", "sorting arrays", "stack traces"),
-    "creative": ("catchy names", "futuristic cities", "sonnets", "fairy tales", "song lyrics", "characters", "villains", "screenplays", "rhymes", "plot twists"),
-    "support": ("my account", "unlock requests", "billing", "password resets", "delivery delays", "login trouble", "invoices", "returns", "subscriptions", "warranty claims"),
-    "general": ("history", "geography", "volcanoes", "nutrition", "planets", "cooking rice", "train travel", "gardening"),
-}
-STARTER_SAMPLES = {
-    intent: [f.format(w, v) for w, v in zip(words, words[1:] + words[:1]) for f in _FORMS] for intent, words in _FIELDS.items()
-}
 
+@dataclass(frozen=True)
+class IntentModel:
+    """Naive Bayes over words and neighbouring pairs of words, as a table.
 
-def starter_samples(spark: SparkSession) -> DataFrame:
-    rows = [(i, t) for i, texts in STARTER_SAMPLES.items() for t in texts]
-    return spark.createDataFrame(rows, "intent string, sample_text string").coalesce(1)
+    ``grams`` has a row per gram: gram, counts and weights (one of each per intent, in the order of ``intents``).
+    ``priors`` are the scores before the first word. The table may be of any size; only a row per intent is on the driver.
+    """
+
+    intents: list[str]
+    priors: list[int]
+    grams: DataFrame
+    small: bool
 
+    def table(self) -> DataFrame:
+        """intent, gram, n and weight, for the grams that samples of the intent have."""
+        every = F.arrays_zip(F.array(*map(F.lit, self.intents)).alias("intent"), F.col("counts").alias("n"), F.col("weights").alias("weight"))
+        return self.grams.select("gram", F.inline(every)).where("n > 0").select("intent", "gram", "n", "weight")
 
-def training_samples(spark: SparkSession, *sources: DataFrame | None) -> DataFrame:
-    """The first source with rows (file, then table), else the starter set."""
+
+def training_samples(*sources: DataFrame | None) -> DataFrame | None:
+    """The first source with rows (file, then table); None where there is none."""
     for s in sources:
         if s is not None and not s.isEmpty():
             return s.select("intent", "sample_text")
-    return starter_samples(spark)
+    return None
 
 
-def train_intent(samples: DataFrame) -> PipelineModel:
-    """Multinomial naive Bayes over hashed words and word pairs.
+def train_intent(samples: DataFrame | None) -> IntentModel | None:
+    """Counts each intent's grams and turns the counts into weights.
 
-    One pass over the samples, summed per label on the executors. Only those sums, a row of
-    ``BUCKETS`` numbers per intent, meet on the driver, so the number of samples does not matter.
+    Counts are summed before the shuffle, so a common word costs a row per task. Samples without an intent teach
+    nothing; a sample without words counts for its intent's prior alone. Without a sample there is no model.
     """
-    prepared = samples.select("intent", _grams(F.col("sample_text")).alias("grams"))
-    index = StringIndexer(inputCol="intent", outputCol="label", stringOrderType="alphabetAsc")
-    fitted = index.fit(prepared)
-    features = [HashingTF(numFeatures=BUCKETS, inputCol="grams", outputCol="features")]
-    learn = NaiveBayes(modelType="multinomial", smoothing=0.1, featuresCol="features")
-    name = IndexToString(inputCol="prediction", outputCol="predicted", labels=fitted.labels)
-    return Pipeline(stages=[fitted.setHandleInvalid("keep"), *features, learn, name]).fit(prepared)
-
-
-def retrain(spark: SparkSession, file: DataFrame | None, table: DataFrame | None) -> PipelineModel:
-    return train_intent(training_samples(spark, file, table))
+    if samples is None:
+        return None
+    labelled = samples.where("intent IS NOT NULL").select("intent", "sample_text")
+    sizes = labelled.groupBy("intent").count().orderBy("intent").limit(MAX_INTENTS + 1).collect()
+    if len(sizes) > MAX_INTENTS:
+        raise ValueError(f"more than {MAX_INTENTS} intents")
+    if not sizes:
+        return None
+    intents, rows = [r.intent for r in sizes], sum(r["count"] for r in sizes)
+    each = labelled.select("intent", F.explode(_grams(F.col("sample_text"))).alias("gram"))
+    counts = each.groupBy("gram").agg(F.array(*[F.count(F.when(F.col("intent") == i, 1)) for i in intents]).alias("counts"))
+    counts = stage(counts, "intent-counts")
+    sums = counts.agg(F.count("*").alias("grams"), *[F.sum(F.col("counts")[i]).alias(f"n{i}") for i in range(len(intents))]).first()
+    totals = F.array(*[F.lit((sums[f"n{i}"] or 0) + SMOOTHING * sums["grams"]) for i in range(len(intents))])
+    weight = lambda n, i: F.round(F.ln((n + SMOOTHING) / F.get(totals, i)) * UNIT).cast("bigint")
+    priors = [round(math.log(r["count"] / rows) * UNIT) for r in sizes]
+    return IntentModel(intents, priors, counts.withColumn("weights", F.transform("counts", weight)), sums["grams"] <= SMALL_MODEL)
+
+
+def retrain(file: DataFrame | None, table: DataFrame | None) -> IntentModel | None:
+    return train_intent(training_samples(file, table))
 
 
 def _grams(text: Column) -> Column:
     """Words and neighbouring pairs of words of the cleaned text."""
-    words = F.split(F.btrim(plain_spaces(normalise_prompt(text))), " +")
+    words = F.filter(F.split(plain_spaces(normalise_prompt(text)), " +"), lambda w: w != "")
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
                        lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
-    return F.concat(words, F.array_compact(pairs))
+    return F.coalesce(F.concat(words, F.array_compact(pairs)), F.array().cast("array<string>"))
 
 
-def classify_intent(prompts: DataFrame, model: PipelineModel | None, text: str = "text") -> DataFrame:
-    """Adds ``intent``: code where the keyword rule says so, else the model's label, else general.
+def intent_labels(prompts: DataFrame, model: IntentModel | None, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+    """(row_id, intent): code where the keyword rule says so, else the model's label, else general.
 
-    Equal texts get equal labels. A label costs less than moving the text, so texts are not gathered
-    to find the equal ones: there is no shuffle. Texts that the keyword rule decides are not scored.
+    Grams that no sample has say nothing; a text without known grams gets the most frequent intent, and of
+    equal scores the first intent by name counts. Grams meet the model by a broadcast where its size allows, and
+    a text's scores are summed before they are shuffled, so no text is moved. Texts that the keyword rule
+    decides are not scored. ``row_id`` names a text: rows with one id must have one text.
     """
-    override = F.when(code_override(F.col(text)), F.lit("code"))
+    override = F.when(F.coalesce(code_override(F.col(text)), F.lit(False)), F.lit("code"))
+    decided = prompts.select(row_id, override.alias("_override"))
     if model is None:
-        return prompts.withColumn("intent", F.coalesce(override, F.lit("general")))
-    rows = prompts.withColumn("_override", override)
-    open_text = F.when(F.col("_override").isNull(), F.col(text)).otherwise("")
-    scored = PipelineModel(model.stages[1:]).transform(rows.withColumn("grams", _grams(open_text)))
-    return scored.withColumn("intent", F.coalesce("_override", "predicted", F.lit("general"))).select(
-        *prompts.columns, "intent"
-    )
+        return decided.select(row_id, F.coalesce("_override", F.lit("general")).alias("intent"))
+    grams = model.grams.select("gram", "weights")
+    grams = F.broadcast(grams) if model.small else grams
+    open_text = F.when(override.isNull(), F.col(text))
+    met = prompts.select(row_id, F.explode(_grams(open_text)).alias("gram")).join(grams, "gram")
+    sums = met.groupBy(row_id).agg(F.array(*[F.sum(F.col("weights")[i]) for i in range(len(model.intents))]).alias("_sums"))
+    scores = [
+        F.struct((F.lit(p) + F.coalesce(F.col("_sums")[i], F.lit(0))).alias("score"), F.lit(-i).alias("place"), F.lit(name).alias("intent"))
+        for i, (p, name) in enumerate(zip(model.priors, model.intents))
+    ]
+    best = F.array_max(F.array(*scores))["intent"]
+    return decided.join(sums, row_id, "left").select(row_id, F.coalesce("_override", best).alias("intent"))
+
+
+def classify_intent(prompts: DataFrame, model: IntentModel | None, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+    """``prompts`` with ``intent``; see ``intent_labels``."""
+    return prompts.join(intent_labels(prompts, model, text, row_id), row_id).select(*prompts.columns, "intent")
 
 
 # ------------------------------------------------------------------------------------- embeddings

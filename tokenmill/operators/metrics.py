@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.functions import fixed
+from tokenmill.functions.scalars import installed_names, size_gb
 
 RECENT_COLUMNS = ["id", "api_key_id", "intent", "model", "total_tokens", "latency_ms", "cost_usd", "created_at"]
 
@@ -84,17 +87,22 @@ def label_distribution(samples: DataFrame) -> DataFrame:
 def local_model_sizes(manifests: DataFrame, limit_gb: float = fixed.MAX_LOCAL_MODEL_GB) -> DataFrame:
     """(name, layers array<struct<size>>) -> size in GB and whether the limit lets the model in."""
     total = F.aggregate("layers", F.lit(0).cast("bigint"), lambda acc, l: acc + F.coalesce(l.size, F.lit(0)))
-    gb = total / F.lit(1024**3)
+    gb = size_gb(total)
     return manifests.select(
-        "name", F.round(gb, 2).alias("size_gb"), F.concat(F.round(gb, 2).cast("string"), F.lit(" GB")).alias("size"),
-        (gb > limit_gb).alias("over_limit"),
+        "name", gb.alias("size_gb"), F.concat(gb.cast("string"), F.lit(" GB")).alias("size"),
+        (total / F.lit(1024**3) > limit_gb).alias("over_limit"),
     )
 
 
 def installed_models(wanted: DataFrame, installed: DataFrame) -> DataFrame:
     """Wanted names that are installed, under the name itself or its ``:latest`` form."""
-    from tokenmill.functions.scalars import installed_names
-
     forms = wanted.withColumn("_form", F.explode(installed_names(F.col("name"))))
     there = installed.select(F.col("name").alias("_form")).distinct()
     return forms.join(there, "_form", "left_semi").select(*wanted.columns).distinct()
+
+
+def cache_clear_count(kinds: dict[str, DataFrame]) -> DataFrame:
+    """(kind, cleared): the entries of each kind that a full clear removes, and all together as ``total``."""
+    counts = [df.agg(F.lit(kind).alias("kind"), F.count("*").alias("cleared")) for kind, df in kinds.items()]
+    each = reduce(DataFrame.unionByName, counts)
+    return each.unionByName(each.agg(F.lit("total").alias("kind"), F.sum("cleared").alias("cleared")))

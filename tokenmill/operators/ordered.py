@@ -86,6 +86,29 @@ def rank_in_key(
     return running_total(df, keys, slice_by, order, F.lit(1).cast("bigint"), out, inclusive=True, hot=hot)
 
 
+def number_rows(df: DataFrame, order: list[str], out: str, start: int = 1) -> DataFrame:
+    """``out`` = position of the row in the order of the whole table, from ``start`` on.
+
+    Rows are dealt by ranges of the order and sorted inside them; only a count for each range meets on the driver.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return number_in_place(ranged, out, start)
+
+
+def number_in_place(df: DataFrame, out: str, start: int = 1) -> DataFrame:
+    """``out`` = position of the row as the partitions stand, from ``start`` on, without gaps."""
+    low = F.lit((1 << 33) - 1)  # monotonically_increasing_id keeps the partition above these bits
+    placed = df.withColumn("_id", F.monotonically_increasing_id())
+    placed = stage(placed.withColumn("_part", F.shiftright("_id", 33)).withColumn("_row", F.col("_id").bitwiseAND(low)).drop("_id"), "placed")
+    counts = sorted((r["_part"], r["count"]) for r in placed.groupBy("_part").count().collect())  # a row per partition
+    before, offsets = start, []
+    for part, n in counts:
+        offsets.append((part, before))
+        before += n
+    base = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part bigint, _base bigint"))
+    return placed.join(base, "_part").withColumn(out, F.col("_base") + F.col("_row")).drop("_part", "_row", "_base")
+
+
 def previous_value(
     df: DataFrame, keys: list[str], slice_by: Column, order: list[str], value: str, out: str
 ) -> DataFrame:

@@ -5,7 +5,6 @@ verdict -> guardrail -> cache bypass -> cache -> intent -> route -> compress ->
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from tokenmill.functions.text import is_bypass, prompt_key, strip_bypass, token_
 from tokenmill.operators.cache import build_log_rows, cache_ttl_replay
 from tokenmill.operators.compression import compress
 from tokenmill.operators.guardrail import guardrail_keywords
-from tokenmill.operators.intent import classify_intent
+from tokenmill.operators.intent import IntentModel, intent_labels
 from tokenmill.operators.meter import request_verdict
 from tokenmill.operators.pricing import with_cost
 from tokenmill.operators.routing import failover, route
@@ -22,14 +21,14 @@ from tokenmill.session import stage
 
 
 def prepare_prompts(
-    prompts: DataFrame, keywords: DataFrame, model: PipelineModel | None, method: str = "stacked", row_id: str = "doc_id"
+    prompts: DataFrame, keywords: DataFrame, model: IntentModel | None, method: str = "stacked", row_id: str = "doc_id"
 ) -> DataFrame:
     """All that depends on a prompt's text alone, once per prompt and not per request."""
     blocked = guardrail_keywords(prompts.select(row_id, "text"), keywords, "text", row_id)
     wishes = blocked.select(
         row_id, "blocked", is_bypass(F.col("text")).alias("bypass"), strip_bypass(F.col("text")).alias("text")
     )
-    small = compress(classify_intent(wishes, model), method, text="text", row_id=row_id)
+    small = compress(wishes, method, text="text", row_id=row_id).join(intent_labels(wishes, model, row_id=row_id), row_id)
     return small.select(
         row_id, "blocked", "bypass", "intent", prompt_key(F.col("text")).alias("cache_key"),
         "original_tokens", "compressed_tokens",
@@ -38,7 +37,7 @@ def prepare_prompts(
 
 def replay(
     requests: DataFrame, prompts: DataFrame, keys: DataFrame, rules: DataFrame, prices: DataFrame,
-    outcomes: DataFrame, keywords: DataFrame, model: PipelineModel | None = None, method: str = "stacked",
+    outcomes: DataFrame, keywords: DataFrame, model: IntentModel | None = None, method: str = "stacked",
     limit: int = fixed.RATE_LIMIT, width: int = fixed.RATE_WINDOW_SECONDS,
 ) -> DataFrame:
     """Log rows of all requests that are let in and answered, cached or not.

@@ -85,8 +85,7 @@ ORACLES: dict[str, str] = {
         {" ".join(f"WHEN contains(lower(text), {q(x)}) THEN {q(x)}" for x in fixed.UNSAFE_PHRASES)} END) AS phrase
         FROM {PROMPTS} p LEFT JOIN hit ON hit.doc_id = p.doc_id)""",
     "guardrail_keywords_many": f"""WITH k AS (SELECT DISTINCT lower(w) AS w FROM (
-          SELECT array_to_string(string_split(text, ' ')[1:3], ' ') AS w FROM benchmark UNION ALL
-          SELECT array_to_string(string_split(text, ' ')[1:8], ' ') FROM benchmark UNION ALL SELECT p_name FROM part)),
+          SELECT text AS w FROM benchmark UNION ALL SELECT p_name FROM part)),
         hit AS (SELECT doc_id, min(w) AS w FROM {PROMPTS} p JOIN k ON contains(lower(p.text), w) GROUP BY doc_id)
         SELECT *, phrase IS NOT NULL AS blocked FROM (SELECT p.doc_id, coalesce(hit.w, CASE
         {" ".join(f"WHEN contains(lower(text), {q(x)}) THEN {q(x)}" for x in fixed.UNSAFE_PHRASES)} END) AS phrase
@@ -186,7 +185,7 @@ ORACLES: dict[str, str] = {
         strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at FROM {LOGS} ORDER BY id DESC LIMIT 10""",
     "samples_recent": f"SELECT id, intent, updated_at FROM {v('samples')}",
     "keyword_set": """SELECT DISTINCT w AS keyword FROM (SELECT trim(p_name) AS w FROM part UNION ALL
-        SELECT trim(array_to_string(string_split(text, ' ')[1:2], ' ')) FROM benchmark)
+        SELECT trim(text) FROM benchmark)
         WHERE w <> '' AND w NOT IN (SELECT p_name FROM part WHERE p_size = 7)""",
     "cache_latest": f"""SELECT cache_key, saved_at, request_id FROM (SELECT sha256(CAST(doc_id AS VARCHAR)) AS cache_key,
         epoch_us(ts) AS saved_at, request_id, row_number() OVER (PARTITION BY doc_id ORDER BY ts DESC, request_id DESC)
@@ -551,10 +550,58 @@ ORACLES["gateway_replay"] = f"""WITH known AS MATERIALIZED (SELECT * FROM {_KNOW
     UNION ALL SELECT request_id, user_id, 'cached', 'semantic-cache', 0, 0, 0, 0.0 FROM asked WHERE hit"""
 
 # ----------------------------------------------------------------------------------------- streams
-ORACLES["stream_log_ingest"] = f"""SELECT model, count(*) AS entries, CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS tokens
-      FROM {v('token_logs')} WHERE id % 7 <> 3 GROUP BY model
+def in_thirds(rows: str, ts: str) -> str:
+    """Rows with ``third``, the part of the time span that they lie in."""
+    span = f"(SELECT min(epoch_us({ts})) AS low, (max(epoch_us({ts})) - min(epoch_us({ts}))) // 3 + 1 AS wide FROM {rows})"
+    return f"(SELECT r.*, least((epoch_us({ts}) - low) // wide, 2) AS third FROM {rows} r, {span})"
+
+
+_GOOD = f"(SELECT *, prompt_tokens + completion_tokens AS total_tokens FROM {v('token_logs')} WHERE id % 7 <> 3)"
+ORACLES["stream_log_ingest"] = f"""SELECT model, count(*) AS entries, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM {_GOOD} GROUP BY model
+    UNION ALL SELECT 'numbers', count(*), count(*) FROM {_GOOD}
     UNION ALL SELECT 'dead letters', count(*), 0 FROM {v('token_logs')} WHERE id % 7 = 3"""
+ORACLES["stream_ingested_days"] = f"""SELECT strftime(created_at, '%Y-%m-%d') AS day, intent, count(*) AS requests,
+    CAST(sum(latency_ms) AS BIGINT) AS latency_ms FROM {v('token_logs')} GROUP BY ALL"""
 ORACLES["stream_live_dashboard"] = ORACLES["by_model"]
+ORACLES["stream_dashboard_summary"] = f"""SELECT total_requests, total_tokens_used, total_cost_usd, avg_latency_ms
+    FROM ({ORACLES['summary_metrics']})"""
+ORACLES["stream_newest_logs"] = ORACLES["recent_logs"].replace("ORDER BY id DESC", "ORDER BY created_at DESC, id DESC")
+_LATE = f"""(SELECT *, least(third + CAST(request_id % 10 = 0 AS INT), 2) AS batch FROM {in_thirds(v('requests'), 'ts')})"""
+ORACLES["stream_rate_flags"] = f"""SELECT request_id, nth, nth > 2 AS limited FROM (SELECT request_id,
+    row_number() OVER (PARTITION BY api_key_id, {DAY} ORDER BY batch, ts, request_id) AS nth FROM {_LATE})"""
+_SHORT = f"""(SELECT *, {strip("lower(replace(text, chr(10), ' '))")} AS k FROM {v('short_prompts')})"""
+_IS_CODE = ORACLES["code_override"].split("SELECT doc_id, ")[1].split("AS is_code")[0]
+ORACLES["stream_memo_labels"] = f"""SELECT request_id, CASE WHEN {_IS_CODE} THEN 'code' ELSE 'general' END AS intent, NOT fires AS remembered
+    FROM {_SHORT} p JOIN {fired(f"(SELECT k, ts, request_id AS id FROM {_SHORT})", "3600")} f ON f.id = request_id"""
+ORACLES["stream_config"] = f"""SELECT request_id, arg_max(s.model, valid_from) AS model, arg_max(max_tokens, valid_from) AS max_tokens
+    FROM {v('requests')} r LEFT JOIN {v('key_settings')} s ON s.key_number = r.key_number AND s.valid_from <= r.ts GROUP BY request_id"""
+_SAVES = f"""(SELECT sha256(CAST(doc_id AS VARCHAR)) AS cache_key, epoch_us(ts) // 1000000 AS saved_at, request_id, third,
+    epoch_us(ts) // 1000000 + {TTL} AS expires_at FROM {in_thirds(f"(SELECT *, logged_intent AS intent FROM {v('requests')})", 'ts')})"""
+ORACLES["cache_generations"] = f"""SELECT cache_key, saved_at, request_id FROM (SELECT *, max(saved_at) OVER () AS now,
+      row_number() OVER (PARTITION BY cache_key ORDER BY saved_at DESC, third DESC, expires_at DESC, request_id DESC) AS n FROM {_SAVES})
+    WHERE n = 1 AND expires_at > now"""
+ORACLES["price_snapshot"] = f"SELECT model_name, provider, input_price, output_price FROM ({ORACLES['price_upsert']})"
+ORACLES["price_feed_files"] = f"""SELECT model_name, CAST(input_price AS DOUBLE) AS input_price, CAST(output_price AS DOUBLE) AS output_price
+    FROM (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY seq DESC) AS n FROM {v('price_feed')}) WHERE n = 1"""
+ORACLES["table_readers"] = f"""SELECT 'logs' AS name, count(*) AS n, CAST(sum(total_tokens) AS BIGINT) AS total FROM {LOGS}
+    UNION ALL SELECT 'keys', count(*), CAST(sum(coalesce(len(allowed_rules), 0)) AS BIGINT) FROM {KEYS}
+    UNION ALL SELECT 'rules', count(*), CAST(sum(weight) AS BIGINT) FROM {RULE_TABLE}"""
+ORACLES["local_model_sizes"] = f"""SELECT CAST(l_partkey AS VARCHAR) AS name, gb AS size_gb, CAST(gb AS VARCHAR) || ' GB' AS size,
+    bytes / 1073741824 > {fixed.MAX_LOCAL_MODEL_GB} AS over_limit
+    FROM (SELECT l_partkey, bytes, round(bytes / 1073741824, 2) AS gb FROM
+      (SELECT l_partkey, sum(CAST(l_quantity AS BIGINT) * 25000000) AS bytes FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_partkey))"""
+_PLAIN = f"(SELECT split_part(name, ':', 1) AS name FROM {v('local_models')})"
+ORACLES["installed_models"] = f"""WITH i AS (SELECT name FROM {v('local_models')} WHERE contains(name, ':') UNION
+      SELECT name || ':latest' FROM {_PLAIN} WHERE (length(name) + 7) % 2 = 0)
+    SELECT DISTINCT w.name FROM (SELECT name FROM {_PLAIN} UNION SELECT name FROM {v('local_models')}) w JOIN i
+    ON i.name = w.name OR (NOT contains(w.name, ':') AND i.name = w.name || ':latest')"""
+ORACLES["cached_answers"] = f"""SELECT request_id, 'assistant' AS role,
+    CASE WHEN request_id % 3 = 2 THEN CAST(to_json({{'answer': answer}}) AS VARCHAR) ELSE answer END AS content FROM {v('outcomes')}"""
+ORACLES["cache_clear"] = f"""WITH c AS (SELECT 'exact' AS kind, count(DISTINCT doc_id) AS cleared FROM {v('requests')}
+      UNION ALL SELECT 'semantic', count(*) FROM {v('cache_entries')} UNION ALL SELECT 'intent', count(DISTINCT k) FROM {_SHORT})
+    SELECT kind, cleared FROM c UNION ALL SELECT 'total', CAST(sum(cleared) AS BIGINT) FROM c"""
+ORACLES["chat_defaults"] = f"""SELECT conv_id, count(*) AS messages, CASE WHEN conv_id % 3 <> 0 THEN CAST(conv_id % 900 + 1 AS INT)
+    ELSE {fixed.DEFAULT_MAX_TOKENS} END AS max_tokens FROM ({ORACLES['merge_roles']}) GROUP BY conv_id"""
 ORACLES["stream_rate_limit"] = f"""SELECT api_key_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS requests,
     greatest(count(*) - 2, 0) AS refused FROM {v('requests')} GROUP BY ALL"""
 ORACLES["stream_alert_silence"] = f"""SELECT CAST(k AS VARCHAR) AS user_id, id AS event_id FROM
@@ -566,3 +613,24 @@ ORACLES["stream_budget"] = f"""WITH low AS (SELECT * FROM {balances(SPEND, f"c.a
     SELECT request_id, round(CAST(greatest(before, 0) AS DOUBLE), 9) AS balance_before, before <= 0 AS refused,
     coalesce(fires, false) AS alert FROM {balances(SPEND, f"c.api_key_id, {UTC_MONTH}")} b LEFT JOIN f ON f.id = request_id"""
 ORACLES["stream_fold_live"] = ORACLES["stream_fold"]
+
+# ------------------------------------------------------------------------------------------ intents
+_CLEAN = strip("lower(replace(t, chr(10), ' '))")
+INTENT_GRAMS = f"""(SELECT * EXCLUDE (t, ws), list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS grams
+    FROM (SELECT *, coalesce(regexp_extract_all({_CLEAN}, '[^{WS}]+'), []) AS ws FROM """
+INTENT_MODEL = f"""s AS (SELECT intent, grams FROM {INTENT_GRAMS} (SELECT intent, sample_text AS t FROM {v('intent_samples')})))),
+    g AS (SELECT intent, gram, count(*) AS n FROM (SELECT intent, unnest(grams) AS gram FROM s) GROUP BY ALL),
+    size AS (SELECT count(DISTINCT gram) AS grams FROM g),
+    c AS (SELECT intent, count(*) AS samples, CAST(round(ln(count(*) / (SELECT count(*) FROM s)) * 1000000) AS BIGINT) AS prior FROM s GROUP BY intent),
+    t AS (SELECT c.intent, prior, coalesce(sum(n), 0) + 0.1::DOUBLE * max(grams) AS total
+      FROM c LEFT JOIN g USING (intent), size GROUP BY c.intent, prior),
+    w AS (SELECT v.gram, t.intent, coalesce(g.n, 0) AS n, CAST(round(ln((coalesce(g.n, 0) + 0.1::DOUBLE) / total) * 1000000) AS BIGINT) AS weight
+      FROM (SELECT DISTINCT gram FROM g) v CROSS JOIN t LEFT JOIN g ON g.gram = v.gram AND g.intent = t.intent)"""
+ORACLES["train_intent"] = f"WITH {INTENT_MODEL} SELECT intent, gram, n, weight FROM w WHERE n > 0"
+ORACLES["classify_intent"] = f"""WITH {INTENT_MODEL},
+    p AS (SELECT doc_id, unnest(grams) AS gram FROM {INTENT_GRAMS} (SELECT doc_id, text AS t FROM {PROMPTS})))),
+    k AS (SELECT doc_id, w.intent, sum(weight) AS score FROM p JOIN w USING (gram) GROUP BY ALL),
+    r AS (SELECT d.doc_id, t.intent, prior + coalesce(score, 0) AS score FROM {PROMPTS} d CROSS JOIN t
+      LEFT JOIN k ON k.doc_id = d.doc_id AND k.intent = t.intent),
+    b AS (SELECT doc_id, intent, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, intent) AS place FROM r)
+    SELECT doc_id, CASE WHEN o.is_code THEN 'code' ELSE b.intent END AS intent FROM b JOIN ({ORACLES['code_override']}) o USING (doc_id) WHERE place = 1"""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tokenmill.functions import fixed, scalars, text
 from tokenmill.operators import (
@@ -15,7 +17,8 @@ from tokenmill.operators import (
 from tokenmill.plans import gateway
 from tokenmill.plans.inputs import view
 from tokenmill.session import work_dir
-from tokenmill.sources import tables
+from tokenmill.sources import sinks, tables
+from tokenmill.sources.sinks import read_snapshot
 from tokenmill.streaming import logs as stream_logs
 from tokenmill.streaming import stateful
 
@@ -149,11 +152,8 @@ def guardrail_keywords(spark, d):
 
 @query
 def guardrail_keywords_many(spark, d):
-    """A long phrase list: the first three and the first eight words of every benchmark text and brand."""
-    some = view(spark, d, "benchmark")
-    words = some.select(F.substring_index("text", " ", 3).alias("keyword")).union(
-        some.select(F.substring_index("text", " ", 8)).union(view(spark, d, "part").select(F.col("p_name")))
-    )
+    """A long phrase list: every benchmark text and every part's name, whole."""
+    words = view(spark, d, "benchmark").select(F.col("text").alias("keyword")).union(view(spark, d, "part").select("p_name"))
     return guardrail.guardrail_keywords(view(spark, d, "prompts"), words).select("doc_id", "blocked", "phrase")
 
 
@@ -494,8 +494,7 @@ def greedy_ttl(spark, d):
 
 @query
 def fifo_batches(spark, d):
-    events = view(spark, d, "events").withColumn("queue", F.lit("logs"))
-    ranked = ordered.rank_in_key(events, ["queue"], ordered.time_slice(F.col("ts"), 3600), ["ts", "event_id"], "nth")
+    ranked = ordered.number_rows(view(spark, d, "events").select("event_id", "ts"), ["ts", "event_id"], "nth")
     batch = F.floor((F.col("nth") - 1) / fixed.QUEUE_BATCH).cast("bigint")
     return ranked.select("event_id", batch.alias("batch"))
 
@@ -528,7 +527,7 @@ def price_upsert(spark, d):
 @query
 def keyword_set(spark, d):
     current = view(spark, d, "part").select(F.col("p_name").alias("keyword"))
-    added = view(spark, d, "benchmark").select(F.concat(F.lit("  "), F.substring_index("text", " ", 2)).alias("keyword"))
+    added = view(spark, d, "benchmark").select(F.concat(F.lit("  "), "text").alias("keyword"))
     removed = view(spark, d, "part").where("p_size = 7").select(F.concat("p_name", F.lit(" ")).alias("keyword"))
     return guardrail.keyword_set(current, added, removed)
 
@@ -649,10 +648,17 @@ def threshold_band(spark, d):
 # -------------------------------------------------------------------------------------- whole plans
 @query
 def classify_intent(spark, d):
-    model = intent.train_intent(intent.starter_samples(spark))
+    model = intent.train_intent(view(spark, d, "intent_samples"))
     return intent.classify_intent(view(spark, d, "prompts"), model).select("doc_id", "intent")
 
 
+@query
+def train_intent(spark, d):
+    """The trained model as a table: from the file where it has rows, else from the table."""
+    none = view(spark, d, "intent_samples").limit(0)
+    return intent.retrain(none, view(spark, d, "intent_samples")).table()
+
+
 @query
 def gateway_replay(spark, d):
     words = view(spark, d, "nation").select(F.regexp_replace(F.lower("n_name"), "nation_", "th").alias("keyword"))
@@ -678,29 +684,81 @@ def drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path).select(*stream.columns)
 
 
+def thirds(ts: str, df: DataFrame) -> Column:
+    """In which third of the table's time span a row lies."""
+    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    low, high = (x or 0 for x in df.agg(F.min(t), F.max(t)).first())
+    return F.least(F.floor((t - F.lit(low)) / F.lit((high - low) // 3 + 1)), F.lit(2))
+
+
+def replayed(
+    spark: SparkSession, df: DataFrame, batch: Column, start: Callable[[DataFrame, str, str], StreamingQuery], name: str
+) -> str:
+    """Feed a stream in three batches, the rows with ``batch`` 0, 1 and 2: ``start(stream, out, checkpoint)``. Returns ``out``."""
+    path, out, at = (work_dir(spark, f"{name}-{n}") for n in ("in", "out", "at"))
+    for i in range(3):
+        df.where(batch == i).write.mode("append").parquet(path)
+        start(spark.readStream.schema(df.schema).parquet(path), out, at).awaitTermination()
+    return out
+
+
+def keyed(make: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, str, str], StreamingQuery]:
+    """Start a stream of rows that are appended, batch by batch."""
+    return lambda stream, out, at: stream_logs.append_alerts(make(stream), out, at, drain=True)
+
+
 @query
 def stream_log_ingest(spark, d):
+    """The ingested log table, read back: requests and tokens per model, what its numbers are, and the dead letters."""
     line = F.to_json(F.struct(
         "api_key_id", "user_id", "intent", "model", "prompt_tokens",
         F.when(F.col("id") % 7 != 3, F.col("completion_tokens")).alias("completion_tokens"), "latency_ms"))
-    queue, table, dead = (work_dir(spark, n) for n in ("queue", "ingested", "dead"))
-    view(spark, d, "token_logs").select(line.alias("value")).write.text(queue)
-    stream_logs.log_ingest_stream(
-        stream_logs.read_log_queue_stream(spark, queue), table, dead, work_dir(spark, "ingest-state"), drain=True
-    ).awaitTermination()
-    good = spark.read.parquet(table).groupBy("model").agg(
-        F.count("*").alias("entries"), F.sum("total_tokens").alias("tokens"))
+    lines = view(spark, d, "token_logs").select(line.alias("value"), F.col("created_at").cast("timestamp").alias("queued_at"))
+    dead = work_dir(spark, "dead")
+    start = lambda stream, out, at: stream_logs.log_ingest_stream(stream, out, dead, at, drain=True)
+    logs = tables.read_token_logs(spark, replayed(spark, lines, thirds("queued_at", lines), start, "ingest"))
+    good = metrics.by_model(logs).select("model", F.col("count").alias("entries"), "tokens")
+    numbers = logs.agg(F.lit("numbers").alias("model"), F.countDistinct("id").alias("entries"), F.max("id").alias("tokens"))
     lost = spark.read.schema("value string").parquet(dead).agg(
         F.lit("dead letters").alias("model"), F.count("*").alias("entries"), F.lit(0).cast("bigint").alias("tokens"))
-    return good.unionByName(lost)
+    return good.unionByName(numbers).unionByName(lost)
+
+
+@query
+def stream_ingested_days(spark, d):
+    """Dashboard figures by day over the ingested table: its rows have the time when they were queued."""
+    line = F.to_json(F.struct("api_key_id", "user_id", "intent", "model", "prompt_tokens", "completion_tokens", "latency_ms"))
+    lines = view(spark, d, "token_logs").select(line.alias("value"), F.col("created_at").cast("timestamp").alias("queued_at"))
+    start = lambda stream, out, at: stream_logs.log_ingest_stream(stream, out, work_dir(spark, "dead"), at, drain=True)
+    logs = tables.read_token_logs(spark, replayed(spark, lines, thirds("queued_at", lines), start, "ingest"))
+    return logs.groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day"), "intent").agg(
+        F.count("*").alias("requests"), F.sum("latency_ms").alias("latency_ms"))
 
 
 @query
 def stream_live_dashboard(spark, d):
-    logs = as_stream(spark, token_logs(spark, d), "logs")
-    snapshot = work_dir(spark, "snapshot")
-    stream_logs.live_dashboard(logs, snapshot, work_dir(spark, "dashboard-state"), drain=True).awaitTermination()
-    return stream_logs.dashboard_by_model(spark.read.parquet(snapshot))
+    logs = token_logs(spark, d)
+    start = lambda stream, out, at: stream_logs.live_dashboard(stream, out, at, drain=True)
+    path = replayed(spark, logs, thirds("created_at", logs), start, "dashboard")
+    return stream_logs.dashboard_by_model(stream_logs.read_dashboard(spark, path))
+
+
+@query
+def stream_dashboard_summary(spark, d):
+    logs = token_logs(spark, d)
+    start = lambda stream, out, at: stream_logs.live_dashboard(stream, out, at, drain=True)
+    path = replayed(spark, logs, thirds("created_at", logs), start, "dashboard")
+    out = stream_logs.snapshot_summary(stream_logs.read_dashboard(spark, path))
+    return out.withColumn("total_cost_usd", real("total_cost_usd"))
+
+
+@query
+def stream_newest_logs(spark, d):
+    logs = token_logs(spark, d).select(*metrics.RECENT_COLUMNS)
+    start = lambda stream, out, at: stream_logs.newest_logs(stream, out, at, drain=True)
+    path = replayed(spark, logs, thirds("created_at", logs), start, "newest")
+    out = read_snapshot(spark, path, logs.schema)
+    return out.withColumn("cost_usd", real("cost_usd")).withColumn("created_at", stamp("created_at"))
 
 
 @query
@@ -721,36 +779,174 @@ def stream_rate_limit(spark, d):
         "api_key_id", "day", "requests", "refused")
 
 
-def replayed(spark: SparkSession, df: DataFrame, ts: str, step, state_schema: str, name: str) -> DataFrame:
-    """Run a step with a state table over a growing folder: three batches, each a third of the time span."""
-    path, out, state, at = (work_dir(spark, f"{name}-{n}") for n in ("in", "out", "state", "at"))
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    low, high = (x or 0 for x in df.agg(F.min(micros), F.max(micros)).first())
-    third = F.floor((micros - F.lit(low)) / F.lit((high - low) // 3 + 1))
-    for i in range(3):
-        df.where(third == i).write.mode("append").parquet(path)
-        stream = spark.readStream.schema(df.schema).parquet(path)
-        stateful.run_with_state(stream, step, state_schema, out, state, at, drain=True).awaitTermination()
-    return spark.read.parquet(out).drop("batch")
+def arrival(df: DataFrame) -> Column:
+    """The third of the time span, but one request in ten comes a third later than it should."""
+    return F.least(thirds("ts", df) + F.when(F.col("request_id") % 10 == 0, 1).otherwise(0), F.lit(2))
+
+
+@query
+def stream_rate_flags(spark, d):
+    """A flag for each request, late ones among them."""
+    requests = view(spark, d, "requests").select("request_id", "api_key_id", "ts")
+    make = keyed(lambda stream: stateful.rate_flags_stream(stream, "api_key_id", limit=2, width=86_400, keep=31 * 86_400))
+    out = spark.read.parquet(replayed(spark, requests, arrival(requests), make, "flags"))
+    return out.select("request_id", "nth", "limited")
 
 
 @query
 def stream_alert_silence(spark, d):
     events = view(spark, d, "events").select("event_id", "user_id", "ts")
-    step = stateful.alert_suppress_step("user_id", "ts", "event_id", 86_400)
-    return replayed(spark, events, "ts", step, stateful.ALERT_STATE, "alerts").select(
-        F.col("key").alias("user_id"), F.col("id").alias("event_id"))
+    make = keyed(lambda stream: stateful.alert_silence_stream(stream, "user_id", "ts", "event_id", 86_400))
+    out = spark.read.parquet(replayed(spark, events, thirds("ts", events), make, "alerts"))
+    return out.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"))
 
 
 @query
 def stream_budget(spark, d):
-    step = stateful.budget_step(api_keys(spark, d))
-    out = replayed(spark, charges(spark, d), "ts", step, stateful.BUDGET_STATE, "budget")
+    costs, keys = charges(spark, d), api_keys(spark, d)
+    make = keyed(lambda stream: stateful.budget_stream(stream, keys))
+    out = spark.read.parquet(replayed(spark, costs, thirds("ts", costs), make, "budget"))
     return out.select("request_id", F.round(real("balance_before"), 9).alias("balance_before"), "refused", "alert")
 
 
+def code_or_general(prompt: str) -> str:
+    """The keyword rule for one cleaned prompt."""
+    words = re.findall("[a-z0-9]+", prompt)
+    coded = any(w in fixed.CODE_WORDS or any(s in w for s in fixed.CODE_STEMS) for w in words)
+    return "code" if coded else "general"
+
+
+@query
+def stream_memo_labels(spark, d):
+    """Short prompts, many of them equal: each is labelled once an hour, its copies get the same label."""
+    prompts = view(spark, d, "short_prompts")
+    make = keyed(lambda stream: stateful.memo_label_stream(stream, code_or_general))
+    out = spark.read.parquet(replayed(spark, prompts, thirds("ts", prompts), make, "memo"))
+    return out.select("request_id", "intent", "remembered")
+
+
+@query
+def stream_config(spark, d):
+    """Requests with the settings of their key as of their time; the settings change once, and some requests come late."""
+    requests = view(spark, d, "requests").select("request_id", "key_number", "ts")
+    changes_ = view(spark, d, "key_settings")
+    apply = lambda batch, config: stream_logs.config_as_of(batch, config, "key_number")
+    start = lambda stream, out, at: stream_logs.config_stream_join(
+        stream, lambda session: changes_, apply, out, at, drain=True)
+    out = spark.read.parquet(replayed(spark, requests, arrival(requests), start, "config"))
+    return out.select("request_id", "config.model", "config.max_tokens")
+
+
 @query
 def stream_fold_live(spark, d):
     events = tables.parse_sse_lines(provider_lines(view(spark, d, "conversations"))).withColumn(
         "ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("msg_id")))
     return drained(spark, stateful.stream_fold_stateful(as_stream(spark, events, "provider")), "fold")
+
+# ------------------------------------------------------------------- snapshots, generations, readers
+ENTRIES = "cache_key string, saved_at bigint, expires_at bigint, request_id bigint"
+
+
+@query
+def cache_generations(spark, d):
+    """Three generations of entries, the first two compacted halfway, as they stand at the end."""
+    requests = view(spark, d, "requests")
+    saved = F.unix_seconds(F.col("ts").cast("timestamp"))
+    entries = requests.select(
+        F.sha2(F.col("doc_id").cast("string"), 256).alias("cache_key"), saved.alias("saved_at"),
+        (saved + scalars.ttl_seconds(F.col("logged_intent"))).alias("expires_at"), "request_id", thirds("ts", requests).alias("third"))
+    path, last = work_dir(spark, "entries"), 0
+    for i in range(3):
+        mine = entries.where(F.col("third") == i).drop("third")
+        sinks.write_generation(mine, path, i)
+        last = mine.agg(F.max("saved_at")).first()[0] or last
+        if i == 1:
+            sinks.compact_generations(spark, path, ENTRIES, last)
+    return sinks.read_generations(spark, path, ENTRIES, last).select("cache_key", "saved_at", "request_id")
+
+
+@query
+def price_snapshot(spark, d):
+    """The served prices after two snapshots, and an empty table that leaves them in place."""
+    base, feed = view(spark, d, "price_base"), pricing.alias_expand(view(spark, d, "price_feed"))
+    path = work_dir(spark, "prices")
+    for prices in (base, pricing.price_upsert(base, view(spark, d, "price_feed")), feed.limit(0)):
+        sinks.overwrite_price_snapshot(prices, path)
+    served = sinks.read_price_snapshot(spark, path)
+    return served.select("model_name", "provider", real("input").alias("input_price"), real("output").alias("output_price"))
+
+
+@query
+def price_feed_files(spark, d):
+    """Prices read from catalogue documents, in several files: a later document comes after all of an earlier one."""
+    feed, path = view(spark, d, "price_feed"), work_dir(spark, "catalogue")
+    item = F.struct(F.col("model_name").alias("id"), F.struct(
+        F.col("input_price").cast("string").alias("prompt"), F.col("output_price").cast("string").alias("completion")).alias("pricing"))
+    document = F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("seq", item.alias("m")))), lambda x: x.m).alias("data")))
+    documents = feed.groupBy(F.floor(F.col("seq") / 500).alias("file")).agg(document.alias("value"))
+    documents.select(F.format_string("%08d", "file").alias("file"), "value").repartition("file").write.partitionBy("file").text(path)
+    newest = tables.read_price_feed(spark, path).groupBy("model_name").agg(F.max_by(F.struct("input_price", "output_price"), "seq").alias("p"))
+    return newest.select("model_name", real("p.input_price").alias("input_price"), real("p.output_price").alias("output_price"))
+
+
+@query
+def table_readers(spark, d):
+    """The durable tables, written and read again through their readers."""
+    logs, keys, rules = (work_dir(spark, n) for n in ("logs", "keys", "rules"))
+    sinks.write_token_logs(token_logs(spark, d), logs)
+    view(spark, d, "api_keys").select(*[F.col(f.name).cast(f.dataType) for f in tables.API_KEYS]).write.parquet(keys)
+    view(spark, d, "rule_table").select(*[
+        F.col(f.name).cast(f.dataType) if f.name in view(spark, d, "rule_table").columns else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in tables.ROUTING_RULES]).write.parquet(rules)
+    row = lambda name, df, total: df.agg(F.lit(name).alias("name"), F.count("*").alias("n"), total.cast("bigint").alias("total"))
+    return (
+        row("logs", tables.read_token_logs(spark, logs), F.sum("total_tokens"))
+        .unionByName(row("keys", tables.read_api_keys(spark, keys), F.sum(F.coalesce(F.size("allowed_rules"), F.lit(0)))))
+        .unionByName(row("rules", tables.read_routing_rules(spark, rules), F.sum("weight")))
+    )
+
+
+@query
+def local_model_sizes(spark, d):
+    """Models as large as the lines of their part, in layers of some megabytes."""
+    layers = view(spark, d, "lineitem").groupBy("l_partkey").agg(
+        F.collect_list(F.struct((F.col("l_quantity").cast("bigint") * 25_000_000).alias("size"))).alias("layers"))
+    manifests = view(spark, d, "part").join(layers, F.col("p_partkey") == F.col("l_partkey")).select(
+        F.col("p_partkey").cast("string").alias("name"), "layers")
+    return metrics.local_model_sizes(manifests).select("name", "size_gb", "size", "over_limit")
+
+
+@query
+def installed_models(spark, d):
+    installed = view(spark, d, "local_models").where("name LIKE '%:%'").select("name")
+    plain = view(spark, d, "local_models").select(F.regexp_replace("name", ":.*", "").alias("name"))
+    return metrics.installed_models(plain.unionByName(view(spark, d, "local_models").select("name")),
+                                    installed.unionByName(plain.select(F.concat("name", F.lit(":latest")).alias("name")).where("length(name) % 2 = 0")))
+
+
+@query
+def cached_answers(spark, d):
+    """What a cached answer says: a document's first choice, or the text itself where it is no answer document."""
+    out = view(spark, d, "outcomes")
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(F.lit("assistant").alias("role"), F.col("answer").alias("content")).alias("message"))).alias("choices")))
+    response = F.when(F.col("request_id") % 3 == 0, F.col("answer")).when(F.col("request_id") % 3 == 1, body).otherwise(F.to_json(F.struct("answer")))
+    said = tables.parse_answer(response)["choices"][0]["message"]
+    return out.select("request_id", said["role"].alias("role"), said["content"].alias("content"))
+
+
+@query
+def cache_clear(spark, d):
+    """How many entries a full clear takes away, by kind."""
+    hits = similarity.cache_latest(view(spark, d, "requests").select(
+        F.sha2(F.col("doc_id").cast("string"), 256).alias("cache_key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("saved_at"), "request_id"))
+    memo = view(spark, d, "short_prompts").select(text.prompt_key(text.normalise_prompt(F.col("text"))).alias("cache_key"))
+    return metrics.cache_clear_count({"exact": hits, "semantic": view(spark, d, "cache_entries"), "intent": memo.distinct()})
+
+
+@query
+def chat_defaults(spark, d):
+    """What a provider is asked for: the given limit of tokens, or the default."""
+    turns = view(spark, d, "chat_turns")
+    asked = turns.select("conv_id", F.when(F.col("conv_id") % 3 != 0, F.col("conv_id") % 900 + 1).cast("int").alias("max_tokens")).distinct()
+    merged = conversations.merge_roles(turns, limits=asked)
+    return merged.groupBy("conv_id").agg(F.count("*").alias("messages"), F.max("max_tokens").alias("max_tokens"))

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tokenmill.functions import fixed
 from tokenmill.functions.text import WS, strip
+from tokenmill.operators.ordered import number_rows
 
 TOKEN_LOGS = T.StructType([
     T.StructField("id", T.LongType()),
@@ -108,16 +109,20 @@ def read_routing_rules(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_price_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (seq, model_name, input_price, output_price) of catalogue documents, one per file or line.
+    """Rows (seq, model_name, input_price, output_price) of catalogue documents, one per file.
 
-    ``seq`` follows the order in the document. Entries without id or pricing are left out.
+    ``seq`` follows the order in a document, and documents follow each other by their paths, so the last
+    price of a model is that of the last document that has it. Entries without id or pricing are left out.
     """
-    docs = spark.read.schema(PRICE_FEED).option("multiLine", True).json(path)
+    read = spark.read.schema(PRICE_FEED).option("multiLine", True).json(path).select("data", F.col("_metadata.file_path").alias("_file"))
+    # one small row per file is numbered
+    files = number_rows(read.select("_file").distinct(), ["_file"], "_document", 0)
+    docs = read.join(files, "_file")
     price = lambda c: F.coalesce(F.expr(f"try_cast(m.pricing.{c} AS decimal(18,12))"), F.lit(0)).cast("decimal(18,12)")
     return (
-        docs.select(F.posexplode("data").alias("seq", "m"))
+        docs.select("_document", F.posexplode("data").alias("seq", "m"))
         .where("m.id IS NOT NULL AND m.id <> '' AND m.pricing IS NOT NULL")
-        .select(F.col("seq").cast("bigint").alias("seq"), F.col("m.id").alias("model_name"),
+        .select((F.shiftleft("_document", 32) + F.col("seq")).alias("seq"), F.col("m.id").alias("model_name"),
                 price("prompt").alias("input_price"), price("completion").alias("output_price"))
     )
 

@@ -1,124 +1,184 @@
-"""Operators with state of their own: alert silence, running budgets, provider event streams.
+"""Streams with a state for each key: rate flags, alert silence, running budgets, remembered labels, provider events.
 
-A key may bring a third of a batch, so keyed state that takes a key's rows in one task would not do
-for alerts and budgets. They run the batch kernels on every micro-batch instead, and keep a state
-table with a row per key: each batch reads the snapshot of the batch before and writes its own. A
-batch that runs again reads and replaces the same folders. Provider messages are short, they use
-keyed state with an event-time limit.
+All of them use Spark's keyed state, so a micro-batch reads and writes the state of its own keys alone. A task
+gets a key's rows of one micro-batch and keeps a few numbers of each; the source's limit of files or
+entries for a micro-batch bounds them. Nothing is dropped for being late: rows are taken as they
+arrive, and inside a micro-batch by time and number.
 """
 
 from __future__ import annotations
 
+import json
+import sys
 from collections.abc import Callable, Iterator
+from decimal import Decimal
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tokenmill.functions import fixed
 from tokenmill.functions.scalars import finish_reason
-from tokenmill.functions.text import token_estimate
-from tokenmill.operators.meter import is_low, running_budget, spend
-from tokenmill.operators.ordered import greedy_ttl, micros
-from tokenmill.session import stage
-from tokenmill.sources.sinks import append_batch
-
-
-def run_with_state(
-    stream: DataFrame, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], state_schema: str,
-    out: str, state: str, checkpoint: str, drain: bool = False,
-) -> StreamingQuery:
-    """``step(batch, state) -> (rows, new state)`` for every micro-batch; rows go to ``out``."""
-    spark = stream.sparkSession
-    spark.createDataFrame([], state_schema).write.mode("ignore").parquet(f"{state}/batch=-1")
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        held = session.read.schema(f"{state_schema}, batch bigint").parquet(state)
-        # folders only, one number comes back
-        before = held.where(F.col("batch") < batch_id).agg(F.max("batch")).first()[0]
-        snapshot = session.read.schema(state_schema).parquet(f"{state}/batch={-1 if before is None else before}")
-        rows, after = step(batch.persist(), snapshot)
-        append_batch(rows, batch_id, out)
-        append_batch(after, batch_id, state)
-        batch.unpersist()
-
-    trigger = {"availableNow": True} if drain else {"processingTime": "5 seconds"}
-    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger).start()
-
-
-def _fire(rows: DataFrame, state: DataFrame, silence: int) -> DataFrame:
-    """(key, t, id) of rows that fire, given the last fired time per key in ``state``.
-
-    Rows before the end of the carried silence stay silent, also those that are older than the row
-    that fired and arrive late.
-    """
-    carried = state.groupBy("key").agg(F.max("last_fired").alias("last_fired")).where("last_fired IS NOT NULL")
-    due = F.coalesce(micros(F.col("ts")) >= F.col("last_fired") + silence * 1_000_000, F.lit(True))
-    awake = rows.select("key", "ts", "id").join(carried, "key", "left").where(due).drop("last_fired")
-    return greedy_ttl(awake, ["key"], "ts", "id", F.lit(silence)).select("key", micros(F.col("ts")).alias("t"), "id")
+from tokenmill.functions.text import normalise_prompt, prompt_key, token_estimate
+from tokenmill.operators.meter import spend
+from tokenmill.operators.ordered import micros
+
+# the state functions travel to the workers themselves, so the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+KEEP_SECONDS = 3600  # rate windows of a key that are kept behind its newest request
+
 
+def _in_order(batches: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
+    """A key's rows of the micro-batch by time and number."""
+    rows = pd.concat([b[columns] for b in batches], ignore_index=True)
+    return rows.sort_values(["t", "id"], kind="stable", ignore_index=True)
 
-ALERT_STATE = "key string, last_fired bigint"
 
+def _fires(t: np.ndarray, silence: int, last: int | None) -> tuple[list[int], int | None]:
+    """Places of the rows that fire, of ascending times, and the last time that did. Rows before the end of a silence that
+    has begun are silent, also late ones."""
+    fired, at = [], 0 if last is None else int(np.searchsorted(t, last + silence))
+    while at < len(t):
+        fired.append(at)
+        last = int(t[at])
+        at = int(np.searchsorted(t, last + silence))
+    return fired, last
 
-def alert_suppress_step(
-    key: str, ts: str = "ts", row_id: str = "id", silence: int = fixed.ALERT_SILENCE_SECONDS
-) -> Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
-    """Events that fire: none for ``silence`` seconds after one of the same key fired."""
-    def step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-        rows = batch.select(
-            F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"),
-            F.col(row_id).cast("bigint").alias("id"),
-        )
-        fired = stage(_fire(rows, state, silence), "fired")
-        newest = state.unionByName(fired.select("key", F.col("t").alias("last_fired")))
-        return fired, newest.groupBy("key").agg(F.max("last_fired").alias("last_fired"))
 
-    return step
+def rate_flags_stream(
+    requests: DataFrame, key: str, ts: str = "ts", row_id: str = "request_id", limit: int = fixed.RATE_LIMIT,
+    width: int = fixed.RATE_WINDOW_SECONDS, keep: int = KEEP_SECONDS,
+) -> DataFrame:
+    """(key, row_id, nth, limited) for every request: its number in the key's clock window, and whether that is over the limit.
+
+    A late request is counted in its own window, behind those that came before it. The state of a key has its
+    windows of the last ``keep`` seconds before its newest request; a request that is later still opens its window anew.
+    """
+    wide = width * 1_000_000
 
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        counts = {int(w): n for w, n in json.loads(state.get[0]).items()} if state.exists else {}
+        rows = _in_order(batches, ["t", "id"])
+        window = (rows["t"] // wide).to_numpy()
+        nth = rows.groupby(window).cumcount().to_numpy() + 1 + np.array([counts.get(w, 0) for w in window.tolist()], dtype=np.int64)
+        for w, n in zip(*np.unique(window, return_counts=True)):
+            counts[int(w)] = counts.get(int(w), 0) + int(n)
+        oldest = max(counts) - keep // width
+        state.update((json.dumps({w: n for w, n in counts.items() if w >= oldest}),))
+        yield pd.DataFrame({"key": k[0], "id": rows["id"], "nth": nth, "limited": nth > limit})
+
+    rows = requests.select(F.col(key).cast("string").alias("key"), micros(F.col(ts)).alias("t"), F.col(row_id).cast("bigint").alias("id"))
+    flags = rows.groupBy("key").applyInPandasWithState(
+        run, "key string, id bigint, nth bigint, limited boolean", "counts string", "append", GroupStateTimeout.NoTimeout)
+    return flags.select(F.col("key").alias(key), F.col("id").alias(row_id), "nth", "limited")
+
+
+def alert_silence_stream(
+    events: DataFrame, key: str, ts: str = "ts", row_id: str = "id", silence: int = fixed.ALERT_SILENCE_SECONDS
+) -> DataFrame:
+    """(key, t, id) of events that fire: none for ``silence`` seconds after one of the same key fired. The state is a number a key."""
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = _in_order(batches, ["t", "id"])
+        fired, last = _fires(rows["t"].to_numpy(), silence * 1_000_000, state.get[0] if state.exists else None)
+        if fired:
+            state.update((last,))
+        yield pd.DataFrame({"key": k[0], "t": rows["t"].iloc[fired], "id": rows["id"].iloc[fired]})
 
-BUDGET_STATE = "key string, month string, spent decimal(38,12), last_fired bigint"
+    rows = events.select(F.col(key).cast("string").alias("key"), micros(F.col(ts)).alias("t"), F.col(row_id).cast("bigint").alias("id"))
+    return rows.groupBy("key").applyInPandasWithState(run, "key string, t bigint, id bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def budget_step(
-    keys: DataFrame, ts: str = "ts", row_id: str = "request_id", cost: str = "cost_usd",
-    silence: int = fixed.ALERT_SILENCE_SECONDS, tz: str = "UTC",
-) -> Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
+def budget_stream(
+    charges: DataFrame, keys: DataFrame, ts: str = "ts", row_id: str = "request_id", cost: str = "cost_usd",
+    silence: int = fixed.ALERT_SILENCE_SECONDS, tz: str = "UTC", share: float = fixed.LOW_BUDGET_SHARE,
+) -> DataFrame:
     """Balance before and after each charge, refusals, and low-budget alerts with their silence.
 
-    What earlier batches spent opens the batch's balances: for monthly keys by month, so that each
-    month starts anew. Charges of unknown keys come out with a balance of zero, as in batch.
+    The state of a key has what it spent, in trillionths, and when its last alert fired; for monthly keys what it
+    spent by month, so that each month starts anew and a late charge meets its own month. Charges of unknown
+    keys come out as refused, with a balance of zero, as in batch.
+    """
+    one, part = 10**12, Decimal(str(share))
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        text, last = state.get if state.exists else ("{}", None)
+        spent = json.loads(text)
+        rows = _in_order(batches, ["t", "id", "month", "spend", "total"])
+        before = np.empty(len(rows), object)
+        for month, places in rows.groupby("month").indices.items():
+            sums = list(accumulate(rows["spend"].to_numpy()[places].tolist(), initial=spent.get(month, 0)))
+            before[places] = sums[:-1]
+            spent[month] = sums[-1]
+        total = rows["total"].iloc[0]
+        budget = int(total) * 10**8 if total == total and total is not None else None
+        left = [max(budget - b, 0) if budget is not None else 0 for b in before]
+        after = [max(budget - b - s, 0) if budget is not None else 0 for b, s in zip(before, rows["spend"].tolist())]
+        low = [budget is not None and budget > 0 and s > 0 and a < budget * part for a, s in zip(after, rows["spend"].tolist())]
+        at = np.flatnonzero(low)
+        fired, last = _fires(rows["t"].to_numpy()[at], silence * 1_000_000, last)
+        alert = np.zeros(len(rows), bool)
+        alert[at[fired]] = True
+        state.update((json.dumps(spent), last))
+        yield pd.DataFrame({
+            "api_key_id": k[0], "request_id": rows["id"], "balance_before": [Decimal(x).scaleb(-12) for x in left],
+            "balance_after": [Decimal(x).scaleb(-12) for x in after], "refused": [x <= 0 for x in left], "alert": alert,
+        })
+
+    named = keys.select(F.col("id").cast("string").alias("key"), (F.col("total_budget") * 10_000).cast("bigint").alias("total"), "budget_type")
+    local = F.from_utc_timestamp(F.col(ts).cast("timestamp"), tz)
+    rows = charges.select(
+        F.col("api_key_id").alias("key"), micros(F.col(ts)).alias("t"), F.col(row_id).cast("bigint").alias("id"),
+        F.date_format(local, "yyyy-MM").alias("in_month"), (spend(F.col(cost), "exact") * F.lit(one)).cast("bigint").alias("spend"),
+    ).join(named, "key", "left")
+    month = F.when(F.col("budget_type") == "monthly", F.col("in_month")).otherwise("")
+    schema = "api_key_id string, request_id bigint, balance_before decimal(38,12), balance_after decimal(38,12), refused boolean, alert boolean"
+    return rows.select("key", "t", "id", month.alias("month"), "spend", "total").groupBy("key").applyInPandasWithState(
+        run, schema, "spent string, last bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def memo_label_stream(
+    requests: DataFrame, label: Callable[[str], str], text: str = "text", ts: str = "ts", row_id: str = "request_id",
+    ttl: int = fixed.MEMO_SECONDS, keep: int | None = None,
+) -> DataFrame:
+    """(row_id, intent, remembered): each text is labelled once, and its copies get that label for ``ttl`` seconds.
+
+    Texts are equal when they are equal after ``normalise_prompt``. ``label`` runs in the executors, once for each text
+    and ttl; load a model lazily in there. A label serves for ``ttl`` seconds of event time from the request that asked for it;
+    serving does not prolong it, and a late request is served too. With ``keep``, the state of a text that no request asks for
+    is forgotten after that many milliseconds of the clock; that needs a stream that runs on, as Spark never ends
+    a drained one while it waits for such a time. Only the first row of a text is kept in a task.
     """
-    def step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-        rows = batch.select(
-            F.col("api_key_id").alias("key"), F.col(ts).cast("timestamp").alias("ts"),
-            F.col(row_id).cast("bigint").alias("id"), F.col(cost).alias("cost"),
-        )
-        opening = state.where("spent <> 0").select("key", F.col("month").alias("budget_month"), "spent")
-        replayed = running_budget(
-            rows, keys, monthly=True, tz=tz, key="key", ts="ts", row_id="id", cost="cost", opening=opening
-        )
-        balances = stage(replayed, "balances")
-        low = balances.where((F.col("cost") > 0) & is_low(F.col("balance_after"), F.col("total_budget")))
-        fired = stage(_fire(low, state, silence), "fired")
-        flagged = balances.join(fired.select("key", "id", F.lit(True).alias("alert")), ["key", "id"], "left")
-        result = flagged.select(
-            F.col("key").alias("api_key_id"), F.col("id").alias("request_id"), "balance_before", "balance_after", "refused",
-            F.coalesce("alert", F.lit(False)).alias("alert"),
-        )
-        sums = balances.select("key", F.col("budget_month").alias("month"), spend(F.col("cost"), "exact").alias("spent"),
-                               F.lit(None).cast("bigint").alias("last_fired"))
-        alerts = fired.select("key", F.lit("").alias("month"), F.lit(0).cast("decimal(38,12)").alias("spent"),
-                              F.col("t").alias("last_fired"))
-        after = state.unionByName(sums).unionByName(alerts).groupBy("key", "month").agg(
-            F.sum("spent").cast("decimal(38,12)").alias("spent"), F.max("last_fired").alias("last_fired")
-        )
-        return result, after
-
-    return step
+    def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        intent, last = state.get if state.exists else (None, None)
+        first, parts = None, []
+        for b in batches:
+            if first is None and len(b):
+                first = b["text"].iloc[0]
+            parts.append(b[["t", "id"]])
+        rows = _in_order(iter(parts), ["t", "id"])
+        fired, last = _fires(rows["t"].to_numpy(), ttl * 1_000_000, last)
+        asked = np.zeros(len(rows), bool)
+        asked[fired] = True
+        if fired:
+            intent = label(first)
+            state.update((intent, last))
+        if keep is not None:
+            state.setTimeoutDuration(keep)
+        yield pd.DataFrame({"id": rows["id"], "intent": intent, "remembered": ~asked})
+
+    clean = normalise_prompt(F.coalesce(F.col(text), F.lit("")))
+    rows = requests.select(prompt_key(clean).alias("key"), micros(F.col(ts)).alias("t"), F.col(row_id).cast("bigint").alias("id"), clean.alias("text"))
+    out = rows.groupBy("key").applyInPandasWithState(
+        run, "id bigint, intent string, remembered boolean", "intent string, last bigint", "append",
+        GroupStateTimeout.NoTimeout if keep is None else GroupStateTimeout.ProcessingTimeTimeout)
+    return out.select(F.col("id").alias(row_id), "intent", "remembered")
 
 
 def stream_fold_stateful(events: DataFrame, ts: str = "ts", patience_ms: int = 600_000, lateness: str = "1 minute") -> DataFrame:
