@@ -1,10 +1,10 @@
 """How the sources of each language differ in their terms, by chunk factorization.
 
-A chunk is what stands between whitespace. The documents of a block are read once, and each distinct chunk of the
-block becomes one row with the documents that have it and how often. Each chunk that is distinct in the whole corpus
-is cut into terms once, and its terms are joined back to these rows. Rows of one term are then merged block by block:
-the same document under two chunks counts once. So nothing larger than a row per block, chunk and term is shuffled,
-and a term of all documents is merged in spans of blocks before its counts meet.
+A chunk is what stands between whitespace. Chunks are counted per document; the counts of a block of documents travel
+as one row for each distinct chunk, which lists the documents. All rows of a chunk come together, so that each chunk that is
+distinct in the whole corpus is cut into terms once, and its terms are joined to these rows. Then the rows of a term
+come together: a document under two chunks of one term counts once. A chunk or term of all documents is a row per
+block or span of blocks, which a task reads one after the other.
 
 Divergences are whole numbers of billionths. The sum over all terms of a pair of sources needs only terms that both
 have and the counts of each: a term that one lacks has the same share there as any other such term.
@@ -12,6 +12,9 @@ have and the counts of each: a term that one lacks has the same share there as a
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,8 +26,10 @@ from tokenmill.llm import textbytes as tb
 from tokenmill.llm.common import stage
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-BLOCK = 8 << 20  # bytes of text in a block, about
-SPAN = 8  # partitions whose blocks are merged together
+SLICE = 2 << 20  # bytes of text that are cut into chunks at once, about
+BLOCK = 24 << 20  # bytes of text in a block, about
+ROWS = 1 << 16  # chunks of a block that are packed at once
+SPAN = 8  # partitions whose documents are merged together
 LEAST_DOCS = 3
 RANKS = 200
 BILLION = 1_000_000_000
@@ -59,68 +64,132 @@ def unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values, np.searchsorted(end, offsets)
 
 
-def _differences(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    out = np.diff(values, prepend=0)
-    out[rows[:-1]] = values[rows[:-1]]
-    return out
-
-
 def _sums(steps: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Running sums that begin anew in each row."""
     total = np.cumsum(steps)
-    before = np.concatenate([[0], total])[rows[:-1]]
-    return total - np.repeat(before, np.diff(rows))
+    return total - np.repeat(np.concatenate([[0], total])[rows[:-1]], np.diff(rows))
+
+
+def _entries(doc: np.ndarray, group: np.ndarray, n: np.ndarray, rows: np.ndarray) -> pa.Array:
+    """Lists of documents (ascending in a row), their groups and counts."""
+    steps = np.diff(doc, prepend=0)
+    steps[rows[:-1]] = doc[rows[:-1]]
+    return pack(np.stack([steps, group, n], axis=1).ravel(), 3 * rows).cast(pa.binary())
+
+
+def _changes(*columns) -> np.ndarray:
+    """Whether a row differs from the one before it, in any column."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = False
+    for c in columns:
+        differ = c[1:] != c[:-1] if isinstance(c, np.ndarray) else pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+        out[1:] |= differ
+    return out
 
 
 # --------------------------------------------------------------------------------------------- counting
 def _chunks(batches, numbers: dict):
-    """block, chunk and entries (document in its block, group, count) of each distinct chunk of a block."""
-    block = TaskContext.get().partitionId() << 24
-    for b, raw, offsets in tb.slices(batches, "text", BLOCK):
+    """chunk, place (partition) and entries of each distinct chunk of a block."""
+    place, docs = TaskContext.get().partitionId(), np.int64(0)
+    held: list[tuple] = []
+    size = 0
+
+    def block():
+        h = np.concatenate([x[0] for x in held])
+        order = np.lexsort((np.concatenate([x[1] for x in held]), h))
+        rows = np.append(np.flatnonzero(_changes(h[order])), len(h))
+        doc, group, n = (np.concatenate([x[i] for x in held])[order] for i in (1, 2, 3))
+        # each chunk's text, from the first slice that has it
+        names = pa.concat_arrays([x[5] for x in held])
+        _, first = np.unique(np.concatenate([x[4] for x in held]), return_index=True)
+        held.clear()
+        for i in range(0, len(rows) - 1, ROWS):
+            some = rows[i : i + ROWS + 1]
+            a, z = some[0], some[-1]
+            yield pa.RecordBatch.from_arrays(
+                [names.take(pa.array(first[i : i + ROWS])).cast(pa.string()), pa.array(np.full(len(some) - 1, place, np.int32)),
+                 _entries(doc[a:z].astype(np.int64), group[a:z], n[a:z], some - a)],
+                ["chunk", "place", "entries"])
+
+    for b, raw, offsets in tb.slices(batches, "text", SLICE):
         raw = tb.lower(raw)
-        group = np.array([numbers[x] for x in zip(b.column("lang").to_pylist(), b.column("source").to_pylist())], np.int64)
-        by_group = np.argsort(group, kind="stable")
-        rank = np.empty(len(group), np.int64)
-        rank[by_group] = np.arange(len(group))
+        own = np.array([numbers[x] for x in zip(b.column("lang").to_pylist(), b.column("source").to_pylist())], np.int32)
         starts, ends, first = tb.spans(raw, offsets)
         if len(starts):
             h = tb.hash_spans(raw, starts, ends)
-            doc = rank[np.repeat(np.arange(len(group)), np.diff(first))]
+            doc = np.repeat(np.arange(len(own), dtype=np.int32), np.diff(first))
             order = np.lexsort((doc, h))
             h, doc = h[order], doc[order]
-            chunk = np.concatenate([[True], h[1:] != h[:-1]])
-            entry = chunk | np.concatenate([[True], doc[1:] != doc[:-1]])
-            at = np.flatnonzero(entry)
-            count, doc = np.diff(np.append(at, len(doc))), doc[at]
-            rows = np.append(np.flatnonzero(chunk[at]), len(at))
-            values = np.stack([_differences(doc, rows), _differences(group[by_group][doc], rows), count], axis=1).ravel()
-            text = order[np.flatnonzero(chunk)]
-            size = ends[text] - starts[text]
-            to = np.concatenate([[0], np.cumsum(size)])
-            data = raw[np.repeat(starts[text] - to[:-1], size) + np.arange(to[-1])]
-            chunks = pa.LargeStringArray.from_buffers(len(text), pa.py_buffer(to.astype(np.int64)), pa.py_buffer(data))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(text), block)), chunks.cast(pa.string()), pack(values, 3 * rows).cast(pa.binary())], ["block", "chunk", "entries"])
-        block += 1
+            chunk = np.flatnonzero(_changes(h))
+            at = np.flatnonzero(_changes(h, doc))
+            text = order[chunk]
+            length = ends[text] - starts[text]
+            to = np.concatenate([[0], np.cumsum(length)])
+            data = raw[np.repeat(starts[text] - to[:-1], length) + np.arange(to[-1])]
+            names = pa.LargeStringArray.from_buffers(len(text), pa.py_buffer(to.astype(np.int64)), pa.py_buffer(data))
+            held.append((h[at], docs + doc[at], own[doc[at]], np.diff(np.append(at, len(doc))).astype(np.int32), h[chunk], names))
+        docs += b.num_rows
+        size += len(raw)
+        if size >= BLOCK and held:
+            yield from block()
+            size = 0
+    if held:
+        yield from block()
+
+
+def _terms(batches):
+    """span, term, times (how often the term is in the chunk) and entries. Rows come sorted by chunk and place; a chunk is
+    cut into terms where its first row is."""
+    cut, last, terms = re.compile(TERM), None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        chunk, place = b.column("chunk"), b.column("place").to_numpy()
+        span = place // SPAN
+        fresh, run = _changes(chunk), _changes(chunk, span)
+        values, at = unpack(b.column("entries"))
+        at = at // 3
+        row = np.repeat(np.arange(len(place)), np.diff(at))
+        doc = _sums(values[0::3], at) + ((place[row] % SPAN).astype(np.int64) << 32)
+        number = np.cumsum(run)[row]
+        order = np.lexsort((doc, number))  # blocks of one partition may come in any order
+        runs = np.flatnonzero(run)
+        rows = np.searchsorted(number[order], np.arange(1, len(runs) + 2))
+        packed = _entries(doc[order], values[1::3][order], values[2::3][order], rows)
+        found, times, source = [], [], []
+        which = np.cumsum(fresh)[runs].tolist()
+        names = chunk.filter(pa.array(fresh)).to_pylist()
+        own = []
+        for name in names:
+            if name != last:
+                last, terms = name, list(Counter(cut.findall(name)).items())
+            own.append(terms)
+        for i, k in enumerate(which):
+            for term, n in own[k - 1]:
+                found.append(term)
+                times.append(n)
+                source.append(i)
+        source = np.array(source, np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(span[runs[source]]), pa.array(found, pa.string()), pa.array(times, pa.int32()), packed.take(pa.array(source))],
+            ["span", "term", "times", "entries"])
 
 
 def _merged(rows: pa.Table) -> pa.RecordBatch:
     """group, term, n_docs and n of whole terms."""
-    span, term, block = rows.column("span").to_numpy(), rows.column("term").combine_chunks(), rows.column("block").to_numpy()
-    new = np.ones(len(span), bool)
-    new[1:] = (span[1:] != span[:-1]) | pc.not_equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False)
+    span, term = rows.column("span").to_numpy(), rows.column("term").combine_chunks()
+    new = _changes(span, term)
     values, at = unpack(rows.column("entries"))
     at = at // 3
     row = np.repeat(np.arange(len(span)), np.diff(at))
-    doc, group = _sums(values[0::3], at), _sums(values[1::3], at)
-    n = values[2::3] * rows.column("times").to_numpy()[row]
-    own = (np.cumsum(new) - 1)[row]
-    order = np.lexsort((doc, block[row], group, own))
-    own, group, doc, place, n = own[order], group[order], doc[order], block[row][order], n[order]
-    apart = lambda *c: np.concatenate([[True], np.any([x[1:] != x[:-1] for x in c], axis=0)])
-    pair = np.flatnonzero(apart(own, group))
-    docs = np.add.reduceat(apart(own, group, place, doc).astype(np.int64), pair)
+    doc, group, n = _sums(values[0::3], at), values[1::3], values[2::3] * rows.column("times").to_numpy()[row]
+    own = np.cumsum(new)[row]
+    order = np.lexsort((doc, group, own))
+    own, group, doc, n = own[order], group[order], doc[order], n[order]
+    pair = np.flatnonzero(_changes(own, group))
+    docs = np.add.reduceat(_changes(own, group, doc).astype(np.int64), pair)
     return pa.RecordBatch.from_arrays(
-        [pa.array(group[pair]), term.take(pa.array(np.flatnonzero(new)[own[pair]])), pa.array(docs), pa.array(np.add.reduceat(n, pair))],
+        [pa.array(group[pair].astype(np.int32)), term.take(pa.array(np.flatnonzero(new)[own[pair] - 1])), pa.array(docs), pa.array(np.add.reduceat(n, pair))],
         ["group", "term", "n_docs", "n"])
 
 
@@ -133,15 +202,13 @@ def _merge(batches):
         span, term = b.column("span"), b.column("term")
         other = pc.or_(pc.not_equal(span, span[-1]), pc.not_equal(term, term[-1])).to_numpy(zero_copy_only=False)
         end = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
-        if waiting and (end or waiting[-1].column("term")[-1] != term[0] or waiting[-1].column("span")[-1] != span[0]):
-            # all that waits and the finished part of this batch are whole terms
-            yield _merged(pa.Table.from_batches([*waiting, b.slice(0, end)]))
-            waiting = [b.slice(end)]
-        elif end:
-            yield _merged(pa.Table.from_batches([b.slice(0, end)]))
-            waiting = [b.slice(end)]
-        else:
+        same = waiting and waiting[-1].column("term")[-1] == term[-1] and waiting[-1].column("span")[-1] == span[-1]
+        if not end and (same or not waiting):
             waiting.append(b)
+            continue
+        whole = [*waiting, b.slice(0, end)]  # all that waits, and what of this batch is before its last term
+        yield _merged(pa.Table.from_batches(whole))
+        waiting = [b.slice(end)]
     if waiting:
         yield _merged(pa.Table.from_batches(waiting))
 
@@ -159,13 +226,11 @@ def _groups(base: DataFrame) -> list[tuple[str, str]]:
 def _group_terms(base: DataFrame, groups: list[tuple[str, str]]) -> DataFrame:
     """group, term, n_docs, n; several rows of one term, from different spans."""
     numbers = {g: i for i, g in enumerate(groups)}
-    rows = stage(base.mapInArrow(lambda b: _chunks(b, numbers), "block long, chunk string, entries binary"), "chunks")
-    terms = rows.select("chunk").distinct().select("chunk", F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0)).alias("terms"))
-    terms = terms.select("chunk", F.explode("terms").alias("term")).groupBy("chunk", "term").agg(F.count("*").alias("times"))
-    span = F.floor(F.shiftright("block", 24) / SPAN).alias("span")
-    joined = rows.join(terms, "chunk").select(span, "term", "block", "times", "entries")
-    joined = joined.repartition("span", "term").sortWithinPartitions("span", "term")
-    return joined.mapInArrow(_merge, "group long, term string, n_docs long, n long")
+    rows = base.mapInArrow(lambda b: _chunks(b, numbers), "chunk string, place int, entries binary")
+    rows = rows.repartition("chunk").sortWithinPartitions("chunk", "place")
+    terms = rows.mapInArrow(_terms, "span int, term string, times int, entries binary")
+    terms = terms.repartition("span", "term").sortWithinPartitions("span", "term")
+    return terms.mapInArrow(_merge, "group int, term string, n_docs long, n long")
 
 
 def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -184,7 +249,7 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
 
 def _names(docs: DataFrame, groups: list[tuple[str, str]]) -> DataFrame:
     rows = [(i, *g) for i, g in enumerate(groups)]
-    return F.broadcast(docs.sparkSession.createDataFrame(rows, "group long, lang string, source string"))  # one row per group
+    return F.broadcast(docs.sparkSession.createDataFrame(rows, "group int, lang string, source string"))  # one row per group
 
 
 # ------------------------------------------------------------------------------------------- divergences
@@ -232,7 +297,7 @@ def _common(batches, total: np.ndarray):
     for b in batches:
         lists = b.column("groups")
         at, flat = lists.offsets.to_numpy(), lists.values
-        group, n = flat.field("group").to_numpy(), flat.field("n").to_numpy()
+        group, n = flat.field("group").to_numpy().astype(np.int64), flat.field("n").to_numpy()
         p, many = _share(n, total[group]), np.diff(at)
         for m in np.unique(many[many > 1]).tolist():
             here = at[:-1][many == m]
@@ -286,7 +351,7 @@ def divergences(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
     languages = sorted({g[0] for g in groups})
     lang_of = np.array([languages.index(g[0]) for g in groups], np.int64)
     names = F.broadcast(spark.createDataFrame(
-        [(i, int(lang_of[i]), *g) for i, g in enumerate(groups)], "group long, lang_no long, lang string, source string"))  # one row per group
+        [(i, int(lang_of[i]), *g) for i, g in enumerate(groups)], "group int, lang_no long, lang string, source string"))  # one row per group
     # one exchange by language and term serves both sums
     found = _group_terms(base, groups).join(names.select("group", "lang_no"), "group").repartition("lang_no", "term")
     found = found.groupBy("lang_no", "term", "group").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"))
@@ -301,7 +366,7 @@ def divergences(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
     total = np.array([in_group.get(i, 0) + terms[lang_of[i]] for i in range(len(groups))], np.int64)
     totals = F.broadcast(spark.createDataFrame(  # one row per group
         [(i, int(t), int(in_lang[lang_of[i]].n + terms[lang_of[i]]) if lang_of[i] in in_lang else 0) for i, t in enumerate(total)],
-        "group long, total long, lang_total long"))
+        "group int, total long, lang_total long"))
 
     p, q = F.col("p"), F.col("q")
     shares = each.join(totals, "group").select(
@@ -315,7 +380,7 @@ def divergences(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
     alone = same.mapInArrow(lambda b: _alone(b, total, lang_of), "x long, y long, part long")
     sums = common.unionByName(alone).groupBy("x", "y").agg(F.sum(F.col("part").cast("decimal(38,0)")).alias("sum"))
     least = spark.createDataFrame(
-        [(i, int(terms[lang_of[i]]), int(1 + BILLION // t) if t else 1) for i, t in enumerate(total.tolist())], "group long, terms long, p0 long")
+        [(i, int(terms[lang_of[i]]), int(1 + BILLION // t) if t else 1) for i, t in enumerate(total.tolist())], "group int, terms long, p0 long")
     sides = names.join(least, "group")
     x = sides.select(F.col("group").alias("x"), "lang_no", "terms", F.col("p0").alias("px"))
     y = sides.select(F.col("group").alias("y"), "lang_no", F.col("source").alias("item"), F.col("p0").alias("py"))
