@@ -24,7 +24,7 @@ def test_no_products(spark, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-@pytest.mark.parametrize("name", ["collapse_lines", "caveman_ultra", "compress_stacked", "classify_intent", "cache_bypass"])
+@pytest.mark.parametrize("name", ["collapse_lines", "caveman_ultra", "compress_stacked", "cache_bypass"])
 def test_text_rules_only_spread_the_texts(spark, name):
     text = plan(spark, name)
     exchanges = [line for line in text.splitlines() if "Exchange" in line]
@@ -48,3 +48,14 @@ def test_hot_keys_are_cut_by_time(spark, monkeypatch):
     monkeypatch.setattr(ordered, "HOT_ROWS", 5)
     text = plan(spark, "running_budget")
     assert "_slice" in text and "SinglePartition" not in text
+
+
+def test_classification_moves_no_texts(spark):
+    text = plan(spark, "classify_intent")
+    exchanges = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and "EvalPython" not in text and "InPandas" not in text
+    assert "BroadcastHashJoin" in text and "partial_sum" in text
+
+
+def test_numbering_has_no_single_partition(spark):
+    assert "SinglePartition" not in plan(spark, "fifo_batches")

@@ -147,19 +147,37 @@ def test_changes_keep_pairs_unique(spark):
     assert {r.id: r.model for r in changes.rule_change_apply(base, edits).collect()} == {1: "m", 2: "x", 4: "z"}
 
 
-def test_rule_changes_match_a_walk(spark):
-    rnd = random.Random(5)
-    base = [(i, "ab"[i % 2], f"m{i % 5}") for i in range(8)]  # pairs held twice stay
-    edits = [(n, rnd.randrange(14), rnd.choice(["upsert", "upsert", "delete"]), rnd.choice(["a", "b", None]), f"m{rnd.randrange(7)}") for n in range(300)]
+def plain_walk(base, edits):
     state = {i: (a, m) for i, a, m in base}
     for _, i, op, a, m in edits:
         if op == "delete":
             state.pop(i, None)
         elif a is None or not any(p == (a, m) and k != i for k, p in state.items()):
             state[i] = (a, m)
+    return state
+
+
+@pytest.mark.parametrize("most", [1_000_000, 40, 0])  # by intents; by pairs, what is larger in rounds; all in rounds
+def test_rule_changes_match_a_walk(spark, most):
+    rnd = random.Random(5)
+    base = [(i, "ab"[i % 2], f"m{i % 5}") for i in range(8)]  # pairs held twice stay
+    edits = [(n, rnd.randrange(14), rnd.choice(["upsert", "upsert", "delete"]), rnd.choice(["a", "b", None]), f"m{rnd.randrange(7)}") for n in range(300)]
+    # rules and pairs that meet no others, in small groups
+    edits += [(n, 100 + rnd.randrange(12), rnd.choice(["upsert", "delete"]), "c", f"n{rnd.randrange(12)}") for n in range(300, 330)]
+    got = changes.rule_change_apply(spark.createDataFrame(base, "id long, intent string, model string"),
+                                    spark.createDataFrame(edits, "change_id long, id long, op string, intent string, model string"), most)
+    assert {r.id: (r.intent, r.model) for r in got.collect()} == plain_walk(base, edits)
+
+
+def test_a_chain_of_changes_is_one_walk(spark, monkeypatch):
+    base = [(i, "a", f"m{i}") for i in range(1000)]
+    # each rule wants the place of the next one, which only the last one leaves; then the same backwards
+    edits = [(n, n, "upsert", "a", f"m{n + 1}") for n in range(1000)] + [(2000 - n, n, "upsert", "a", f"m{n + 2}") for n in range(999)]
+    edits.sort()
+    monkeypatch.setattr(changes, "_in_rounds", None)  # would fail if it were asked
     got = changes.rule_change_apply(spark.createDataFrame(base, "id long, intent string, model string"),
                                     spark.createDataFrame(edits, "change_id long, id long, op string, intent string, model string"))
-    assert {r.id: (r.intent, r.model) for r in got.collect()} == state
+    assert {r.id: (r.intent, r.model) for r in got.collect()} == plain_walk(base, edits)
 
 
 def test_quality(spark):

@@ -1,4 +1,5 @@
 import json
+import os
 
 import numpy as np
 import pytest
@@ -6,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tokenmill.operators import guardrail, similarity
 
+SF = "/root/testdata/sf0.001"
+
 
 def vectors(spark, key, m, prompts=None):
     rows = [(i, [float(x) for x in v], prompts[i] if prompts else f"p{i}") for i, v in enumerate(m)]
@@ -38,6 +41,23 @@ def test_nearest_matches_all_pairs(spark, k, radius, pivots, qb, eb):
     assert got == brute(q, e, k, radius)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_few_pairs_are_computed_exactly(spark):
+    m = np.stack([r.embedding for r in spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()]).astype(float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    q = m[:, ::-1]
+    for k, radius in ((3, 0.68), (1, 0.6), (3, 2.0)):
+        row, col = similarity.may_be_near(q, m, k, radius)
+        share = len(row) / (len(q) * len(m))
+        print(f"k={k} radius={radius}: {share:.2%} of the pairs are computed in double precision")
+        assert share < 0.03
+        d = np.round(1 - q @ m.T, 9)
+        kept = set(zip(row.tolist(), col.tolist()))
+        for i, r in enumerate(d):
+            best = np.lexsort((np.arange(len(r)), r))[:k]
+            assert all((i, int(j)) in kept for j in best if r[j] <= radius)
+
+
 def test_no_entries(spark):
     q = vectors(spark, "query_id", np.eye(3))
     none = vectors(spark, "entry_id", np.eye(3)).where("entry_id > 9")

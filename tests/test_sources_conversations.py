@@ -69,7 +69,9 @@ def test_price_snapshot_is_kept_when_empty(spark, tmp_path):
     path = str(tmp_path / "p")
     prices = spark.createDataFrame([("m", "p", 1.0, 2.0)], "model_name string, provider string, input_price double, output_price double")
     assert sinks.overwrite_price_snapshot(prices, path) and not sinks.overwrite_price_snapshot(prices.where("false"), path)
-    assert spark.read.parquet(path).count() == 1
+    assert sinks.read_price_snapshot(spark, path).count() == 1
+    assert sinks.overwrite_price_snapshot(prices.withColumn("model_name", F.lit("n")), path)
+    assert [r.model_name for r in sinks.read_price_snapshot(spark, path).collect()] == ["n"]
 
 
 def test_token_log_files(spark, tmp_path):
@@ -114,19 +116,43 @@ def test_event_fold_estimates(spark):
     assert tuple(conversations.fold_provider_events(tables.parse_sse_lines(df), prompts).first()) == (7, 3, 4, "a b c", "stop", False)
 
 
+SAMPLES = [
+    ("code", "write a unit test for this parser"), ("code", "why does my loop never end in rust"), ("code", "sort a linked list in place"),
+    ("creative", "a short poem about autumn rain"), ("creative", "write the opening of a ghost story"), ("support", "I was charged twice this month"),
+    ("support", "the parcel has not arrived yet"), ("general", "how tall is the highest mountain"), ("general", None), (None, "no label"),
+]
+
+
 def test_intents(spark):
-    model = intent.train_intent(intent.starter_samples(spark))
-    df = spark.createDataFrame([("Implement a binary search tree in Golang",), ("Generate 10 catchy names for a futuristic coffee shop",),
-                                ("My account is locked, how can I unlock it?",), ("Tell me about HTML and locked accounts",), ("",)], "text string")
-    assert [r.intent for r in intent.classify_intent(df, model).collect()][:4] == ["code", "creative", "support", "code"]
-    assert {r.intent for r in intent.classify_intent(df, None).collect()} == {"general", "code"}
+    model = intent.train_intent(spark.createDataFrame(SAMPLES, "intent string, sample_text string"))
+    assert model.intents == ["code", "creative", "general", "support"]
+    df = spark.createDataFrame([(1, "the loop in my parser"), (2, "a poem of rain"), (3, "my parcel was charged"), (4, "Tell me about HTML and a parcel"), (5, ""), (6, None)],
+                               "doc_id long, text string")
+    got = {r.doc_id: r.intent for r in intent.classify_intent(df, model).collect()}
+    assert got == {1: "code", 2: "creative", 3: "support", 4: "code", 5: "code", 6: "code"}  # code has most samples
+    assert {r.doc_id: r.intent for r in intent.classify_intent(df, None).collect()} == {i: "code" if i == 4 else "general" for i in range(1, 7)}
+
+
+def test_intent_scores_match_a_plain_version(spark):
+    import math
+    from collections import Counter
+
+    rows = [(i, t) for i, t in SAMPLES if i]
+    grams = lambda t: (lambda w: w + [a + " " + b for a, b in zip(w, w[1:])])((t or "").lower().split())
+    counts = {i: Counter(g for j, t in rows if j == i for g in grams(t)) for i, _ in rows}
+    known = set().union(*counts.values())
+    table = {(r.intent, r.gram): (r.n, r.weight) for r in intent.train_intent(spark.createDataFrame(SAMPLES, "intent string, sample_text string")).table().collect()}
+    assert set(table) == {(i, g) for i, c in counts.items() for g in c}
+    for (i, g), (n, w) in table.items():
+        assert n == counts[i][g] and w == round(math.log((n + 0.1) / (sum(counts[i].values()) + 0.1 * len(known))) * 1e6)
 
 
 def test_training_sources(spark):
     empty = spark.createDataFrame([], "intent string, sample_text string")
     own = spark.createDataFrame([("code", "x"), ("general", "y")], "intent string, sample_text string")
-    assert intent.training_samples(spark, None, empty).count() == sum(map(len, intent.STARTER_SAMPLES.values())) and intent.training_samples(spark, empty, own).count() == 2
-    assert intent.retrain(spark, None, own).stages
+    assert intent.training_samples(None, empty) is None and intent.training_samples(empty, own).count() == 2
+    assert intent.retrain(None, own).intents == ["code", "general"] and intent.retrain(None, empty) is None
+    assert intent.train_intent(empty) is None
 
 
 def test_embeddings(spark):

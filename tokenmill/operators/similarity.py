@@ -3,8 +3,9 @@
 The neighbour join is exact. Both sides are split by the nearest of a few pivot vectors; by the
 triangle inequality an entry can only match queries of a cell if it lies no further from the cell's
 pivot than the cell's outermost query plus the radius, so it is sent to those cells alone. Cells with
-many rows are cut into blocks on both sides. A task multiplies one query block with one entry block
-and keeps ``k`` rows per query; pairs are never emitted.
+many rows are cut into blocks on both sides. Where the cells keep little apart, as in vectors that point
+everywhere, there is only one. A task bounds the distances of a query block and an entry block in single
+precision, computes those exactly that may count, and keeps ``k`` rows per query; pairs are never emitted.
 """
 
 from __future__ import annotations
@@ -65,21 +66,34 @@ def _target_cells(df: DataFrame, pivots: np.ndarray, bounds: dict[int, float]) -
     return df.select("entry_id", "embedding", F.explode(cells("embedding")).alias("cell"))
 
 
+def may_be_near(q: np.ndarray, e: np.ndarray, k: int, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of ``q``, row of ``e``) that can be among the ``k`` nearest within ``radius``; unit vectors.
+
+    A product in single precision, at half the cost, is off by no more than the rounding of its
+    terms, so it bounds the distance from below. Pairs beyond the radius, or surely behind ``k`` others, are out.
+    """
+    error = (q.shape[1] + 4) * 2.0**-23  # of a sum of products whose absolute values add up to 1 at most, and of their factors
+    near = q.astype(np.float32) @ e.astype(np.float32).T
+    least = np.full(len(q), 1.0 - radius - 1e-9)
+    if near.shape[1] > k:
+        least = np.maximum(least, np.partition(near, -k, axis=1)[:, -k] - error - 2e-9)
+    return np.nonzero(near >= (least - error)[:, None].astype(np.float64))
+
+
 def _block_top_k(k: int, radius: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def top_k(q: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(q) and len(e):
-            e = e.sort_values("entry_id", kind="stable")
             qv, ev, ids = _unit(q["embedding"]), _unit(e["embedding"]), e["entry_id"].to_numpy()
             for at in range(0, len(q), CHUNK):
-                d = np.round(1.0 - qv[at:at + CHUNK] @ ev.T, 9)
-                # ids are sorted, so a stable sort breaks ties of the distance by id
-                best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                dist = np.take_along_axis(d, best, axis=1)
-                row, col = np.nonzero(dist <= radius)
+                row, col = may_be_near(qv[at:at + CHUNK], ev, k, radius)
+                d = np.round(1.0 - np.einsum("ij,ij->i", qv[at + row], ev[col]), 9)
+                order = np.lexsort((ids[col], d, row))
+                row, col, d = row[order], col[order], d[order]
+                nth = np.arange(len(row)) - np.searchsorted(row, row)
+                kept = (nth < k) & (d <= radius)
                 found.append(pd.DataFrame({
-                    "query_id": q["query_id"].to_numpy()[at + row], "entry_id": ids[best[row, col]],
-                    "dist": dist[row, col],
+                    "query_id": q["query_id"].to_numpy()[at + row[kept]], "entry_id": ids[col[kept]], "dist": d[kept],
                 }))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "entry_id": [], "dist": []})
 
@@ -97,7 +111,8 @@ def nearest_within(
     schema = "query_id bigint, entry_id bigint, dist double"
     spark = queries.sparkSession
     empty = spark.createDataFrame([], schema + ", nth int")
-    if pivots is None:  # more cells for more entries, but never many vectors on the driver
+    chosen = pivots is None
+    if chosen:  # more cells for more entries, but never many vectors on the driver
         pivots = min(max(int(entries.count() ** 0.5) // 8, 16), 2048)
     # a fixed number of vectors, picked by hash so that a rerun picks the same ones
     picked = entries.select("embedding", F.xxhash64("entry_id").alias("_o")).orderBy("_o").limit(pivots).collect()
@@ -112,6 +127,9 @@ def nearest_within(
     chord_radius = float(np.sqrt(2.0 * radius))
     e = _target_cells(entries, centre, {c: r.far + chord_radius + SLACK for c, r in cells.items()})
     entry_counts = {r.cell: r["count"] for r in e.groupBy("cell").count().collect()}
+    if chosen and 2 * sum(entry_counts.values()) > len(cells) * entries.count():
+        # most entries may meet most cells: one cell, so that an entry is sent once to each block of queries
+        return nearest_within(queries, entries, k, radius, 1, query_block, entry_block)
     parts = lambda n, size: max(1, -(-int(n) // size))
     met = [(c, parts(r.n, query_block), parts(entry_counts[c], entry_block)) for c, r in cells.items() if c in entry_counts]
     if not met:
