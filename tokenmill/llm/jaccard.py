@@ -237,8 +237,13 @@ def _block_links(group: pa.Table, join: Join) -> pa.Table:
 
 def _family_links(many: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     """Links inside families. ``many``: key and class of the parts that many classes share."""
-    first = many.groupBy("key").agg(F.min("class").alias("a"))
-    meet = many.join(first, "key").filter("class <> a").select("a", F.col("class").alias("b")).distinct()
+    first = many.groupBy("key").agg(F.min("class").alias("least"))
+    # each class goes with the least class of its parts; then only parts whose classes went to several need links
+    went = stage(many.join(first, "key").groupBy("class").agg(F.min("least").alias("to")), "first-steps")
+    rows = stage(many.join(went, "class", "left").select("key", "class", "to"), "stepped-parts")
+    ends = rows.groupBy("key").agg(F.min("to").alias("a"), F.max("to").alias("z")).filter("a < z").select("key", "a")
+    meet = rows.join(ends, "key").filter("to <> a").select("a", F.col("to").alias("b")).distinct()
+    meet = meet.unionByName(went.select(F.col("to").alias("a"), F.col("class").alias("b")))
     family = components(meet).select(F.col("node").alias("class"), F.col("component").alias("family"))
     members = family.join(sets.select("class", "n"), "class")
     blocks = members.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
