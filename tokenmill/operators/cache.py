@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tokenmill.functions import fixed
 from tokenmill.functions.scalars import ttl_seconds
 from tokenmill.functions.text import prompt_key
-from tokenmill.operators.ordered import greedy_ttl
+from tokenmill.operators.ordered import greedy_ttl, micros, running_total, time_slice
+from tokenmill.session import stage
 
 
 def cache_ttl_replay(
@@ -26,6 +27,36 @@ def cache_ttl_replay(
     )
 
 
+def cache_replay(
+    requests: DataFrame, key: str = "cache_key", intent: str = "intent", ts: str = "ts", row_id: str = "request_id",
+    bypass: str = "bypass", answered: str = "answered",
+) -> DataFrame:
+    """Adds ``hit``, where not every miss saves: only those with ``answered``, and requests with ``bypass``.
+
+    A request with ``bypass`` takes the key's entry away and, if it is answered, saves a new one; it begins the key's
+    next age. In an age the rows that save are those that fire in the greedy kernel, over the answered rows alone. A
+    row without an answer hits if one fired less than a time to live before: as firing rows lie a time to live apart,
+    it meets those of its own and the last slice of that length by equality. A key's intent has to be the same for
+    all its rows.
+    """
+    flagged = F.col(bypass).cast("bigint")
+    aged = running_total(requests, [key], time_slice(F.col(ts), 3600), [ts, row_id], flagged, "_age", inclusive=True)
+    aged = stage(aged.withColumn("_ttl", ttl_seconds(F.col(intent)).cast("bigint") * 1_000_000).withColumn("_t", micros(F.col(ts))), "ages")
+    saves = aged.where(F.col(answered))
+    fired = stage(greedy_ttl(saves, [key, "_age"], ts, row_id, F.expr("_ttl div 1000000")).select(key, "_age", row_id, micros(F.col(ts)).alias("_saved")), "saves")
+    fresh = fired.select(row_id, F.lit(True).alias("_fresh"))
+    slot = lambda t: F.floor(F.col(t) / F.col("_ttl"))
+    unanswered = aged.where(~F.col(answered) & ~F.col(bypass))
+    near = unanswered.withColumn("_slot", F.explode(F.array(slot("_t"), slot("_t") - 1)))
+    placed = fired.join(aged.select(row_id, "_ttl"), row_id).select(
+        key, "_age", slot("_saved").alias("_slot"), "_saved", F.col(row_id).alias("_saver"))
+    met = near.join(placed, [key, "_age", "_slot"]).where(
+        ((F.col("_saved") < F.col("_t")) | ((F.col("_saved") == F.col("_t")) & (F.col("_saver") < F.col(row_id)))) & (F.col("_t") < F.col("_saved") + F.col("_ttl")))
+    served = met.select(row_id, F.lit(True).alias("_served")).distinct()
+    hit = F.when(F.col(bypass), False).when(F.col(answered), F.col("_fresh").isNull()).otherwise(F.col("_served").isNotNull())
+    return aged.join(fresh, row_id, "left").join(served, row_id, "left").withColumn("hit", hit).select(*requests.columns, "hit")
+
+
 def cache_fill_rows(answered: DataFrame, text: str = "text", ts: str = "ts") -> DataFrame:
     """Entries that answered requests leave behind: no hit, an answer, and a text as content.
 

@@ -28,7 +28,7 @@ def compression_gate(text: Column, method: str, model_loaded: bool = True) -> Co
 
 def compress(
     prompts: DataFrame, method: str, intensity: str = "full", text: str = "text", row_id: str = "doc_id",
-    rate: float = fixed.DEFAULT_RATE,
+    rate: float = fixed.DEFAULT_RATE, model_loaded: bool = True,
 ) -> DataFrame:
     """Adds ``compressed_text`` and the figures of the compression.
 
@@ -37,7 +37,7 @@ def compress(
     result, and ``rtk_tokens`` those in between.
     """
     method = method.lower()
-    reason = compression_gate(F.col(text), method)
+    reason = compression_gate(F.col(text), method, model_loaded)
     rows = prompts.withColumn("reason", reason).withColumn("bypassed", F.col("reason").isNotNull())
     if method == "disabled":
         rows = rows.withColumn("_out", F.col(text))
@@ -69,7 +69,8 @@ def _budgeted(rows: DataFrame, method: str, text: str, row_id: str, rate: float)
     """Only prompts that pass the gate are split into words."""
     source = text
     if method == "rtk+llmlingua":
-        rows, source = compress_log_text(rows, text, "_rtk"), "_rtk"
+        # written, as the steps below read it several times and its expression is large
+        rows, source = stage(compress_log_text(rows, text, "_rtk"), "rtk"), "_rtk"
         rows = rows.withColumn("rtk_tokens", token_estimate(F.col("_rtk")))
     long = rows.where(~F.col("bypassed")).select(row_id, F.col(source).alias("text"))
     shorter = compress_budgeted(long, rate, "text", row_id).select(row_id, F.col("compressed_text").alias("_out"))

@@ -35,9 +35,10 @@ def rule_checks() -> dict[str, Column]:
     for c, n in (("intent", 100), ("provider", 50), ("model", 100), ("url", 255), ("api_key_env", 512)):
         checks[f"{c} required"] = required(c)
         checks[f"{c} max {n}"] = longer_than(c, n)
-    for c, n in (("fallback_provider", 50), ("fallback_model", 100)):
+    for c, n in (("fallback_provider", 50), ("fallback_model", 100), ("fallback_url", 255), ("fallback_api_key_env", 512)):
         checks[f"{c} max {n}"] = longer_than(c, n)
     checks["url format"] = not_url("url")
+    checks["fallback_url format"] = not_url("fallback_url")
     checks["weight min 0"] = below("weight", 0)
     return checks
 

@@ -1,6 +1,6 @@
 """The whole way of a request as one lazy plan over a table of requests.
 
-verdict -> guardrail -> cache bypass -> cache -> intent -> route -> compress -> outcome -> cost -> log
+guardrail, cache bypass, intent, route, compress, outcome and cost of each request; then verdict and cache, together -> log
 """
 
 from __future__ import annotations
@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from tokenmill.functions import fixed
 from tokenmill.functions.text import is_bypass, prompt_key, strip_bypass, token_estimate
-from tokenmill.operators.cache import build_log_rows, cache_ttl_replay
+from tokenmill.operators.cache import build_log_rows, cache_replay
 from tokenmill.operators.compression import compress
 from tokenmill.operators.guardrail import guardrail_keywords
 from tokenmill.operators.intent import IntentModel, intent_labels
-from tokenmill.operators.meter import request_verdict
+from tokenmill.operators.meter import bearer_token, request_verdict
 from tokenmill.operators.pricing import with_cost
 from tokenmill.operators.routing import failover, route
 from tokenmill.session import stage
@@ -42,32 +42,58 @@ def replay(
 ) -> DataFrame:
     """Log rows of all requests that are let in and answered, cached or not.
 
-    Written in between: the facts of the prompts, the requests let in, and the cache's answers, as the
-    steps after them read them more than once. None of these tables carries a text.
+    What an answer would be and cost follows from the request alone and is worked out once. Who is let in and who
+    finds a cached answer hang on each other: a charge may end a budget, a request that is let in may save an answer that
+    others of any key then find free of charge. Both are judged for all requests at once, by the verdicts of the
+    round before, until none moves; each round settles at least the earliest open request, so the end is
+    the one result of a walk in order of time. Rounds are as many as verdicts that hang on each other.
+
+    Only answered requests save: misses, and requests that asked for a fresh answer, which first take the old one away. No
+    answer is saved for a request without a rule, or one that failed with its fallback. Hits cost nothing.
+    Written in between: the facts of the prompts, the answers, and each round's verdicts. None carries a text.
     """
     facts = stage(prepare_prompts(prompts, keywords, model, method), "facts")
     # a request without a prompt row is one with an empty prompt
     none = {"blocked": F.lit(False), "bypass": F.lit(False), "intent": F.lit("general"), "cache_key": prompt_key(F.lit("")),
             "original_tokens": token_estimate(F.lit("")), "compressed_tokens": token_estimate(F.lit(""))}
-    costed = requests.join(facts, "doc_id", "left").withColumns({c: F.coalesce(F.col(c), v) for c, v in none.items()})
-    costed = costed.withColumn("cost_usd", F.lit(0).cast("decimal(18,12)"))
-    let_in = request_verdict(costed, keys, limit=limit, width=width).where("status = 200 AND NOT blocked")
-    access = keys.select(F.col("id").alias("key_id"), F.col("user_id"), "allowed_rules")
-    known = stage(let_in.join(access, "key_id").drop("cost_usd", "status", "verdict"), "let_in")
-    # requests that ask for a fresh answer never read the cache
-    cached = cache_ttl_replay(known.where(~F.col("bypass")), intent="intent")
-    asked = stage(cached.unionByName(known.where("bypass").withColumn("hit", F.lit(False))), "asked")
-    routed = route(asked.where(~F.col("hit")), rules).where("rule IS NOT NULL")
+    asked = requests.join(facts, "doc_id", "left").withColumns({c: F.coalesce(F.col(c), v) for c, v in none.items()})
+    token = F.sha2(bearer_token(F.col("auth_header")), 256)
+    access = keys.select(F.col("key_hash").alias("_hash"), "user_id", "allowed_rules")
+    known = asked.where("NOT blocked").withColumn("_hash", token).join(access, "_hash").drop("_hash")
+    answers = stage(_answers(known, rules, prices, outcomes), "answers")
+    costs = answers.select("request_id", "cost_usd", F.lit(True).alias("answered"))
+    rows = asked.join(costs, "request_id", "left").select(
+        "request_id", "ts", "auth_header", "blocked", "bypass", "intent", "cache_key", "cost_usd",
+        F.coalesce("answered", F.lit(False)).alias("answered"), F.lit(200).alias("status"), F.lit(False).alias("hit"))
+    rows = stage(rows, "requests")
+    while True:
+        free = F.col("hit") | F.col("blocked") | ~F.col("answered")
+        charged = rows.withColumn("_charge", F.when(free, F.lit(0)).otherwise(F.col("cost_usd")).cast("decimal(18,12)"))
+        judged = request_verdict(charged.withColumnsRenamed({"status": "_status", "hit": "_hit"}), keys, cost="_charge", limit=limit, width=width)
+        judged = stage(judged.drop("_charge", "verdict", "key_id"), "verdicts")
+        hits = cache_replay(judged.where("status = 200 AND NOT blocked")).where("hit").select("request_id", F.lit(True).alias("hit"))
+        rows = stage(judged.join(hits, "request_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False))), "round")
+        if rows.where("status <> _status OR hit <> _hit").isEmpty():
+            break
+        rows = rows.drop("_status", "_hit")
+    let_in = rows.where("status = 200 AND NOT blocked").select("request_id", "hit")
+    fresh = answers.join(let_in.where("NOT hit"), "request_id")
+    # a hit never reached a provider, so it may have no outcome; its latency is then unknown
+    hits = known.join(let_in.where("hit"), "request_id").join(outcomes.select("request_id", "latency_ms"), "request_id", "left").select(
+        "*", F.lit(None).cast("string").alias("final_model"), F.lit(0).alias("prompt_tokens"),
+        F.lit(0).alias("completion_tokens"), F.lit(0).cast("decimal(18,12)").alias("cost_usd"),
+    )
+    return build_log_rows(fresh).unionByName(build_log_rows(hits))
+
+
+def _answers(known: DataFrame, rules: DataFrame, prices: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The requests that a provider would answer, with its token counts and their cost."""
+    routed = route(known, rules).where("rule IS NOT NULL")
     answered = failover(routed, outcomes).where("status <> 'failed'")
     tokens = lambda n, est: F.when(F.col(n) > 0, F.col(n)).otherwise(est).cast("int")
     counted = answered.withColumn("prompt_tokens", tokens("prompt_tokens", F.col("compressed_tokens"))).withColumn(
         "completion_tokens", tokens("completion_tokens", token_estimate(F.col("answer")))
     )
     priced = with_cost(counted, prices, model="final_model", provider="final_provider", url="final_url")
-    fresh = build_log_rows(priced)
-    # a hit never reached a provider, so it may have no outcome; its latency is then unknown
-    hits = asked.where("hit").join(outcomes.select("request_id", "latency_ms"), "request_id", "left").select(
-        "*", F.lit(None).cast("string").alias("final_model"), F.lit(0).alias("prompt_tokens"),
-        F.lit(0).alias("completion_tokens"), F.lit(0).cast("decimal(18,12)").alias("cost_usd"),
-    )
-    return fresh.unionByName(build_log_rows(hits))
+    return priced.select("request_id", "api_key_id", "user_id", "ts", "intent", "final_model", "prompt_tokens", "completion_tokens",
+                         "latency_ms", "cost_usd")

@@ -99,7 +99,10 @@ VIEWS = {
                'KEY_' || CAST(p_partkey % 7 AS VARCHAR(20)) AS api_key_env,
                CASE WHEN p_partkey % 13 = 0 THEN NULL WHEN p_partkey % 17 = 0 THEN -1 ELSE p_size END AS weight,
                CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'vendor0' END AS fallback_provider,
-               CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE lower(p_type) END AS fallback_model
+               CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE lower(p_type) END AS fallback_model,
+               CASE p_partkey % 6 WHEN 1 THEN 'https://backup.example.org/' || CAST(p_partkey AS VARCHAR(20)) WHEN 2 THEN 'backup.example.org'
+                    WHEN 4 THEN 'http:// broken' WHEN 5 THEN repeat('https://x', 29) ELSE NULL END AS fallback_url,
+               CASE WHEN p_partkey % 23 = 1 THEN repeat('K', 513) ELSE 'KEY_0' END AS fallback_api_key_env
         FROM {{part}}""",
     "rule_changes": f"""
         SELECT o_orderkey AS change_id, o_custkey AS rule_id,
@@ -167,6 +170,17 @@ VIEWS = {
                {MODEL_BY_EVENT} AS requested_model, {INTENT_BY_TYPE} AS logged_intent,
                CAST((event_id * 7919) % {{n_documents}} AS BIGINT) AS doc_id
         FROM {{events}}""",
+    "alert_requests": """
+        SELECT event_id AS id, CASE event_type WHEN 'error' THEN 'failover' WHEN 'purchase' THEN 'low_budget' WHEN 'click' THEN NULL
+               ELSE event_type END AS type FROM {events}""",
+    "compressor_settings": f"""
+        SELECT event_id AS id, {_pick("event_id % 7", ["'llmlingua'", "'rtk'", "'caveman'", "'stacked'", "'rtk+llmlingua'", "'disabled'", "'zip'"])}
+               AS method, value / 80 AS ratio, {_pick("event_id % 4", ["'lite'", "'full'", "'ultra'", "'max'"])} AS caveman_intensity
+        FROM {{events}}""",
+    "rephrase_settings": f"""
+        SELECT s_suppkey AS id, {_pick("s_suppkey % 5", ["'ollama'", "'openai'", "'google'", "'anthropic'", "'other'"])} AS provider,
+               CASE WHEN s_suppkey % 3 = 0 THEN ' ' ELSE s_name END AS model
+        FROM {{supplier}}""",
     # short prompts, many of them equal
     "short_prompts": f"""
         SELECT event_id AS request_id, ts, 'Please ' || CASE event_id % 3 WHEN 0 THEN 'sort' WHEN 1 THEN '  program ' ELSE 'describe' END

@@ -111,7 +111,17 @@ ORACLES: dict[str, str] = {
         SELECT 'rules' AS source, id AS row_id, unnest([
           CASE WHEN trim(provider) = '' THEN 'provider required' END,
           CASE WHEN NOT regexp_matches(CASE WHEN regexp_matches(trim(url), '^(?i)https?://') THEN url ELSE 'http://' || trim(url) END, '^https?://\\S+$') THEN 'url format' END,
+          CASE WHEN NOT regexp_matches(CASE WHEN regexp_matches(trim(fallback_url), '^(?i)https?://') THEN fallback_url ELSE 'http://' || trim(fallback_url) END, '^https?://\\S+$') THEN 'fallback_url format' END,
+          CASE WHEN length(fallback_url) > 255 THEN 'fallback_url max 255' END,
+          CASE WHEN length(fallback_api_key_env) > 512 THEN 'fallback_api_key_env max 512' END,
           CASE WHEN weight < 0 THEN 'weight min 0' END]) AS violation FROM {v('rule_table')}
+        UNION ALL SELECT 'alerts', id, unnest([CASE WHEN type IS NULL THEN 'type required' END,
+          CASE WHEN type NOT IN ('failover', 'low_budget') THEN 'type values' END]) FROM {v('alert_requests')}
+        UNION ALL SELECT 'compressor', id, unnest([CASE WHEN method = 'zip' THEN 'method values' END,
+          CASE WHEN ratio NOT BETWEEN 0.01 AND 1 THEN 'ratio range' END,
+          CASE WHEN caveman_intensity = 'max' THEN 'caveman_intensity values' END]) FROM {v('compressor_settings')}
+        UNION ALL SELECT 'rephrase', id, unnest([CASE WHEN provider = 'other' THEN 'provider values' END,
+          CASE WHEN trim(model) = '' THEN 'model required' END]) FROM {v('rephrase_settings')}
         UNION ALL SELECT 'keys', id, unnest([CASE WHEN name IS NULL THEN 'name required' END]) FROM {v('api_keys')}
         UNION ALL SELECT 'samples', id, unnest([
           CASE WHEN coalesce(trim(sample_text), '') = '' THEN 'sample_text required' END,
@@ -156,7 +166,7 @@ ORACLES: dict[str, str] = {
     "cache_hit_rate": f"""SELECT count(*) FILTER (model = 'semantic-cache') AS hits, count(*) AS requests,
         round(avg(CASE WHEN model = 'semantic-cache' THEN 1.0 ELSE 0.0 END), 9) AS hit_rate FROM {LOGS}""",
     "models_per_key": f"""WITH served AS (SELECT id AS rule_id, model FROM {RULES} UNION ALL
-          SELECT id, fallback_model FROM {RULES}),
+          SELECT id, fallback_model FROM {RULES} WHERE fallback_model <> ''),
         found AS (SELECT DISTINCT k.id, s.model FROM {KEYS} k JOIN served s
           ON k.allowed_rules IS NULL OR list_contains(k.allowed_rules, s.rule_id)),
         all_models AS (SELECT * FROM found UNION ALL SELECT id, unnest([{", ".join(map(q, fixed.DEFAULT_MODELS))}])
@@ -317,21 +327,39 @@ ORACLES["compress_stacked"] = f"""SELECT doc_id, 'stacked_ultra' AS method, orig
     SELECT *, {tokens('text')} AS original_tokens, {tokens('compressed_text')} AS compressed_tokens FROM (
     SELECT doc_id, p.text, {telegraphic('c.compressed', 'ultra')} AS compressed_text
     FROM {PROMPTS} p JOIN {collapsed(PROMPTS)} c USING (doc_id)))"""
-ORACLES["compression_report"] = f"""WITH r AS (SELECT doc_id, {tokens('text')} AS o, {tokens('compressed')} AS c FROM {PROMPTS}
-      JOIN {collapsed(PROMPTS)} USING (doc_id))
-    SELECT 'rtk' AS method, NULL AS reason, count(*) AS prompts, 0 AS bypassed, CAST(sum(o) AS BIGINT) AS original_tokens,
-      CAST(sum(c) AS BIGINT) AS compressed_tokens, round(avg(c::DOUBLE / o), 6) AS mean_ratio FROM r
-    UNION ALL SELECT 'disabled', 'Compression disabled', count(*), count(*), CAST(sum(o) AS BIGINT), CAST(sum(o) AS BIGINT), 1.0
-      FROM r"""
 _MARKS = "[?!.:\\-\\n]"
-ORACLES["compress_budgeted"] = f"""WITH t AS (SELECT doc_id, unnest(l) AS w, unnest(range(len(l))) AS p, len(l) AS n FROM (
-      SELECT doc_id, regexp_extract_all(text, '[^{WS}?!.:\\-]+|{_MARKS}') AS l FROM {PROMPTS})),
+
+
+def budgeted(rows: str) -> str:
+    """(doc_id, text) -> doc_id, compressed_text, tokens, kept: the rarest tokens of each text, in their order."""
+    return f"""(WITH t AS (SELECT doc_id, unnest(l) AS w, unnest(range(len(l))) AS p, len(l) AS n FROM (
+      SELECT doc_id, regexp_extract_all(text, '[^{WS}?!.:\\-]+|{_MARKS}') AS l FROM {rows})),
     f AS (SELECT w, count(DISTINCT doc_id) AS df FROM t WHERE NOT regexp_matches(w, '^{_MARKS}$') GROUP BY w),
     r AS (SELECT t.*, df, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(df, 0), p) AS r FROM t LEFT JOIN f USING (w)),
     k AS (SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS compressed_text, max(n) AS tokens, count(*) AS kept FROM r
       WHERE df IS NULL OR r <= ceil(n * 0.7::DOUBLE) GROUP BY doc_id)
     SELECT p.doc_id, coalesce(compressed_text, '') AS compressed_text, coalesce(tokens, 0) AS tokens, coalesce(kept, 0) AS kept
-    FROM {PROMPTS} p LEFT JOIN k USING (doc_id)"""
+    FROM {rows} p LEFT JOIN k USING (doc_id))"""
+
+
+ORACLES["compress_budgeted"] = f"SELECT * FROM {budgeted(PROMPTS)}"
+_TOO_SHORT = f"(length(text) < 150 OR {words('text')} < 30)"
+ORACLES["compression_report"] = f"""WITH p AS MATERIALIZED (SELECT doc_id, text, {_TOO_SHORT} AS short FROM {PROMPTS}),
+    c AS MATERIALIZED (SELECT doc_id, compressed FROM {collapsed(PROMPTS)}),
+    one AS MATERIALIZED (SELECT * FROM {budgeted("(SELECT doc_id, text FROM p WHERE NOT short)")}),
+    two AS MATERIALIZED (SELECT * FROM {budgeted("(SELECT doc_id, compressed AS text FROM p JOIN c USING (doc_id) WHERE NOT short)")}),
+    r AS (SELECT 'rtk' AS method, NULL AS reason, text, compressed AS small FROM p JOIN c USING (doc_id)
+      UNION ALL SELECT 'disabled', 'Compression disabled', text, text FROM p
+      UNION ALL SELECT 'llmlingua', 'Compressor not loaded', text, text FROM p
+      UNION ALL SELECT 'caveman_full', NULL, text, {telegraphic('text', 'full')} FROM p
+      UNION ALL SELECT 'stacked_full', NULL, text, {telegraphic('compressed', 'full')} FROM p JOIN c USING (doc_id)
+      UNION ALL SELECT 'llmlingua', CASE WHEN short THEN 'Prompt too short for compression' END, text,
+        CASE WHEN short THEN text ELSE compressed_text END FROM p LEFT JOIN one USING (doc_id)
+      UNION ALL SELECT 'rtk+llmlingua', CASE WHEN short THEN 'Prompt too short for compression' END, text,
+        CASE WHEN short THEN text ELSE compressed_text END FROM p LEFT JOIN two USING (doc_id))
+    SELECT method, reason, count(*) AS prompts, count(reason) AS bypassed, CAST(sum({tokens('text')}) AS BIGINT) AS original_tokens,
+      CAST(sum({tokens('small')}) AS BIGINT) AS compressed_tokens,
+      round(avg(({tokens('small')})::DOUBLE / ({tokens('text')})), 6) AS mean_ratio FROM r GROUP BY method, reason"""
 ORACLES["model_label"] = f"""WITH a AS (SELECT DISTINCT model FROM {v('token_logs')} UNION SELECT DISTINCT model_name
       FROM ALIASED),
     s AS (SELECT model, regexp_replace(regexp_replace(model, '[-_][0-9]{{4,8}}', '', 'g'), '[-_][0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}',
@@ -534,20 +562,40 @@ _FACTS = f"""(SELECT doc_id, b.blocked, w.bypass, sha256(w.text) AS cache_key,
         w IN ({", ".join(map(q, fixed.CODE_WORDS))}) OR regexp_matches(w, '{alternatives(fixed.CODE_STEMS)}'))) > 0
         AS is_code FROM ({_WISH})) i USING (doc_id)
     JOIN {collapsed(f"({_WISH})")} z USING (doc_id))"""
-_KNOWN = f"""(SELECT x.request_id, x.ts, x.requested_model, f.*, k.user_id, k.allowed_rules FROM
-    {verdicts(f"(SELECT *, 0 AS cost_usd FROM {v('requests')})")} x JOIN {_FACTS} f USING (doc_id)
-    JOIN {KEYS} k ON k.id = x.key_id WHERE x.status = 200 AND NOT f.blocked)"""
-ORACLES["gateway_replay"] = f"""WITH known AS MATERIALIZED (SELECT * FROM {_KNOWN}),
-    walk AS MATERIALIZED (SELECT * FROM {fired("(SELECT cache_key AS k, ts, request_id AS id, intent FROM known WHERE NOT bypass)", TTL)}),
-    asked AS MATERIALIZED (SELECT known.*, coalesce(NOT fires, false) AS hit FROM known LEFT JOIN walk ON walk.id = request_id),
-    missed AS MATERIALIZED (SELECT * FROM asked WHERE NOT hit),
-    done AS (SELECT a.*, m.user_id, m.small FROM {answered("missed")} a JOIN missed m USING (request_id) WHERE outcome <> 'failed'),
-    counted AS (SELECT request_id, user_id, intent, final_model AS model,
+# a walk through all requests in order of time: one row of state for each budget, each rate window and each cache key
+_STEPS = f"""(SELECT row_number() OVER (ORDER BY r.ts, r.request_id) AS rn, r.request_id, epoch_us(r.ts) AS t, r.requested_model, r.ts,
+      token, k.id AS key_id, k.status AS key_status, k.total_budget, k.user_id, k.allowed_rules, f.*,
+      'b' || k.id || CASE WHEN k.budget_type = 'monthly' THEN strftime(r.ts, '%Y-%m') ELSE '' END AS budget,
+      'r' || coalesce(token, '') || {DAY.replace('ts', 'r.ts')} AS minute
+    FROM (SELECT *, CASE WHEN auth_header LIKE 'Bearer %' THEN split_part(auth_header, ' ', 2) END AS token FROM {v('requests')}) r
+    LEFT JOIN {KEYS} k ON k.key_hash = sha256(token) JOIN {_FACTS} f USING (doc_id))"""
+ORACLES["gateway_replay"] = f"""WITH RECURSIVE facts AS MATERIALIZED {_STEPS},
+    done AS MATERIALIZED (SELECT a.*, m.small FROM {answered("(SELECT * FROM facts WHERE key_id IS NOT NULL)")} a
+      JOIN facts m USING (request_id) WHERE outcome <> 'failed'),
+    counted AS (SELECT request_id, intent, final_model AS model,
       CAST(CASE WHEN prompt_tokens > 0 THEN prompt_tokens ELSE small END AS INT) AS prompt_tokens,
-      CAST(CASE WHEN completion_tokens > 0 THEN completion_tokens ELSE {tokens('answer')} END AS INT) AS completion_tokens FROM done)
+      CAST(CASE WHEN completion_tokens > 0 THEN completion_tokens ELSE {tokens('answer')} END AS INT) AS completion_tokens FROM done),
+    cost AS MATERIALIZED (SELECT * FROM {priced("counted")}),
+    step AS MATERIALIZED (SELECT f.*, c.cost_usd, c.cost_usd IS NOT NULL AS answers, 'c' || cache_key AS place,
+      CAST({TTL} AS BIGINT) * 1000000 AS ttl FROM (SELECT *, row_number() OVER (ORDER BY rn) AS n FROM facts
+        WHERE key_status = 'active') f
+      LEFT JOIN (SELECT request_id, cost_usd FROM cost) c USING (request_id)),
+    nth AS MATERIALIZED (SELECT request_id, row_number() OVER (PARTITION BY minute ORDER BY rn) > 2 AS limited FROM facts WHERE token IS NOT NULL),
+    walk(place, amount, last, n, verdict) USING KEY (place) AS (
+      SELECT 'step', CAST(0 AS DECIMAL(38,12)), CAST(0 AS BIGINT), CAST(0 AS BIGINT), ''
+      UNION SELECT unnest(['step', CASE WHEN charged THEN budget END, CASE WHEN saves OR drops THEN place END, 'q' || request_id]),
+        unnest([0, spent + cost_usd, 0, 0]::DECIMAL(38,12)[]), unnest([0, 0, CASE WHEN saves THEN t ELSE -1000000000000000 END, 0]::BIGINT[]),
+        unnest([n, 0, 0, n]), unnest(['', '', '', verdict])
+      FROM (SELECT *, verdict = 'miss' AND answers AS saves, bypass AND verdict = 'miss' AS drops, verdict = 'miss' AND answers AS charged
+        FROM (SELECT s.*, coalesce(b.amount, 0) AS spent, CASE WHEN l.limited THEN 'limited' WHEN total_budget - coalesce(b.amount, 0) <= 0 THEN 'spent'
+            WHEN blocked THEN 'blocked' WHEN NOT bypass AND s.t < c.last + ttl THEN 'hit' ELSE 'miss' END AS verdict
+          FROM walk w JOIN step s ON s.n = w.n + 1 JOIN nth l USING (request_id)
+          LEFT JOIN recurring.walk b ON b.place = s.budget LEFT JOIN recurring.walk c ON c.place = s.place
+          WHERE w.place = 'step'))),
+    told AS (SELECT s.request_id, s.user_id, w.verdict FROM walk w JOIN step s ON w.place = 'q' || s.request_id)
     SELECT request_id, user_id, intent, model, prompt_tokens, completion_tokens, total_tokens, CAST(cost_usd AS DOUBLE) AS cost_usd
-      FROM {priced("counted")}
-    UNION ALL SELECT request_id, user_id, 'cached', 'semantic-cache', 0, 0, 0, 0.0 FROM asked WHERE hit"""
+      FROM cost JOIN told USING (request_id) WHERE verdict = 'miss'
+    UNION ALL SELECT request_id, user_id, 'cached', 'semantic-cache', 0, 0, 0, 0.0 FROM told WHERE verdict = 'hit'"""
 
 # ----------------------------------------------------------------------------------------- streams
 def in_thirds(rows: str, ts: str) -> str:
@@ -634,3 +682,11 @@ ORACLES["classify_intent"] = f"""WITH {INTENT_MODEL},
       LEFT JOIN k ON k.doc_id = d.doc_id AND k.intent = t.intent),
     b AS (SELECT doc_id, intent, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, intent) AS place FROM r)
     SELECT doc_id, CASE WHEN o.is_code THEN 'code' ELSE b.intent END AS intent FROM b JOIN ({ORACLES['code_override']}) o USING (doc_id) WHERE place = 1"""
+_COUNTS = """[length(text)::DOUBLE, (length(text) - length(replace(text, ' ', '')))::DOUBLE,
+    (length(text) - length(replace(text, chr(10), '')) + 1)::DOUBLE]"""
+ORACLES["embed_prompts"] = "SELECT doc_id, " + ", ".join(
+    f"round((c[{i + 1}] / sqrt(list_sum(list_transform(c, lambda x: x * x))))::FLOAT::DOUBLE, 5) AS e{i}" for i in range(3)
+) + f" FROM (SELECT doc_id, {_COUNTS} AS c FROM {PROMPTS})"
+ORACLES["pair_scores"] = f"""SELECT query_id, entry_id, round(logit, 9) AS logit, 1 / (1 + exp(-logit)) >= 0.85 AS accepted
+    FROM (SELECT query_id, entry_id, 3.0::DOUBLE - abs(length(q.prompt) - length(e.prompt)) / 500::DOUBLE AS logit
+      FROM {v('lookups')} q JOIN {v('cache_entries')} e ON e.entry_id = q.query_id + 1)"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from tokenmill.operators import (
 )
 from tokenmill.plans import gateway
 from tokenmill.plans.inputs import view
-from tokenmill.session import work_dir
+from tokenmill.session import stage, work_dir
 from tokenmill.sources import sinks, tables
 from tokenmill.sources.sinks import read_snapshot
 from tokenmill.streaming import logs as stream_logs
@@ -205,13 +206,13 @@ def sample_search(spark, d):
 
 @query
 def constraint_violations(spark, d):
-    parts = [
-        ("rules", view(spark, d, "rule_table"), quality.rule_checks()),
-        ("keys", view(spark, d, "api_keys"), quality.key_checks()),
-        ("samples", view(spark, d, "samples"), quality.sample_checks()),
-    ]
-    found = [quality.validate_rows(df, "id", c).withColumn("source", F.lit(n)) for n, df, c in parts]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    parts = {
+        "rules": ("rule_table", quality.rule_checks()), "keys": ("api_keys", quality.key_checks()),
+        "samples": ("samples", quality.sample_checks()), "alerts": ("alert_requests", quality.alert_checks()),
+        "compressor": ("compressor_settings", quality.compressor_checks()), "rephrase": ("rephrase_settings", quality.rephrase_checks()),
+    }
+    found = [quality.validate_rows(view(spark, d, n), "id", c).withColumn("source", F.lit(s)) for s, (n, c) in parts.items()]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query
@@ -416,10 +417,12 @@ def label_distribution(spark, d):
 @query
 def compression_report(spark, d):
     prompts = view(spark, d, "prompts")
-    rtk = compression.compress(prompts, "rtk")
-    off = compression.compress(prompts, "disabled")
     columns = ["method", "reason", "bypassed", "original_tokens", "compressed_tokens", "ratio"]
-    out = metrics.compression_report(rtk.select(columns).unionByName(off.select(columns)))
+    methods = ["disabled", "rtk", "caveman", "stacked", "llmlingua", "rtk+llmlingua"]
+    # a table of figures for each method: one plan of all of them would take longer to make than to run
+    parts = [stage(compression.compress(prompts, m).select(columns), "compressed") for m in methods]
+    parts.append(compression.compress(prompts, "llmlingua", model_loaded=False).select(columns))
+    out = metrics.compression_report(reduce(DataFrame.unionByName, parts))
     return out.withColumn("mean_ratio", F.round("mean_ratio", 6))
 
 
@@ -659,6 +662,25 @@ def train_intent(spark, d):
     return intent.retrain(none, view(spark, d, "intent_samples")).table()
 
 
+@query
+def embed_prompts(spark, d):
+    """Vectors of an encoder that is given: here one that counts signs, words and lines."""
+    encode = lambda texts: [[float(len(t)), float(t.count(" ")), float(t.count("\n") + 1)] for t in texts]
+    out = intent.embed(view(spark, d, "prompts"), encode=encode)
+    return out.select("doc_id", *[F.round(real(F.col("embedding")[i]), 5).alias(f"e{i}") for i in range(3)])
+
+
+@query
+def pair_scores(spark, d):
+    """Lookups and cached prompts of neighbouring numbers, scored by a given model: here by how much their lengths differ."""
+    score = lambda qs, es: [3.0 - abs(len(q) - len(e)) / 500 for q, e in zip(qs, es)]
+    queries, entries = view(spark, d, "lookups"), view(spark, d, "cache_entries")
+    pairs = queries.select("query_id", F.col("prompt").alias("q"), (F.col("query_id") + 1).alias("entry_id")).join(
+        entries.select("entry_id", F.col("prompt").alias("e")), "entry_id")
+    scored = pairs.withColumn("logit", intent.pair_scorer(score)(F.col("q"), F.col("e"), F.lit(0.0)))
+    return scored.select("query_id", "entry_id", F.round("logit", 9).alias("logit"), scalars.passes_score(F.col("logit")).alias("accepted"))
+
+
 @query
 def gateway_replay(spark, d):
     words = view(spark, d, "nation").select(F.regexp_replace(F.lower("n_name"), "nation_", "th").alias("keyword"))
