@@ -1,6 +1,6 @@
-from decimal import Decimal
-
 import random
+from datetime import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -180,6 +180,24 @@ def test_a_chain_of_changes_is_one_walk(spark, monkeypatch):
     assert {r.id: (r.intent, r.model) for r in got.collect()} == plain_walk(base, edits)
 
 
+def test_cache_replay_matches_a_walk(spark):
+    from tokenmill.operators.cache import cache_replay
+
+    rnd = random.Random(8)
+    rows = [(i, f"2024-01-{1 + rnd.randrange(28):02d} {rnd.randrange(24):02d}:00:00", k := rnd.choice("aaab"), "support" if k == "a" else "code",
+             rnd.random() < 0.1, rnd.random() < 0.6) for i in range(400)]
+    saved, want = {}, {}
+    for i, ts, k, intent, bypass, answered in sorted(rows, key=lambda r: (r[1], r[0])):
+        t = datetime.fromisoformat(ts).timestamp()
+        want[i] = not bypass and k in saved and t < saved[k] + (14_400 if k == "a" else 604_800)
+        if bypass:
+            saved.pop(k, None)
+        if answered and not want[i]:
+            saved[k] = t
+    df = spark.createDataFrame(rows, "request_id long, ts string, cache_key string, intent string, bypass boolean, answered boolean")
+    assert {r.request_id: r.hit for r in cache_replay(df).collect()} == want and any(want.values())
+
+
 def test_quality(spark):
     df = spark.createDataFrame([(1, "method", 0.5, "full"), (2, "rtk", 1.5, "max")], "id long, method string, ratio double, caveman_intensity string")
     got = sorted(tuple(r) for r in quality.validate_rows(df, "id", quality.compressor_checks()).collect())

@@ -1,4 +1,4 @@
-"""The whole way of a request as one lazy plan over a table of requests.
+"""The whole way of a request over a table of requests.
 
 guardrail, cache bypass, intent, route, compress, outcome and cost of each request; then verdict and cache, together -> log
 """
@@ -14,7 +14,8 @@ from tokenmill.operators.cache import build_log_rows, cache_replay
 from tokenmill.operators.compression import compress
 from tokenmill.operators.guardrail import guardrail_keywords
 from tokenmill.operators.intent import IntentModel, intent_labels
-from tokenmill.operators.meter import bearer_token, request_verdict
+from tokenmill.operators.meter import BUDGET_SLICE_SECONDS, bearer_token, request_verdict
+from tokenmill.operators.ordered import find_hot_keys, running_total, time_slice
 from tokenmill.operators.pricing import with_cost
 from tokenmill.operators.routing import failover, route
 from tokenmill.session import stage
@@ -63,20 +64,27 @@ def replay(
     answers = stage(_answers(known, rules, prices, outcomes), "answers")
     costs = answers.select("request_id", "cost_usd", F.lit(True).alias("answered"))
     rows = asked.join(costs, "request_id", "left").select(
-        "request_id", "ts", "auth_header", "blocked", "bypass", "intent", "cache_key", "cost_usd",
-        F.coalesce("answered", F.lit(False)).alias("answered"), F.lit(200).alias("status"), F.lit(False).alias("hit"))
-    rows = stage(rows, "requests")
+        "request_id", "ts", "auth_header", "blocked", "bypass", "intent", "cache_key", "cost_usd", F.coalesce("answered", F.lit(False)).alias("answered"))
+    # tokens, rate limits and keys refuse whatever is charged; budgets only hang on what the rest is charged
+    early = request_verdict(rows.withColumn("_charge", F.lit(0)), keys, cost="_charge", limit=limit, width=width)
+    budgets = keys.select(F.col("id").alias("key_id"), "total_budget", "budget_type")
+    rows = early.where("status = 200").drop("auth_header", "_charge", "status", "verdict").join(budgets, "key_id")
+    month = F.when(F.col("budget_type") == "monthly", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM")).otherwise("")
+    rows = rows.withColumn("month", month).withColumns({"let_in": F.lit(True), "hit": F.lit(False)})
+    rows = stage(rows.drop("budget_type"), "requests")
+    hot = find_hot_keys(rows, ["key_id"])
     while True:
-        free = F.col("hit") | F.col("blocked") | ~F.col("answered")
-        charged = rows.withColumn("_charge", F.when(free, F.lit(0)).otherwise(F.col("cost_usd")).cast("decimal(18,12)"))
-        judged = request_verdict(charged.withColumnsRenamed({"status": "_status", "hit": "_hit"}), keys, cost="_charge", limit=limit, width=width)
-        judged = stage(judged.drop("_charge", "verdict", "key_id"), "verdicts")
-        hits = cache_replay(judged.where("status = 200 AND NOT blocked")).where("hit").select("request_id", F.lit(True).alias("hit"))
+        free = F.col("hit") | F.col("blocked") | ~F.col("answered") | ~F.col("let_in")
+        charge = F.when(free, F.lit(0)).otherwise(F.col("cost_usd")).cast("decimal(38,12)")
+        spent = running_total(rows, ["key_id", "month"], time_slice(F.col("ts"), BUDGET_SLICE_SECONDS), ["ts", "request_id"], charge, "_spent", hot=hot)
+        judged = spent.withColumnsRenamed({"let_in": "_let_in", "hit": "_hit"}).withColumn("let_in", F.col("total_budget") - F.col("_spent") > 0)
+        judged = stage(judged.drop("_spent"), "verdicts")
+        hits = cache_replay(judged.where("let_in AND NOT blocked")).where("hit").select("request_id", F.lit(True).alias("hit"))
         rows = stage(judged.join(hits, "request_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False))), "round")
-        if rows.where("status <> _status OR hit <> _hit").isEmpty():
+        if rows.where("let_in <> _let_in OR hit <> _hit").isEmpty():
             break
-        rows = rows.drop("_status", "_hit")
-    let_in = rows.where("status = 200 AND NOT blocked").select("request_id", "hit")
+        rows = rows.drop("_let_in", "_hit")
+    let_in = rows.where("let_in AND NOT blocked").select("request_id", "hit")
     fresh = answers.join(let_in.where("NOT hit"), "request_id")
     # a hit never reached a provider, so it may have no outcome; its latency is then unknown
     hits = known.join(let_in.where("hit"), "request_id").join(outcomes.select("request_id", "latency_ms"), "request_id", "left").select(
