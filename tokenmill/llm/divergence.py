@@ -239,7 +239,8 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
     Terms are runs of letters, where all signs beyond ASCII count as letters and A-Z are lowered. Null languages,
     sources and texts are empty. Rows count one by one, copies and rows with equal ids too; no id is needed and other columns are
     not looked at. An empty table gives an empty result. Chunks are told apart by 64-bit hashes inside a block
-    and by their text beyond it. The pairs of language and source are held on the driver.
+    and by their text beyond it. The pairs of language and source are held on the driver. ``docs`` should be a table or
+    a plain scan, so that a task that runs again after a loss numbers its documents alike.
     """
     base = _prepared(docs, lang_col, source_col, text_col)
     groups = _groups(base)
