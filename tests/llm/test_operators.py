@@ -122,6 +122,24 @@ def test_repeats_of_a_common_phrase(spark):
         assert Counter(tuple(r) for r in suffixes.remove_repeats(docs, most=most).collect()) == want
 
 
+def test_repeated_surroundings():
+    rng = random.Random(4)
+    for _ in range(300):
+        k, width = 3, 8
+        texts, at = [], []
+        for _ in range(rng.randrange(2, 7)):
+            left, right = ("".join(rng.choice("ab") for _ in range(n)) for n in (rng.randrange(6), 5))
+            texts.append((left + "xyx" + right).encode())
+            at.append(len(left))
+        first = [rng.randrange(4) for _ in texts]
+        masks = suffixes.repeated(texts, at, first, width, k)
+        for t, p, f, mask in zip(texts, at, first, masks):
+            for o in range(max(0, p - width + k), min(p, len(t) - width) + 1):  # strings that hold the k-mer
+                s = t[o : o + width]
+                earlier = any(g < f and u[q - p + o : q - p + o + width] == s for u, q, g in zip(texts, at, first) if q >= p - o)
+                assert (mask >> o & 1) == earlier
+
+
 def test_suffix_array():
     rng = random.Random(1)
     for _ in range(400):

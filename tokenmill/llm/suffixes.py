@@ -144,17 +144,18 @@ def first_with(texts: list[bytes], first: list[int], width: int) -> list[int]:
     return masks
 
 
-def minimizers(raw: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the k-mers of one text that are the smallest of some string of ``width`` bytes; of
-    equal ones the first."""
+def minimizers(raw: np.ndarray, offsets: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``raw`` and hashes of the k-mers that are the smallest of some string of ``width`` bytes inside one
+    text; of equal ones the first. ``offsets`` cut ``raw`` into texts."""
     n = len(raw)
     if n < width:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     at = np.arange(n - k + 1)
-    words = np.lib.stride_tricks.sliding_window_view(raw, 8).copy().view("<u8")[:, 0]
+    words = np.lib.stride_tricks.as_strided(raw[:8].view("<u8"), (n - 7,), (1,))
     h = tb.mix(words[: len(at)])
     for j in range(8, k, 8):
-        h = tb.mix(h * np.uint64(0x9E3779B97F4A7C15) + words[np.minimum(at + j, len(words) - 1) if j + 8 > k else at + j])
+        j = min(j, k - 8)
+        h = tb.mix(h * np.uint64(0x9E3779B97F4A7C15) + words[j : j + len(at)])
     span = width - k + 1  # k-mers in a string; smallest by halves and doubling
     best, size = at, 1
     while size * 2 <= span:
@@ -163,60 +164,99 @@ def minimizers(raw: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndar
     rest = span - size
     a, b = best[: len(best) - rest], best[rest:]
     best = np.where((h[b] < h[a]) | ((h[b] == h[a]) & (b < a)), b, a) if rest else best
-    places = np.unique(best)
+    inside = np.ones(len(best), bool)  # strings that begin and end in one text
+    for end in offsets[1:-1].tolist():
+        inside[max(0, end - width + 1) : end] = False
+    places = best[inside]
+    if len(places):  # the smallest k-mer never moves back
+        places = places[np.concatenate([[True], places[1:] != places[:-1]])]
     return places, h[places]
 
 
 def _kmers(batches, width: int, k: int):
     for b, raw, offsets in tb.slices(batches, "text"):
-        rows, hashes = [], []
-        for row, a, z in zip(b.column("row").to_numpy(), offsets[:-1], offsets[1:]):
-            h = np.unique(minimizers(raw[a:z], width, k)[1])
-            rows.append(np.full(len(h), row))
-            hashes.append(h.view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(rows))], ["kmer", "row"])
+        places, h = minimizers(raw, offsets, width, k)
+        rows = b.column("row").to_numpy()[np.searchsorted(offsets, places, side="right") - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rows)], ["kmer", "row"])
 
 
 def _surroundings(batches, width: int, k: int):
-    for b in batches:
-        out: dict[str, list] = {c: [] for c in ("kmer", "row", "id", "begin", "around")}
-        texts, _ = b.column("text"), None
-        for row, doc, text, shared in zip(b.column("row").to_pylist(), b.column("id").to_pylist(), texts, b.column("kmers")):
-            data = text.as_py().encode() if text.is_valid else b""
-            places, h = minimizers(np.frombuffer(data, np.uint8), width, k)
-            wanted = np.isin(h, np.array(shared.values).view(np.uint64))
-            for p, x in zip(places[wanted].tolist(), h[wanted].view(np.int64).tolist()):
-                begin = max(0, p - width + k)
-                for c, v in zip(out, (x, row, doc, begin, data[begin : p + width])):
-                    out[c].append(v)
-            if len(out["row"]) > 20_000:
-                yield pa.RecordBatch.from_pydict(out, _AROUND)
-                out = {c: [] for c in out}
-        yield pa.RecordBatch.from_pydict(out, _AROUND)
+    for b, raw, offsets in tb.slices(batches, "text"):
+        places, h = minimizers(raw, offsets, width, k)
+        # a k-mer that is shared is on the list of each of its rows
+        wanted = np.isin(h, b.column("kmers").flatten().to_numpy().view(np.uint64))
+        places, h = places[wanted], h[wanted]
+        for s in range(0, len(places), 20_000):
+            p, x = places[s : s + 20_000], h[s : s + 20_000]
+            text = np.searchsorted(offsets, p, side="right") - 1
+            begin, end = np.maximum(p - width + k, offsets[text]), np.minimum(p + width, offsets[text + 1])
+            ends = np.concatenate([[0], np.cumsum(end - begin)])
+            data = raw[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], end - begin)]
+            around = pa.BinaryArray.from_buffers(pa.binary(), len(p), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x.view(np.int64)), pa.array(b.column("row").to_numpy()[text]), pa.array(b.column("id").to_numpy()[text]),
+                 pa.array(begin - offsets[text]), pa.array(p - begin), around],
+                ["kmer", "row", "id", "begin", "at", "around"],
+            )
 
 
-_AROUND = pa.schema([("kmer", pa.int64()), ("row", pa.int64()), ("id", pa.int64()), ("begin", pa.int64()), ("around", pa.binary())])
+def _reach(parts: list[bytes]) -> list[int]:
+    """For each part the longest prefix that it has in common with another one."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    reach = [0] * len(parts)
+    for i, j in zip(order, order[1:]):
+        a, b = parts[i], parts[j]
+        n = min(len(a), len(b))
+        differ = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+        same = n - (differ.bit_length() + 7) // 8
+        reach[i] = max(reach[i], same)
+        reach[j] = max(reach[j], same)
+    return reach
 
 
-def _resolve(batches, width: int):
+def repeated(texts: list[bytes], at: list[int], first: list[int], width: int, k: int) -> list[int]:
+    """The masks of ``first_with`` for the surroundings of one k-mer, which stands ``at`` a place of each.
+
+    Equal strings agree on both sides of the k-mer. What is farther to the left or right than any two surroundings
+    agree is in no repeated string and needn't be sorted, and surroundings that are equal without it are sorted once.
+    """
+    left = _reach([t[:p][::-1] for t, p in zip(texts, at)])
+    right = _reach([t[p + k :] for t, p in zip(texts, at)])
+    masks, same = [0] * len(texts), {}
+    for i, (t, p) in enumerate(zip(texts, at)):
+        if left[i] + k + right[i] >= width:
+            same.setdefault(t[p - left[i] : p + k + right[i]], []).append(i)
+    cores = list(same)
+    least = [min(first[i] for i in same[c]) for c in cores]
+    if not cores:
+        return masks
+    for core, low, mask in zip(cores, least, first_with(cores, least, width) if len(cores) > 1 else [0]):
+        every = (1 << (len(core) - width + 1)) - 1
+        for i in same[core]:
+            masks[i] = (every if first[i] > low else mask) << (at[i] - left[i])
+    return masks
+
+
+def _resolve(batches, width: int, k: int):
     """Masks of the distinct surroundings, k-mer by k-mer; rows come sorted by k-mer."""
-    kmer, texts, first, keys = None, [], [], []
+    kmer, texts, at, first, keys = None, [], [], [], []
 
     def flush():
         if kmer is None:
             return
-        masks = first_with(texts, first, width) if len(texts) > 1 else [0]
+        masks = repeated(texts, at, first, width, k) if len(texts) > 1 else [0]
         yield pa.RecordBatch.from_arrays(
             [pa.array([kmer] * len(keys), pa.int64()), pa.array(keys, pa.int64()), pa.array(first, pa.int64()), pa.array(masks, pa.int64())],
             ["kmer", "key", "first", "mask"],
         )
 
     for b in batches:
-        for x, key, t, f in zip(*(b.column(c).to_pylist() for c in ("kmer", "key", "around", "first"))):
+        for x, key, t, p, f in zip(*(b.column(c).to_pylist() for c in ("kmer", "key", "around", "at", "first"))):
             if x != kmer:
                 yield from flush()
-                kmer, texts, first, keys = x, [], [], []
+                kmer, texts, at, first, keys = x, [], [], [], []
             texts.append(t)
+            at.append(p)
             first.append(f)
             keys.append(key)
     yield from flush()
@@ -225,13 +265,15 @@ def _resolve(batches, width: int):
 def _remove(batches, width: int):
     for b in batches:
         out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
-        for text, places in zip(b.column("text"), b.column("places")):
+        for text, spots in zip(b.column("text"), b.column("spots")):
             data = text.as_py().encode() if text.is_valid else b""
             edge = np.zeros(len(data) + 1, np.int32)
-            if places.is_valid:
-                at = np.array(places.values, np.int64)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + width, -1)
+            if spots.is_valid:
+                begin, mask = (spots.values.field(c).to_numpy() for c in ("begin", "mask"))
+                for o in range(int(mask.max()).bit_length()):
+                    at = begin[(mask >> o) & 1 == 1] + o
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + width, -1)
             gone = np.cumsum(edge[:-1]) > 0
             raw = np.frombuffer(data, np.uint8)
             out["n_bytes"].append(len(data))
@@ -274,24 +316,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ends = kmers.groupBy("kmer").agg(F.min("row").alias("low"), F.max("row").alias("high")).filter("low < high").select("kmer")
     shared = stage(kmers.join(ends, "kmer"), "shared-kmers")
     per = shared.groupBy("row").agg(F.collect_list("kmer").alias("kmers"))
-    around = base.select("row", "id", "text").join(per, "row")
-    around = around.mapInArrow(lambda b: _surroundings(b, width, k), "kmer long, row long, id long, begin long, around binary")
-    around = stage(around.withColumn("key", F.xxhash64("around")), "surroundings")
-    distinct = around.groupBy("kmer", "key", "around").agg(F.min("id").alias("first"))
+    around = base.select("row", "id", "text").join(per, "row").mapInArrow(
+        lambda b: _surroundings(b, width, k), "kmer long, row long, id long, begin long, at long, around binary"
+    )
+    around = stage(around.withColumn("key", F.xxhash64("around", "at")), "surroundings")
+    distinct = around.groupBy("kmer", "key", "at", "around").agg(F.min("id").alias("first"))
     distinct = stage(distinct, "distinct-surroundings")
     many = distinct.groupBy("kmer").count().filter(F.col("count") > most).select("kmer")
     few = distinct.join(many, "kmer", "left_anti")
     masks = few.repartition("kmer").sortWithinPartitions("kmer", "key").mapInArrow(
-        lambda b: _resolve(b, width), "kmer long, key long, first long, mask long"
+        lambda b: _resolve(b, width, k), "kmer long, key long, first long, mask long"
     )
     masks = stage(masks.unionByName(_divided(distinct.join(many, "kmer", "left_semi"), width)), "masks")
     found = around.select("kmer", "key", "row", "id", "begin", F.octet_length("around").alias("size")).join(masks, ["kmer", "key"])
-    every = F.sequence(F.lit(0), F.col("size") - width)
-    some = F.filter(every, lambda o: F.call_function("shiftright", F.col("mask"), o).bitwiseAND(1) == 1)
-    offsets = F.when(F.col("id") > F.col("first"), every).otherwise(some)
-    places = found.filter((F.col("id") > F.col("first")) | (F.col("mask") != 0)).select("row", F.explode(offsets).alias("o"), "begin")
-    places = places.groupBy("row").agg(F.collect_set(F.col("begin") + F.col("o")).alias("places"))
+    every = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("size") - width + 1) - 1
+    found = found.withColumn("mask", F.when(F.col("id") > F.col("first"), every).otherwise(F.col("mask"))).filter("mask != 0")
+    spots = found.groupBy("row").agg(F.collect_list(F.struct("begin", "mask")).alias("spots"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    return base.select("row", "doc_id", "text").join(places, "row", "left").mapInArrow(
+    return base.select("row", "doc_id", "text").join(spots, "row", "left").mapInArrow(
         lambda b: _remove(b, width), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
