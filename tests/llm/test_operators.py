@@ -122,6 +122,22 @@ def test_repeats_of_a_common_phrase(spark):
         assert Counter(tuple(r) for r in suffixes.remove_repeats(docs, most=most).collect()) == want
 
 
+@pytest.mark.parametrize("cut", [1, 2, 3, 50])
+def test_shared_kmers(cut):
+    pa = suffixes.pa
+    rng = random.Random(cut)
+    for _ in range(50):
+        rows = sorted((rng.randrange(12), r, rng.choice([(), (), (), (r + 100, r + 200)])) for r in range(rng.randrange(1, 30)))
+        table = pa.RecordBatch.from_pydict({
+            "kmer": pa.array([x for x, *_ in rows], pa.int64()), "row": pa.array([r for _, r, _ in rows], pa.int64()),
+            "others": pa.array([suffixes.np.array(o, "int64").tobytes() if o else None for *_, o in rows], pa.binary())})
+        batches = [table.slice(i, cut) for i in range(0, len(rows), cut)]
+        got = Counter((r["kmer"], r["row"]) for b in suffixes._shared(batches) for r in b.to_pylist())
+        every = Counter((x, y) for x, r, o in rows for y in (r, *o))
+        per = Counter(x for x, _ in every)
+        assert got == Counter({p: n for p, n in every.items() if per[p[0]] > 1})
+
+
 def test_repeated_surroundings():
     rng = random.Random(4)
     for _ in range(300):

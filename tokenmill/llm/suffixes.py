@@ -174,10 +174,52 @@ def minimizers(raw: np.ndarray, offsets: np.ndarray, width: int, k: int) -> tupl
 
 
 def _kmers(batches, width: int, k: int):
+    """Each k-mer of a slice of texts once: one row that has it, and the others as packed numbers."""
     for b, raw, offsets in tb.slices(batches, "text"):
         places, h = minimizers(raw, offsets, width, k)
         rows = b.column("row").to_numpy()[np.searchsorted(offsets, places, side="right") - 1]
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rows)], ["kmer", "row"])
+        order = np.argsort(h, kind="stable")  # rows ascend in a slice
+        h, rows = h[order], rows[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])
+        h, rows = h[new], rows[new]
+        begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        size = np.diff(np.concatenate([begin, [len(h)]]))
+        others = [None] * len(begin)
+        for i in np.flatnonzero(size > 1).tolist():
+            others[i] = rows[begin[i] + 1 : begin[i] + size[i]].tobytes()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(h[begin].view(np.int64)), pa.array(rows[begin]), pa.array(others, pa.binary())], ["kmer", "row", "others"]
+        )
+
+
+def _shared(batches):
+    """The k-mers in two rows, with each of these rows; they come sorted. One that has been alone so far is kept for the
+    next batch."""
+    alone_kmer, alone_row = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    last = None  # the last k-mer that is known to be shared
+    for b in batches:
+        if not b.num_rows:
+            continue
+        kmer = np.concatenate([alone_kmer, b.column("kmer").to_numpy()])
+        row = np.concatenate([alone_row, b.column("row").to_numpy()])
+        others, ahead = b.column("others"), len(alone_row)
+        many = np.concatenate([np.zeros(ahead, bool), others.is_valid().to_numpy(zero_copy_only=False)])
+        same = kmer[1:] == kmer[:-1]
+        shared = many.copy()
+        shared[1:] |= same
+        shared[:-1] |= same
+        if last is not None:
+            shared |= kmer == last
+        kmers, rows = [kmer[shared]], [row[shared]]
+        for i in np.flatnonzero(many).tolist():
+            more = np.frombuffer(others[i - ahead].as_py(), np.int64)
+            kmers.append(np.full(len(more), kmer[i]))
+            rows.append(more)
+        last = kmer[-1] if shared[-1] else None
+        keep = slice(len(kmer) if shared[-1] else len(kmer) - 1, None)
+        alone_kmer, alone_row = kmer[keep], row[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(kmers))], ["row", "kmer"])
 
 
 def _surroundings(batches, width: int, k: int):
@@ -239,27 +281,30 @@ def repeated(texts: list[bytes], at: list[int], first: list[int], width: int, k:
 
 def _resolve(batches, width: int, k: int):
     """Masks of the distinct surroundings, k-mer by k-mer; rows come sorted by k-mer."""
-    kmer, texts, at, first, keys = None, [], [], [], []
+    fields = ("kmer", "key", "first", "around", "at")
+    group: dict[str, list] = {c: [] for c in fields}
+    out: dict[str, list] = {c: [] for c in ("kmer", "key", "first", "mask")}
 
-    def flush():
-        if kmer is None:
-            return
-        masks = repeated(texts, at, first, width, k) if len(texts) > 1 else [0]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([kmer] * len(keys), pa.int64()), pa.array(keys, pa.int64()), pa.array(first, pa.int64()), pa.array(masks, pa.int64())],
-            ["kmer", "key", "first", "mask"],
-        )
+    def solve():
+        out["mask"] += repeated(group["around"], group["at"], group["first"], width, k) if len(group["at"]) > 1 else [0] * len(group["at"])
+        for c in ("kmer", "key", "first"):
+            out[c] += group[c]
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
 
     for b in batches:
-        for x, key, t, p, f in zip(*(b.column(c).to_pylist() for c in ("kmer", "key", "around", "at", "first"))):
-            if x != kmer:
-                yield from flush()
-                kmer, texts, at, first, keys = x, [], [], [], []
-            texts.append(t)
-            at.append(p)
-            first.append(f)
-            keys.append(key)
-    yield from flush()
+        for values in zip(*(b.column(c).to_pylist() for c in fields)):
+            if group["kmer"] and group["kmer"][0] != values[0]:
+                solve()
+                group = {c: [] for c in fields}
+            for c, v in zip(fields, values):
+                group[c].append(v)
+        if len(out["kmer"]) > 10_000:
+            yield batch()
+            out = {c: [] for c in out}
+    solve()
+    yield batch()
 
 
 def _remove(batches, width: int):
@@ -311,10 +356,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     base = with_row(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "row")
     base = base.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    kmers = base.select("row", "text").mapInArrow(lambda b: _kmers(b, width, k), "kmer long, row long")
-    # in two rows; summed before the shuffle, and joined back where a k-mer with many rows can be split
-    ends = kmers.groupBy("kmer").agg(F.min("row").alias("low"), F.max("row").alias("high")).filter("low < high").select("kmer")
-    shared = stage(kmers.join(ends, "kmer"), "shared-kmers")
+    # summed in each slice of texts before the shuffle
+    kmers = base.select("row", "text").mapInArrow(lambda b: _kmers(b, width, k), "kmer long, row long, others binary")
+    shared = kmers.repartition("kmer").sortWithinPartitions("kmer").mapInArrow(_shared, "row long, kmer long")
     per = shared.groupBy("row").agg(F.collect_list("kmer").alias("kmers"))
     around = base.select("row", "id", "text").join(per, "row").mapInArrow(
         lambda b: _surroundings(b, width, k), "kmer long, row long, id long, begin long, at long, around binary"
