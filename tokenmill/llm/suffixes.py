@@ -27,6 +27,7 @@ from tokenmill.llm.common import stage, with_row
 WIDTH = 50
 KMER = 24
 MOST = 2_000  # distinct surroundings of a k-mer that are sorted as one text
+WHOLE = -1  # place that stands for a whole text
 LAST = (1 << 63) - 1  # place of null ids: behind all others
 
 
@@ -319,6 +320,8 @@ def _remove(batches, width: int):
                     at = begin[(mask >> o) & 1 == 1] + o
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + width, -1)
+                if begin[0] == WHOLE and len(data) >= width:
+                    edge[0] += 1
             gone = np.cumsum(edge[:-1]) > 0
             raw = np.frombuffer(data, np.uint8)
             out["n_bytes"].append(len(data))
@@ -356,9 +359,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     base = with_row(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "row")
     base = base.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+    # copies of a text with a smaller id lose all their strings, and needn't be looked at further
+    marks = base.select("row", "id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    least = marks.groupBy("digest").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
+    copies = stage(marks.join(least, "digest").filter("id > low").select("row"), "copies")
     # summed in each slice of texts before the shuffle
     kmers = base.select("row", "text").mapInArrow(lambda b: _kmers(b, width, k), "kmer long, row long, others binary")
     shared = kmers.repartition("kmer").sortWithinPartitions("kmer").mapInArrow(_shared, "row long, kmer long")
+    shared = shared.join(copies, "row", "left_anti")
     per = shared.groupBy("row").agg(F.collect_list("kmer").alias("kmers"))
     around = base.select("row", "id", "text").join(per, "row").mapInArrow(
         lambda b: _surroundings(b, width, k), "kmer long, row long, id long, begin long, at long, around binary"
@@ -366,16 +374,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     around = stage(around.withColumn("key", F.xxhash64("around", "at")), "surroundings")
     distinct = around.groupBy("kmer", "key", "at", "around").agg(F.min("id").alias("first"))
     distinct = stage(distinct, "distinct-surroundings")
-    many = distinct.groupBy("kmer").count().filter(F.col("count") > most).select("kmer")
-    few = distinct.join(many, "kmer", "left_anti")
+    sizes = stage(distinct.groupBy("kmer").count().filter("count > 1"), "sizes")
+    few = distinct.join(sizes.filter(F.col("count") <= most).select("kmer"), "kmer", "left_semi")
+    many = distinct.join(sizes.filter(F.col("count") > most).select("kmer"), "kmer", "left_semi")
     masks = few.repartition("kmer").sortWithinPartitions("kmer", "key").mapInArrow(
         lambda b: _resolve(b, width, k), "kmer long, key long, first long, mask long"
     )
-    masks = stage(masks.unionByName(_divided(distinct.join(many, "kmer", "left_semi"), width)), "masks")
+    masks = stage(masks.unionByName(_divided(many, width)).filter("mask != 0").select("kmer", "key", "mask"), "masks")
+    masks = distinct.select("kmer", "key", "first").join(masks, ["kmer", "key"], "left")
+    masks = masks.withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
     found = around.select("kmer", "key", "row", "id", "begin", F.octet_length("around").alias("size")).join(masks, ["kmer", "key"])
     every = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("size") - width + 1) - 1
     found = found.withColumn("mask", F.when(F.col("id") > F.col("first"), every).otherwise(F.col("mask"))).filter("mask != 0")
     spots = found.groupBy("row").agg(F.collect_list(F.struct("begin", "mask")).alias("spots"))
+    whole = F.array(F.struct(F.lit(WHOLE).cast("long").alias("begin"), F.lit(0).cast("long").alias("mask")))
+    spots = spots.unionByName(copies.select("row", whole.alias("spots")))
     kind = base.schema["doc_id"].dataType.simpleString()
     return base.select("row", "doc_id", "text").join(spots, "row", "left").mapInArrow(
         lambda b: _remove(b, width), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
