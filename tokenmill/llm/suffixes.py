@@ -228,18 +228,18 @@ def _surroundings(batches, width: int, k: int):
         places, h = minimizers(raw, offsets, width, k)
         # a k-mer that is shared is on the list of each of its rows
         wanted = np.isin(h, b.column("kmers").flatten().to_numpy().view(np.uint64))
-        places, h = places[wanted], h[wanted]
+        places = places[wanted]
         for s in range(0, len(places), 20_000):
-            p, x = places[s : s + 20_000], h[s : s + 20_000]
+            p = places[s : s + 20_000]
             text = np.searchsorted(offsets, p, side="right") - 1
             begin, end = np.maximum(p - width + k, offsets[text]), np.minimum(p + width, offsets[text + 1])
             ends = np.concatenate([[0], np.cumsum(end - begin)])
             data = raw[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], end - begin)]
             around = pa.BinaryArray.from_buffers(pa.binary(), len(p), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x.view(np.int64)), pa.array(b.column("row").to_numpy()[text]), pa.array(b.column("id").to_numpy()[text]),
+                [pa.array(b.column("row").to_numpy()[text]), pa.array(b.column("id").to_numpy()[text]),
                  pa.array(begin - offsets[text]), pa.array(p - begin), around],
-                ["kmer", "row", "id", "begin", "at", "around"],
+                ["row", "id", "begin", "at", "around"],
             )
 
 
@@ -369,11 +369,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = shared.join(copies, "row", "left_anti")
     per = shared.groupBy("row").agg(F.collect_list("kmer").alias("kmers"))
     around = base.select("row", "id", "text").join(per, "row").mapInArrow(
-        lambda b: _surroundings(b, width, k), "kmer long, row long, id long, begin long, at long, around binary"
+        lambda b: _surroundings(b, width, k), "row long, id long, begin long, at long, around binary"
     )
-    around = stage(around.withColumn("key", F.xxhash64("around", "at")), "surroundings")
-    distinct = around.groupBy("kmer", "key", "at", "around").agg(F.min("id").alias("first"))
-    distinct = stage(distinct, "distinct-surroundings")
+    around = stage(around, "surroundings")
+    distinct = stage(around.groupBy("at", "around").agg(F.min("id").alias("first")), "distinct-surroundings")
+    # both follow from the bytes, and so are neither written nor sent with them
+    named = {"kmer": F.xxhash64(F.substring("around", F.col("at").cast("int") + 1, F.lit(k))), "key": F.xxhash64("around", "at")}
+    around, distinct = around.withColumns(named), distinct.withColumns(named)
     sizes = stage(distinct.groupBy("kmer").count().filter("count > 1"), "sizes")
     few = distinct.join(sizes.filter(F.col("count") <= most).select("kmer"), "kmer", "left_semi")
     many = distinct.join(sizes.filter(F.col("count") > most).select("kmer"), "kmer", "left_semi")
