@@ -3,7 +3,8 @@
 Every string of ``width`` bytes has a minimizer: its smallest k-mer by hash. Only k-mers that are minimizers
 in two documents can be in a repeated string, and around such a k-mer ``2 * width - k`` bytes hold all
 strings that have it as minimizer. The distinct surroundings of a k-mer are put into one text, and its suffix
-array tells which strings of ``width`` bytes are equal, and which document is the first with each. A k-mer
+array tells which strings of ``width`` bytes are equal, and which document is the first with each. Beforehand
+surroundings are cut to what two of them have in common, and copies of a whole text are left out. A k-mer
 with more than ``MOST`` distinct surroundings is divided first: their strings of ``width`` bytes are dealt by hash,
 equal strings to one place, so that no task sorts all surroundings of a common phrase.
 
