@@ -180,6 +180,18 @@ def test_a_chain_of_changes_is_one_walk(spark, monkeypatch):
     assert {r.id: (r.intent, r.model) for r in got.collect()} == plain_walk(base, edits)
 
 
+def test_a_large_group_takes_few_rounds(spark, monkeypatch):
+    base = [(i, "a", f"m{i}") for i in range(1000)]
+    # the chains of above: verdicts that hang on each other, a thousand deep
+    edits = sorted([(n, n, "upsert", "a", f"m{n + 1}") for n in range(1000)] + [(3000 - n, n, "upsert", "a", f"m{n + 2}") for n in range(999)])
+    written, stage = [], changes.stage
+    monkeypatch.setattr(changes, "stage", lambda df, name: written.append(name) or stage(df, name))
+    got = changes.rule_change_apply(spark.createDataFrame(base, "id long, intent string, model string"),
+                                    spark.createDataFrame(edits, "change_id long, id long, op string, intent string, model string"), 500)
+    assert {r.id: (r.intent, r.model) for r in got.collect()} == plain_walk(base, edits)
+    assert written.count("round") == 4 and len(written) < 12
+
+
 def test_cache_replay_matches_a_walk(spark):
     from tokenmill.operators.cache import cache_replay
 
