@@ -1,5 +1,8 @@
 """Text rules on literal rows."""
 
+import math
+import re
+from collections import Counter
 from itertools import groupby
 
 import pytest
@@ -93,6 +96,25 @@ def test_budgeted_keeps_rare_words_and_marks(spark):
     assert rows[2].compressed_text == "dog ran !" and rows[3].compressed_text == ""
 
 
+@pytest.mark.parametrize("most", [200_000, 0])  # counts at every task; all by the join
+def test_budgeted_makes_no_row_of_a_token(spark, monkeypatch, capsys, most):
+    from tokenmill.operators import compression
+
+    monkeypatch.setattr(compression, "MAX_HOT_WORDS", most)
+    texts = ["b a a.c - x\x85y\u3000z \U0001f600 \U0001f600!", " \n\n a\tb", None, "", "!?", "a b c d e f g"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = compression.compress_budgeted(df, 0.5)
+    out.explain()
+    assert "MapInArrow" in (plan := capsys.readouterr().out) and "Window" not in plan and "Generate" not in plan
+    counts = Counter(w for t in texts for w in set(re.findall(r"[^\s?!.:\-]+|[\n?!.:\-]", t or "")))
+    for r in out.collect():
+        words = re.findall(r"[^\s?!.:\-]+|[\n?!.:\-]", texts[r.doc_id] or "")
+        forced = [w in "\n?!.:-" for w in words]
+        ranked = sorted(range(len(words)), key=lambda i: (0 if forced[i] else counts[words[i]], i))
+        kept = sorted(ranked[:max(math.ceil(len(words) * 0.5), sum(forced))])
+        assert (r.compressed_text, r.tokens, r.kept) == (" ".join(words[i] for i in kept), len(words), len(kept))
+
+
 def test_bypass(spark):
     cases = {
         "/nocache Was ist die Hauptstadt der Schweiz?": "Was ist die Hauptstadt der Schweiz?",
