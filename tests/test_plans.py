@@ -59,3 +59,10 @@ def test_classification_moves_no_texts(spark):
 
 def test_numbering_has_no_single_partition(spark):
     assert "SinglePartition" not in plan(spark, "fifo_batches")
+
+
+def test_many_keywords_have_the_beginnings_of_passages(spark):
+    d = "/root/testdata/sf0.001"
+    begins = {" ".join(r.text.split(" ")[:3]).lower() for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}
+    found = {r.phrase for r in queries()["guardrail_keywords_many"](spark, d).where("blocked").collect()}
+    assert found & begins
