@@ -66,3 +66,11 @@ def test_many_keywords_have_the_beginnings_of_passages(spark):
     begins = {" ".join(r.text.split(" ")[:3]).lower() for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}
     found = {r.phrase for r in queries()["guardrail_keywords_many"](spark, d).where("blocked").collect()}
     assert found & begins
+
+
+def test_parts_of_texts_grow_with_the_file(spark, monkeypatch):
+    from tokenmill.plans.inputs import view
+    from tokenmill.sources import tables
+
+    monkeypatch.setattr(tables, "SPREAD_BYTES", os.path.getsize(f"{SF}/documents.parquet") // 50)
+    assert view(spark, SF, "documents").rdd.getNumPartitions() > 40
