@@ -143,3 +143,16 @@ def test_cache_rows(spark):
     assert [(r.request_id, r.expires_at - r.saved_at) for r in rows.collect()] == [(1, 14400)]
     assert similarity.live_entries(rows, F.lit(14500)).count() == 0 and similarity.live_entries(rows, F.lit(14499)).count() == 1
     assert json.dumps(rows.columns)
+
+
+def test_distances_to_pivots_come_in_parts():
+    import numpy as np
+    import pandas as pd
+
+    from tokenmill.operators import similarity
+
+    rng = np.random.default_rng(2)
+    v, pivots = rng.normal(size=(1500, 8)), similarity._unit(pd.Series(list(rng.normal(size=(40, 8)))))
+    parts = list(similarity._to_pivots(pd.Series(list(v)), pivots))
+    assert max(map(len, parts)) <= similarity.CHUNK
+    assert np.allclose(np.concatenate(parts), similarity._chord(similarity._unit(pd.Series(list(v))), pivots))

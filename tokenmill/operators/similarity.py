@@ -41,14 +41,22 @@ def _chord(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * (a @ b.T), 0.0))
 
 
+def _to_pivots(vectors: pd.Series, pivots: np.ndarray) -> Iterator[np.ndarray]:
+    """Distances of a batch to all pivots, some rows at once: with many pivots those of a whole batch would be large."""
+    m = _unit(vectors)
+    for at in range(0, len(m), CHUNK):
+        yield _chord(m[at:at + CHUNK], pivots)
+
+
 def _home_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Adds ``cell`` and ``reach``, the nearest pivot and the distance to it."""
 
     @F.pandas_udf("cell int, reach double")
     def home(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for v in batches:
-            d = _chord(_unit(v), pivots)
-            yield pd.DataFrame({"cell": d.argmin(axis=1).astype("int32"), "reach": d.min(axis=1)})
+            near = [(d.argmin(axis=1), d.min(axis=1)) for d in _to_pivots(v, pivots)]
+            cell, reach = (np.concatenate(x) for x in zip(*near))
+            yield pd.DataFrame({"cell": cell.astype("int32"), "reach": reach})
 
     return df.withColumn("_h", home("embedding")).select("*", "_h.cell", "_h.reach").drop("_h")
 
@@ -60,8 +68,7 @@ def _target_cells(df: DataFrame, pivots: np.ndarray, bounds: dict[int, float]) -
     @F.pandas_udf("array<int>")
     def cells(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for v in batches:
-            near = _chord(_unit(v), pivots) <= limit
-            yield pd.Series([np.flatnonzero(row).astype("int32").tolist() for row in near])
+            yield pd.Series([np.flatnonzero(row).astype("int32") for d in _to_pivots(v, pivots) for row in d <= limit])
 
     return df.select("entry_id", "embedding", F.explode(cells("embedding")).alias("cell"))
 
