@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
 from pyspark.sql import Column, DataFrame
@@ -16,10 +20,14 @@ from pyspark.sql import functions as F
 from tokenmill.functions.text import WS, code_override, normalise_prompt, plain_spaces
 from tokenmill.session import stage
 
+# the counting function travels to the workers itself, so the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SMOOTHING = 0.1
 UNIT = 1_000_000  # scores are whole millionths of natural logarithms, so that their sums are exact
 SMALL_MODEL = 1_000_000  # grams of a model that is broadcast
 MAX_INTENTS = 1_000
+PART_BYTES = 4 << 20  # of samples whose grams meet in one task
+SLICE = 1_000  # samples that are counted at once
 
 
 @dataclass(frozen=True)
@@ -52,20 +60,25 @@ def training_samples(*sources: DataFrame | None) -> DataFrame | None:
 def train_intent(samples: DataFrame | None) -> IntentModel | None:
     """Counts each intent's grams and turns the counts into weights.
 
-    Counts are summed before the shuffle, so a common word costs a row per task. Samples without an intent teach
+    Counts are summed before the shuffle, so a common word costs a row per ``SLICE`` samples. The parts of that shuffle are as
+    many as the size of the samples asks for, so the grams that a task holds don't grow with them. Samples without an intent teach
     nothing; a sample without words counts for its intent's prior alone. Without a sample there is no model.
     """
     if samples is None:
         return None
     labelled = samples.where("intent IS NOT NULL").select("intent", "sample_text")
-    sizes = labelled.groupBy("intent").count().orderBy("intent").limit(MAX_INTENTS + 1).collect()
+    sizes = labelled.groupBy("intent").agg(F.count("*").alias("count"), F.sum(F.octet_length("sample_text")).alias("bytes"))
+    sizes = sizes.orderBy("intent").limit(MAX_INTENTS + 1).collect()
     if len(sizes) > MAX_INTENTS:
         raise ValueError(f"more than {MAX_INTENTS} intents")
     if not sizes:
         return None
     intents, rows = [r.intent for r in sizes], sum(r["count"] for r in sizes)
-    each = labelled.select("intent", F.explode(_grams(F.col("sample_text"))).alias("gram"))
-    counts = each.groupBy("gram").agg(F.array(*[F.count(F.when(F.col("intent") == i, 1)) for i in intents]).alias("counts"))
+    cores = samples.sparkSession.sparkContext.defaultParallelism
+    parts = max(cores, -(-sum(r["bytes"] or 0 for r in sizes) // PART_BYTES))
+    each = labelled.select("intent", _grams(F.col("sample_text")).alias("grams")).mapInArrow(_counted, "intent string, gram string, n bigint")
+    of = lambda i: F.coalesce(F.sum(F.when(F.col("intent") == i, F.col("n"))), F.lit(0))
+    counts = each.repartition(parts, "gram").groupBy("gram").agg(F.array(*map(of, intents)).alias("counts"))
     counts = stage(counts, "intent-counts")
     sums = counts.agg(F.count("*").alias("grams"), *[F.sum(F.col("counts")[i]).alias(f"n{i}") for i in range(len(intents))]).first()
     totals = F.array(*[F.lit((sums[f"n{i}"] or 0) + SMOOTHING * sums["grams"]) for i in range(len(intents))])
@@ -74,6 +87,17 @@ def train_intent(samples: DataFrame | None) -> IntentModel | None:
     return IntentModel(intents, priors, counts.withColumn("weights", F.transform("counts", weight)), sums["grams"] <= SMALL_MODEL)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often some samples of each intent have each of their grams."""
+    for b in batches:
+        for part in (b.slice(at, SLICE) for at in range(0, b.num_rows, SLICE)):
+            sizes = pc.fill_null(pc.list_value_length(part.column("grams")), 0).to_numpy()
+            rows = pa.array(np.repeat(np.arange(part.num_rows), sizes), pa.int64())
+            grams = pa.table({"intent": part.column("intent").take(rows), "gram": part.column("grams").flatten()})
+            counts = grams.group_by(["intent", "gram"]).aggregate([([], "count_all")])
+            yield from counts.rename_columns(["intent", "gram", "n"]).combine_chunks().to_batches()
+
+
 def retrain(file: DataFrame | None, table: DataFrame | None) -> IntentModel | None:
     return train_intent(training_samples(file, table))
 
