@@ -110,6 +110,11 @@ def _grams(text: Column) -> Column:
     return F.coalesce(F.concat(words, F.array_compact(pairs)), F.array().cast("array<string>"))
 
 
+def untrained_intent(text: Column) -> Column:
+    """The intent where there is no model: code where the keyword rule says so, else general."""
+    return F.when(F.coalesce(code_override(text), F.lit(False)), F.lit("code")).otherwise(F.lit("general"))
+
+
 def intent_labels(prompts: DataFrame, model: IntentModel | None, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """(row_id, intent): code where the keyword rule says so, else the model's label, else general.
 
@@ -118,10 +123,10 @@ def intent_labels(prompts: DataFrame, model: IntentModel | None, text: str = "te
     a text's scores are summed before they are shuffled, so no text is moved. Texts that the keyword rule
     decides are not scored. ``row_id`` names a text: rows with one id must have one text.
     """
+    if model is None:
+        return prompts.select(row_id, untrained_intent(F.col(text)).alias("intent"))
     override = F.when(F.coalesce(code_override(F.col(text)), F.lit(False)), F.lit("code"))
     decided = prompts.select(row_id, override.alias("_override"))
-    if model is None:
-        return decided.select(row_id, F.coalesce("_override", F.lit("general")).alias("intent"))
     grams = model.grams.select("gram", "weights")
     grams = F.broadcast(grams) if model.small else grams
     open_text = F.when(override.isNull(), F.col(text))

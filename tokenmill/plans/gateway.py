@@ -13,7 +13,7 @@ from tokenmill.functions.text import is_bypass, prompt_key, strip_bypass, token_
 from tokenmill.operators.cache import build_log_rows, cache_replay
 from tokenmill.operators.compression import compress
 from tokenmill.operators.guardrail import guardrail_keywords
-from tokenmill.operators.intent import IntentModel, intent_labels
+from tokenmill.operators.intent import IntentModel, intent_labels, untrained_intent
 from tokenmill.operators.meter import BUDGET_SLICE_SECONDS, bearer_token, request_verdict
 from tokenmill.operators.ordered import find_hot_keys, running_total, time_slice
 from tokenmill.operators.pricing import with_cost
@@ -29,11 +29,12 @@ def prepare_prompts(
     wishes = blocked.select(
         row_id, "blocked", is_bypass(F.col("text")).alias("bypass"), strip_bypass(F.col("text")).alias("text")
     )
-    small = compress(wishes, method, text="text", row_id=row_id).join(intent_labels(wishes, model, row_id=row_id), row_id)
-    return small.select(
-        row_id, "blocked", "bypass", "intent", prompt_key(F.col("text")).alias("cache_key"),
-        "original_tokens", "compressed_tokens",
-    )
+    figures = [row_id, "blocked", "bypass", "intent", prompt_key(F.col("text")).alias("cache_key"), "original_tokens", "compressed_tokens"]
+    if model is None:
+        return compress(wishes.withColumn("intent", untrained_intent(F.col("text"))), method, text="text", row_id=row_id).select(figures)
+    # no text goes into the join
+    small = compress(wishes, method, text="text", row_id=row_id).select([c for c in figures if c != "intent"])
+    return small.join(intent_labels(wishes, model, row_id=row_id), row_id).select([c if isinstance(c, str) else "cache_key" for c in figures])
 
 
 def replay(
