@@ -29,12 +29,14 @@ def prepare_prompts(
     wishes = blocked.select(
         row_id, "blocked", is_bypass(F.col("text")).alias("bypass"), strip_bypass(F.col("text")).alias("text")
     )
-    figures = [row_id, "blocked", "bypass", "intent", prompt_key(F.col("text")).alias("cache_key"), "original_tokens", "compressed_tokens"]
+    figures = [prompt_key(F.col("text")).alias("cache_key"), "original_tokens", "compressed_tokens"]
     if model is None:
-        return compress(wishes.withColumn("intent", untrained_intent(F.col("text"))), method, text="text", row_id=row_id).select(figures)
+        labelled = wishes.withColumn("intent", untrained_intent(F.col("text")))
+        return compress(labelled, method, text="text", row_id=row_id).select(row_id, "blocked", "bypass", "intent", *figures)
     # no text goes into the join
-    small = compress(wishes, method, text="text", row_id=row_id).select([c for c in figures if c != "intent"])
-    return small.join(intent_labels(wishes, model, row_id=row_id), row_id).select([c if isinstance(c, str) else "cache_key" for c in figures])
+    small = compress(wishes, method, text="text", row_id=row_id).select(row_id, "blocked", "bypass", *figures)
+    return small.join(intent_labels(wishes, model, row_id=row_id), row_id).select(
+        row_id, "blocked", "bypass", "intent", "cache_key", "original_tokens", "compressed_tokens")
 
 
 def replay(
