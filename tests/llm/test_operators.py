@@ -6,6 +6,7 @@ import math
 import os
 import random
 import sys
+import time
 import zlib
 from collections import Counter
 
@@ -138,6 +139,69 @@ def test_shared_kmers(cut):
         assert got == Counter({p: n for p, n in every.items() if per[p[0]] > 1})
 
 
+def test_repeats_leave_no_shuffles(spark):
+    """What the steps have written takes the place of their shuffles, which are gone when the result is asked for."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(("alpha", "beta", "gamma", "delta")) + str(rng.randrange(9)) for _ in range(300))) for i in range(200)]
+    from tokenmill.llm.common import stage
+
+    docs = stage(spark.createDataFrame(rows + [(i + 1000, t) for i, t in rows], "doc_id long, text string").repartition(3), "test-freed")
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {f: os.path.getsize(f) for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f and os.path.exists(f)}
+
+    before = files()
+    suffixes.remove_repeats(docs)
+    for _ in range(50):
+        left = sum(n for f, n in files().items() if f not in before)
+        if left < 20_000:
+            break
+        time.sleep(0.2)
+    assert left < 20_000 < sum(len(t) for _, t in rows) / 10
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 14])
+def test_minimizers(monkeypatch, block):
+    monkeypatch.setattr(suffixes, "BLOCK", block)
+    rng = random.Random(block)
+    common = bytes(rng.choice(b"abc ") for _ in range(120))
+    texts = [bytes(rng.choice(b"abc ") for _ in range(n)) for n in (0, 49, 50, 3, 200)] + [b"x" * 90, common, b"", b"y" + common[30:100]]
+    raw, offsets = suffixes.np.frombuffer(b"".join(texts), "uint8"), suffixes.np.cumsum([0, *map(len, texts)])
+    places, h = suffixes.minimizers(raw, offsets, 50, 24)
+    assert sorted(set(places.tolist())) == places.tolist()
+    found = {}
+    for i, (a, z) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
+        inside = [p for p in places.tolist() if a <= p and p + 24 <= z]
+        for p in range(a, z - 49):  # each string has one, at the same place wherever it stands
+            assert any(p <= q <= p + 26 for q in inside)
+        found[i] = {q - a for q in inside}
+    assert sum(len(x) for x in found.values()) == len(places)
+    assert found[5] == set(range(41))  # of equal ones the first
+    assert {q - 29 for q in found[6]} & found[8] and len({raw[p : p + 24].tobytes() for p in places}) == len(set(h.tolist()))
+    alone = suffixes.minimizers(raw[offsets[6] : offsets[7]], offsets[6:8] - offsets[6], 50, 24)[0]
+    assert set(alone.tolist()) == found[6]
+
+
+@pytest.mark.parametrize("cut", [1, 5, 10**6])
+def test_packed_kmers(cut):
+    pa = suffixes.pa
+    rng = random.Random(cut)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice((0, 60, 300)))) for _ in range(60)]
+    texts += texts[:20]
+    row = [i * 5000 + 7 for i in range(len(texts))]  # further from the first than 16 bits say
+    batches = [pa.RecordBatch.from_pydict({"row": pa.array(row[i : i + 30], pa.int64()), "text": texts[i : i + 30]}) for i in range(0, len(texts), 30)]
+    table = pa.Table.from_batches(list(suffixes._kmers(iter(batches), 50, 24))).sort_by("part").combine_chunks()
+    got = [r for b in suffixes._sorted(table.to_batches(cut)) for r in b.to_pylist()]
+    want = Counter()
+    for r, t in zip(row, texts):
+        raw = suffixes.np.frombuffer(t.encode(), "uint8")
+        h = suffixes.minimizers(raw, suffixes.np.array([0, len(raw)]), 50, 24)[1]
+        want.update({(x >> (64 - suffixes.PART_BITS - suffixes.KMER_BITS), r) for x in h.tolist()})
+    assert Counter((x["kmer"], x["row"]) for x in got) == want
+    assert [x["kmer"] for x in got] == sorted(x["kmer"] for x in got)
+
+
 def test_repeated_surroundings():
     rng = random.Random(4)
     for _ in range(300):

@@ -16,6 +16,7 @@ it. A second walk over the groups then puts each suffix at the front of its grou
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,16 @@ from pyspark.sql import functions as F
 
 from tokenmill.llm import textbytes as tb
 from tokenmill.llm.common import stage, with_row
+from tokenmill.operators.sizes import at_most, broadcast_if_small
 
 WIDTH = 50
 KMER = 24
+PART_BITS, KMER_BITS = 12, 32  # first bits of a k-mer's hash, which name its part, and further ones
+BLOCK = 1 << 14  # strings whose minimizers are looked for at once
 MOST = 2_000  # distinct surroundings of a k-mer that are sorted as one text
 WHOLE = -1  # place that stands for a whole text
 LAST = (1 << 63) - 1  # place of null ids: behind all others
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -152,46 +157,69 @@ def minimizers(raw: np.ndarray, offsets: np.ndarray, width: int, k: int) -> tupl
     n = len(raw)
     if n < width:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = np.arange(n - k + 1)
     words = np.lib.stride_tricks.as_strided(raw[:8].view("<u8"), (n - 7,), (1,))
-    h = tb.mix(words[: len(at)])
-    for j in range(8, k, 8):
-        j = min(j, k - 8)
-        h = tb.mix(h * np.uint64(0x9E3779B97F4A7C15) + words[j : j + len(at)])
-    span = width - k + 1  # k-mers in a string; smallest by halves and doubling
-    best, size = at, 1
-    while size * 2 <= span:
-        a, b = best[: len(best) - size], best[size:]
-        best, size = np.where(h[b] < h[a], b, a), size * 2
-    rest = span - size
-    a, b = best[: len(best) - rest], best[rest:]
-    best = np.where((h[b] < h[a]) | ((h[b] == h[a]) & (b < a)), b, a) if rest else best
-    inside = np.ones(len(best), bool)  # strings that begin and end in one text
-    for end in offsets[1:-1].tolist():
-        inside[max(0, end - width + 1) : end] = False
-    places = best[inside]
+    steps = [min(j, k - 8) for j in range(0, k, 8)]
+    span = width - k + 1  # k-mers in a string
+    found = []
+    for start in range(0, n - width + 1, BLOCK):  # a block's arrays stay in the processor's cache
+        count = min(BLOCK, n - width + 1 - start) + span - 1
+        order = words[start + steps[0] : start + steps[0] + count] * _ODD[0]
+        for odd, j in zip(itertools.cycle(_ODD[1:]), steps[1:]):
+            order += words[start + j : start + j + count] * odd
+        order ^= order >> np.uint64(32)
+        order *= _ODD[0]
+        # upper half: hash, lower half: place, so that the smallest is the first of equal ones
+        order &= np.uint64(0xFFFFFFFF00000000)
+        order |= np.arange(count, dtype=np.uint64)
+        size = 1
+        while size * 2 <= span:
+            order, size = np.minimum(order[: len(order) - size], order[size:]), size * 2
+        if span > size:
+            order = np.minimum(order[: len(order) - span + size], order[span - size :])
+        best = (order & np.uint64(0xFFFFFFFF)).astype(np.int64) + start
+        for end in offsets[np.searchsorted(offsets, start, side="right") : np.searchsorted(offsets, start + len(best) + width)].tolist():
+            if end < n:  # strings that end in another text
+                best[max(0, end - width + 1 - start) : max(0, end - start)] = -1
+        best = best[best >= 0]
+        found.append(best[np.concatenate([[True], best[1:] != best[:-1]])] if len(best) else best)
+    places = np.concatenate(found)
     if len(places):  # the smallest k-mer never moves back
         places = places[np.concatenate([[True], places[1:] != places[:-1]])]
-    return places, h[places]
+    h = tb.mix(words[places + steps[0]])
+    for j in steps[1:]:
+        h = tb.mix(h * _ODD[0] + words[places + j])
+    return places, h
 
 
 def _kmers(batches, width: int, k: int):
-    """Each k-mer of a slice of texts once: one row that has it, and the others as packed numbers."""
+    """The k-mers of a slice of texts, each once for a row, by the first bits of their hashes: a part has the further bits
+    of its k-mers as packed numbers, and their rows from the slice's first row on, in halves."""
     for b, raw, offsets in tb.slices(batches, "text"):
         places, h = minimizers(raw, offsets, width, k)
-        rows = b.column("row").to_numpy()[np.searchsorted(offsets, places, side="right") - 1]
-        order = np.argsort(h, kind="stable")  # rows ascend in a slice
-        h, rows = h[order], rows[order]
+        if not len(places):
+            continue
+        rows = b.column("row").to_numpy()
+        first = rows[0]
+        at = np.searchsorted(offsets, places, side="right") - 1
+        h = h >> np.uint64(64 - PART_BITS - KMER_BITS)
+        order = np.argsort(h, kind="stable")
+        h, at = h[order], at[order]
         new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])
-        h, rows = h[new], rows[new]
-        begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        size = np.diff(np.concatenate([begin, [len(h)]]))
-        others = [None] * len(begin)
-        for i in np.flatnonzero(size > 1).tolist():
-            others[i] = rows[begin[i] + 1 : begin[i] + size[i]].tobytes()
+        new[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1])
+        h, rest = h[new], rows[at[new]] - first
+        part = (h >> np.uint64(KMER_BITS)).astype(np.int32)
+        begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        ends = np.append(begin, len(part)).astype(np.int32)
+
+        def packed(values):
+            return pa.BinaryArray.from_buffers(
+                pa.binary(), len(begin), [None, pa.py_buffer(ends * np.int32(values.itemsize)), pa.py_buffer(np.ascontiguousarray(values))]
+            )
+
         yield pa.RecordBatch.from_arrays(
-            [pa.array(h[begin].view(np.int64)), pa.array(rows[begin]), pa.array(others, pa.binary())], ["kmer", "row", "others"]
+            [pa.array(part[begin]), pa.array(np.full(len(begin), first)), packed(h.astype(np.uint32)),
+             packed(rest.astype(np.uint16)), packed((rest >> 16).astype(np.uint16))],
+            ["part", "first", "kmers", "low", "high"],
         )
 
 
@@ -224,11 +252,51 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(kmers))], ["row", "kmer"])
 
 
+def _numbers(column, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All packed numbers of a column, and how many each row has."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    size = np.dtype(kind).itemsize
+    data = column.buffers()[2]
+    return np.frombuffer(data, kind, (offsets[-1] - offsets[0]) // size, offsets[0]), np.diff(offsets) // size
+
+
+def _sorted(batches):
+    """The rows of ``_shared`` from those of ``_kmers``, which come sorted by part: whole parts are sorted, and the last
+    one waits for the next batch."""
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def ready():
+        kmer, row = (np.concatenate(x) for x in zip(*waiting))
+        order = np.argsort(kmer, kind="stable")
+        for s in range(0, len(order), 1 << 18):
+            o = order[s : s + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(kmer[o]), pa.array(row[o]), pa.nulls(len(o), pa.binary())], ["kmer", "row", "others"])
+
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        part = b.column("part").to_numpy()
+        kmer, count = _numbers(b.column("kmers"), np.uint32)
+        low, high = (_numbers(b.column(c), np.uint16)[0] for c in ("low", "high"))
+        kmer = np.repeat(part.astype(np.int64) << KMER_BITS, count) | kmer
+        row = np.repeat(b.column("first").to_numpy(), count) + (low | (high.astype(np.int64) << 16))
+        if part[-1] != last and waiting or part[0] != part[-1]:
+            cut = int(count[: np.searchsorted(part, part[-1])].sum())
+            waiting.append((kmer[:cut], row[:cut]))
+            yield from ready()
+            waiting, kmer, row = [], kmer[cut:], row[cut:]
+        waiting.append((kmer, row))
+        last = part[-1]
+    if waiting:
+        yield from ready()
+
+
 def _surroundings(batches, width: int, k: int):
     for b, raw, offsets in tb.slices(batches, "text"):
         places, h = minimizers(raw, offsets, width, k)
         # a k-mer that is shared is on the list of each of its rows
-        wanted = np.isin(h, b.column("kmers").flatten().to_numpy().view(np.uint64))
+        wanted = np.isin((h >> np.uint64(64 - PART_BITS - KMER_BITS)).view(np.int64), b.column("kmers").flatten().to_numpy())
         places = places[wanted]
         for s in range(0, len(places), 20_000):
             p = places[s : s + 20_000]
@@ -296,6 +364,11 @@ def _resolve(batches, width: int, k: int):
         return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
 
     for b in batches:
+        if b.num_rows > 2:  # a k-mer with one surroundings needs nothing; those at the ends may go on in other batches
+            kmer = b.column("kmer").to_numpy()
+            several = np.ones(len(kmer), bool)
+            several[1:-1] = (kmer[1:-1] == kmer[:-2]) | (kmer[1:-1] == kmer[2:])
+            b = b.filter(pa.array(several))
         for values in zip(*(b.column(c).to_pylist() for c in fields)):
             if group["kmer"] and group["kmer"][0] != values[0]:
                 solve()
@@ -314,16 +387,21 @@ def _remove(batches, width: int):
         out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
         for text, spots in zip(b.column("text"), b.column("spots")):
             data = text.as_py().encode() if text.is_valid else b""
-            edge = np.zeros(len(data) + 1, np.int32)
+            gone = np.zeros(len(data), bool)
             if spots.is_valid:
                 begin, mask = (spots.values.field(c).to_numpy() for c in ("begin", "mask"))
-                for o in range(int(mask.max()).bit_length()):
-                    at = begin[(mask >> o) & 1 == 1] + o
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + width, -1)
-                if begin[0] == WHOLE and len(data) >= width:
-                    edge[0] += 1
-            gone = np.cumsum(edge[:-1]) > 0
+                place = begin != WHOLE
+                gone[:] = not place.all() and len(data) >= width
+                begin, mask = begin[place], mask[place]
+                first = np.zeros(len(data) + width, bool)  # where a removed string begins
+                many = np.unpackbits(mask.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                spot, o = np.nonzero(many)
+                first[begin[spot] + o] = True
+                starts = np.flatnonzero(first)
+                edge = np.zeros(len(data) + width + 1, np.int8)
+                edge[starts] += 1
+                edge[starts + width] -= 1
+                gone |= np.cumsum(edge[: len(data)], dtype=np.int32) > 0
             raw = np.frombuffer(data, np.uint8)
             out["n_bytes"].append(len(data))
             out["n_removed"].append(int(gone.sum()))
@@ -363,33 +441,38 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # copies of a text with a smaller id lose all their strings, and needn't be looked at further
     marks = base.select("row", "id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
     least = marks.groupBy("digest").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    copies = stage(marks.join(least, "digest").filter("id > low").select("row"), "copies")
+    copies = stage(marks.join(least, "digest").filter("id > low").select("row"), "copies", free=True)
     # summed in each slice of texts before the shuffle
-    kmers = base.select("row", "text").mapInArrow(lambda b: _kmers(b, width, k), "kmer long, row long, others binary")
-    shared = kmers.repartition("kmer").sortWithinPartitions("kmer").mapInArrow(_shared, "row long, kmer long")
+    kmers = base.select("row", "text").mapInArrow(
+        lambda b: _kmers(b, width, k), "part int, first long, kmers binary, low binary, high binary"
+    )
+    shared = kmers.repartition("part").sortWithinPartitions("part").mapInArrow(lambda b: _shared(_sorted(b)), "row long, kmer long")
     shared = shared.join(copies, "row", "left_anti")
     per = shared.groupBy("row").agg(F.collect_list("kmer").alias("kmers"))
     around = base.select("row", "id", "text").join(per, "row").mapInArrow(
         lambda b: _surroundings(b, width, k), "row long, id long, begin long, at long, around binary"
     )
-    around = stage(around, "surroundings")
-    distinct = stage(around.groupBy("at", "around").agg(F.min("id").alias("first")), "distinct-surroundings")
+    around = stage(around, "surroundings", free=True)
+    distinct = stage(around.groupBy("at", "around").agg(F.min("id").alias("first"), F.max("id").alias("last")), "distinct-surroundings", free=True)
     # both follow from the bytes, and so are neither written nor sent with them
     named = {"kmer": F.xxhash64(F.substring("around", F.col("at").cast("int") + 1, F.lit(k))), "key": F.xxhash64("around", "at")}
     around, distinct = around.withColumns(named), distinct.withColumns(named)
-    sizes = stage(distinct.groupBy("kmer").count().filter("count > 1"), "sizes")
-    few = distinct.join(sizes.filter(F.col("count") <= most).select("kmer"), "kmer", "left_semi")
-    many = distinct.join(sizes.filter(F.col("count") > most).select("kmer"), "kmer", "left_semi")
-    masks = few.repartition("kmer").sortWithinPartitions("kmer", "key").mapInArrow(
+    crowded = distinct.groupBy("kmer").count().filter(F.col("count") > most).select("kmer")
+    crowded = broadcast_if_small(stage(crowded, "crowded", free=True), 1_000_000)
+    masks = distinct.join(crowded, "kmer", "left_anti").repartition("kmer").sortWithinPartitions("kmer", "key").mapInArrow(
         lambda b: _resolve(b, width, k), "kmer long, key long, first long, mask long"
     )
-    masks = stage(masks.unionByName(_divided(many, width)).filter("mask != 0").select("kmer", "key", "mask"), "masks")
-    masks = distinct.select("kmer", "key", "first").join(masks, ["kmer", "key"], "left")
-    masks = masks.withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
-    found = around.select("kmer", "key", "row", "id", "begin", F.octet_length("around").alias("size")).join(masks, ["kmer", "key"])
+    if not at_most(crowded, 0):
+        masks = masks.unionByName(_divided(distinct.join(crowded, "kmer", "left_semi"), width))
+    masks = stage(masks.filter("mask != 0").select("kmer", "key", "mask"), "masks", free=True)
+    size = F.octet_length("around").alias("size")
+    masks = distinct.select("kmer", "key", "first", "last", size).join(masks, ["kmer", "key"], "left")
+    # one row's surroundings with nothing before them take nothing away
+    masks = masks.withColumn("mask", F.coalesce("mask", F.lit(0).cast("long"))).filter("mask != 0 or first < last").drop("last")
+    found = around.select("kmer", "key", "row", "id", "begin").join(masks, ["kmer", "key"])
     every = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("size") - width + 1) - 1
     found = found.withColumn("mask", F.when(F.col("id") > F.col("first"), every).otherwise(F.col("mask"))).filter("mask != 0")
-    spots = found.groupBy("row").agg(F.collect_list(F.struct("begin", "mask")).alias("spots"))
+    spots = stage(found.groupBy("row").agg(F.collect_list(F.struct("begin", "mask")).alias("spots")), "spots", free=True)
     whole = F.array(F.struct(F.lit(WHOLE).cast("long").alias("begin"), F.lit(0).cast("long").alias("mask")))
     spots = spots.unionByName(copies.select("row", whole.alias("spots")))
     kind = base.schema["doc_id"].dataType.simpleString()
