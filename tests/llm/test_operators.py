@@ -139,6 +139,23 @@ def test_shared_kmers(cut):
         assert got == Counter({p: n for p, n in every.items() if per[p[0]] > 1})
 
 
+@pytest.mark.parametrize("frequent", [0, 3, 30])
+def test_repeats_of_frequent_surroundings(spark, docs, frequent):
+    """Whether masks meet their rows by a join or are sent to them, the rows are the same."""
+    rng = random.Random(9)
+    line = "This line stands in every text, and more than once in some of them, word for word."
+    rows = [(i, "\n".join([str(rng.random()) * 3, line, *[line] * (i % 3 == 0), str(rng.random())])) for i in range(60)]
+    from tokenmill.llm.common import stage
+
+    lines = stage(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "test-lines")
+    want = Counter(brute.repeats(rows))
+    assert sum(r[2] for r in want) > 59 * len(line)
+    assert Counter(tuple(r) for r in suffixes.remove_repeats(lines, frequent=frequent).collect()) == want
+    rows = [(i if i is not None else 10**9, t) for i, t, *_ in sample()]
+    got = [(r.doc_id if r.doc_id is not None else 10**9, *r[1:]) for r in suffixes.remove_repeats(docs, frequent=frequent).collect()]
+    assert Counter(got) == Counter(brute.repeats(rows))
+
+
 def test_repeats_leave_no_shuffles(spark):
     """What the steps have written takes the place of their shuffles, which are gone when the result is asked for."""
     rng = random.Random(6)

@@ -32,6 +32,7 @@ KMER = 24
 PART_BITS, KMER_BITS = 12, 32  # first bits of a k-mer's hash, which name its part, and further ones
 BLOCK = 1 << 14  # strings whose minimizers are looked for at once
 MOST = 2_000  # distinct surroundings of a k-mer that are sorted as one text
+FREQUENT = 10_000  # equal surroundings from which their masks are sent to all tasks
 WHOLE = -1  # place that stands for a whole text
 LAST = (1 << 63) - 1  # place of null ids: behind all others
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -428,7 +429,7 @@ def _divided(distinct: DataFrame, width: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, k: int = KMER,
-                   most: int = MOST) -> DataFrame:
+                   most: int = MOST, frequent: int = FREQUENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Removed is each byte covered by a string of ``width`` bytes that also starts in a document with a smaller id.
@@ -453,7 +454,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         lambda b: _surroundings(b, width, k), "row long, id long, begin long, at long, around binary"
     )
     around = stage(around, "surroundings", free=True)
-    distinct = stage(around.groupBy("at", "around").agg(F.min("id").alias("first"), F.max("id").alias("last")), "distinct-surroundings", free=True)
+    ids = [F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")]
+    distinct = stage(around.groupBy("at", "around").agg(*ids), "distinct-surroundings", free=True)
     # both follow from the bytes, and so are neither written nor sent with them
     named = {"kmer": F.xxhash64(F.substring("around", F.col("at").cast("int") + 1, F.lit(k))), "key": F.xxhash64("around", "at")}
     around, distinct = around.withColumns(named), distinct.withColumns(named)
@@ -466,10 +468,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         masks = masks.unionByName(_divided(distinct.join(crowded, "kmer", "left_semi"), width))
     masks = stage(masks.filter("mask != 0").select("kmer", "key", "mask"), "masks", free=True)
     size = F.octet_length("around").alias("size")
-    masks = distinct.select("kmer", "key", "first", "last", size).join(masks, ["kmer", "key"], "left")
+    masks = distinct.select("kmer", "key", "first", "last", "n", size).join(masks, ["kmer", "key"], "left")
+    masks = masks.withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
     # one row's surroundings with nothing before them take nothing away
-    masks = masks.withColumn("mask", F.coalesce("mask", F.lit(0).cast("long"))).filter("mask != 0 or first < last").drop("last")
-    found = around.select("kmer", "key", "row", "id", "begin").join(masks, ["kmer", "key"])
+    rare = masks.filter("mask != 0 or first < last")
+    found = around.select("kmer", "key", "row", "id", "begin")
+    if at_most(distinct.filter(F.col("n") > frequent), 0):
+        found = found.join(rare.drop("last", "n"), ["kmer", "key"])
+    else:  # rows of frequent surroundings stay where they are
+        common = stage(masks.filter(F.col("n") > frequent).drop("last", "n"), "frequent", free=True)
+        common = broadcast_if_small(common, 1_000_000)
+        rare = found.join(common, ["kmer", "key"], "left_anti").join(rare.filter(F.col("n") <= frequent).drop("last", "n"), ["kmer", "key"])
+        found = found.join(common, ["kmer", "key"]).unionByName(rare)
     every = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("size") - width + 1) - 1
     found = found.withColumn("mask", F.when(F.col("id") > F.col("first"), every).otherwise(F.col("mask"))).filter("mask != 0")
     spots = stage(found.groupBy("row").agg(F.collect_list(F.struct("begin", "mask")).alias("spots")), "spots", free=True)
